@@ -4,18 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import url_rules
+from . import license_scan, quality_rules, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return quality_rules.judge(documents, quality_rules.ratio_model(documents, _table(spark, sf_dir, "labels")))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.filter_urls(_table(spark, sf_dir, "pages"), url_rules.BASE_RULES, url_rules.PATTERN_RULES)
 
 
 QUERIES = {
+    "op4_quality_rules": op4_quality_rules,
+    "op5_license_scan": op5_license_scan,
     "op9_url_filters": op9_url_filters,
 }
 

@@ -1,0 +1,126 @@
+"""The native operators against plain Python."""
+
+import pytest
+from pyspark.sql import types as T
+
+from corpusmill.llm import license_scan, quality_rules, queries, url_rules
+from tests.llm import brute, fixtures
+
+SF = "/root/testdata/sf0.001"
+LABELS = "doc_id long, quality int, toxic int"
+
+
+def sample(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def test_quality_rules_counts(spark):
+    model = [0.1] * 64
+    for docs in (fixtures.documents(spark), sample(spark)):
+        want = {r["doc_id"]: brute.quality_rules(r["text"]) for r in docs.collect()}
+        got = {r["doc_id"]: (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in quality_rules.judge(docs, model).collect()}
+        assert got == want
+
+
+def test_quality_rules_ratio(spark):
+    """The model and the scores, recomputed with Spark's own hash in a plain loop."""
+    import math
+
+    import xxhash
+
+    docs = fixtures.documents(spark)
+    labels = spark.createDataFrame([(5, 1, 0), (5, 1, 0), (7, 1, 0), (8, 0, 0), (9, None, 0), (None, 1, 0)], LABELS)
+    n = 256
+    model = quality_rules.ratio_model(docs, labels, buckets=n)
+
+    def grams(text):
+        h = [xxhash.xxh64(w.encode(), seed=42).intdigest() for w in brute.words(text)]
+        pair = lambda a, b: xxhash.xxh64(b.to_bytes(8, "little"), seed=xxhash.xxh64(a.to_bytes(8, "little"), seed=42).intdigest()).intdigest()
+        return [x % n for x in h] + [pair(a, b) % n for a, b in zip(h, h[1:])]
+
+    raw, good = [1.0] * n, [1.0] * n
+    for r in docs.collect():
+        for g in grams(r["text"]):
+            raw[g] += 1
+            good[g] += r["doc_id"] in (5, 7)
+    want = [math.log(g / sum(good)) - math.log(r / sum(raw)) for g, r in zip(good, raw)]
+    assert model == pytest.approx(want)
+    for r in quality_rules.judge(docs, model, threshold=0.0).join(docs.select("doc_id", "text"), "doc_id").collect():
+        g = grams(r["text"])
+        score = sum(want[x] for x in g) / max(1, len(g))
+        assert r["score"] == pytest.approx(score, abs=1e-9)
+        assert r["kept"] == (not r["base_failed"] and r["score"] >= 0.0)
+
+
+def test_quality_rules_empty(spark):
+    none = spark.createDataFrame([], LABELS)
+    model = quality_rules.ratio_model(fixtures.documents(spark), none, buckets=64)
+    assert model == [0.0] * 64
+    assert quality_rules.judge(fixtures.empty(spark), quality_rules.ratio_model(fixtures.empty(spark), none, 64)).collect() == []
+
+
+def test_license_scan(spark):
+    extra = [("x " * k) + t.text + " tail " + t.text.upper() for k, t in enumerate(license_scan.TEMPLATES)]
+    extra += ["license " * 2000 + "the MIT License", "Licensed under CC BY", "the license the MIT of License"]
+    vocabulary = sorted({w for t in license_scan.TEMPLATES for w in license_scan.tokens(t.text)})
+    for docs in (fixtures.documents(spark, extra), sample(spark)):
+        rows = docs.collect()
+        index = license_scan.build_index(license_scan.TEMPLATES, license_scan.word_frequencies(docs, vocabulary))
+        got = {r["doc_id"]: r for r in license_scan.scan(docs).collect()}
+        assert len(got) == len(rows)
+        for r in rows:
+            n, places, first, last, base = brute.license_base(r["text"])
+            g = got[r["doc_id"]]
+            assert (g["n_words"], g["n_base"], g["first_word"], g["last_word"], g["base_labels"]) == (n, places, first, last, ",".join(sorted(base)))
+            if n < 5000:
+                assert g["labels"] == ",".join(sorted(base | brute.license_labels(r["text"], index))), r["text"]
+            assert 0 <= g["score"] <= 1 and (g["score"] > 0) == bool(g["labels"])
+    assert license_scan.scan(fixtures.empty(spark)).collect() == []
+
+
+def test_word_frequencies_are_document_counts(spark):
+    docs = spark.createDataFrame([(0, "MIT mit License"), (1, "license"), (2, None)], "doc_id long, text string")
+    assert license_scan.word_frequencies(docs, ["mit", "license", "gnu"]) == {"mit": 1, "license": 2}
+
+
+URLS = [
+    None, "", "no scheme", "http://", "://", "HTTP://Sub.EXAMPLE.ORG/es/x?y#z", "http://example.org/en/1", "http://example.org/en/19", "http://example.org/en/2", "http://notexample.org/es/", "http://example.org",
+    "http://a.com/fr/", "http://a.com/FR/", "http://com/de/1", "http://x.com?u=http://b.com/de/", "http://x.net#a://b.org/", "https://www.cheap-pills.example.net/fr/176/", "https://very-cheap-pills.example.net/", "http://x.net/a/banners/b.gif?z=1",
+    "http://x.net/torrent/" + "a/" * 5000, "http://ads.txt.example.net/casino/history/", "http://casino.example.net/casino/history/", "http://ads.x.net/", "ads", "http://x.net/f.EXE", "http://x.net/f.exe2",
+]
+
+
+def test_url_filters(spark):
+    import re
+
+    schema = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("host", T.StringType()), T.StructField("rule", T.StringType())])
+    pages = spark.createDataFrame([(i, u, "h", "r") for i, u in enumerate([*URLS, *URLS])], schema)
+    rules = [url_rules.parse_pattern(p) for p in url_rules.PATTERN_RULES]
+    order = [r for r in rules if r.action == "allow"] + [r for r in rules if r.action == "block"]
+    got = {r["page_id"]: r for r in url_rules.filter_urls(pages, url_rules.BASE_RULES, url_rules.PATTERN_RULES).collect()}
+    assert len(got) == 2 * len(URLS)
+    for i, url in enumerate([*URLS, *URLS]):
+        host, path = brute.split_url(url)
+        fits = [r for r in url_rules.BASE_RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        best = max(fits, key=lambda r: len(r.name), default=None)
+        hit = next((r for r in order if re.search(r.regex, (url or "").lower())), None)
+        verdict = best.action if best else hit.action if hit else "allow"
+        want = (host, path, best and best.name, verdict, hit.pattern if hit and not best else None)
+        assert tuple(got[i][c] for c in ("host", "path", "rule", "verdict", "pattern")) == want, url
+    assert url_rules.filter_urls(pages.limit(0), url_rules.BASE_RULES, url_rules.PATTERN_RULES).collect() == []
+
+
+def test_every_rule_matches_with_its_index(spark):
+    """A rule is fetched by whichever of its tokens is the rarest, or always where it has none."""
+    rules = ["*foo*", "||bar.", "/a/b/c/", "x*y^"]
+    pages = spark.createDataFrame([(0, "http://zfooz.net/"), (1, "http://s.bar.net/"), (2, "http://q.net/a/b/c/d"), (3, "http://q.net/x12y/"), (4, "http://q.net/b/c/a/")], "page_id long, url string")
+    got = [r["pattern"] for r in url_rules.filter_urls(pages, [], rules).orderBy("page_id").collect()]
+    assert got == ["*foo*", "||bar.", "/a/b/c/", "x*y^", None]
+
+
+def test_no_python_in_native_plans(spark):
+    import re
+
+    for name in ("op4_quality_rules", "op5_license_scan", "op9_url_filters"):
+        plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Python|Arrow|Pandas|MapIn", plan)
