@@ -24,7 +24,8 @@ from .common import SPACE, doubles, let, space_words, whole
 
 SYMBOLS = "#*$%&|<>"
 BUCKETS = 16384
-THRESHOLD = -0.2
+#: Mean log ratio (nats an n-gram) that a text must reach: slightly less target-like than the corpus is still kept.
+THRESHOLD = -0.06
 #: Up to so many trusted ids are broadcast (8 bytes each); beyond, documents and ids meet in a merge join.
 BROADCAST_IDS = 1_000_000
 
@@ -82,14 +83,16 @@ def ratio_model(documents: DataFrame, labels: DataFrame, buckets: int = BUCKETS,
     marked = trusted_flag(documents.select("doc_id", "text"), labels)
     grams = marked.select("trusted", F.explode(ngram_buckets(space_words(whole(F.col("text"))), buckets)).alias("bucket"))
     counted = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum(F.col("trusted").cast("int")).alias("good")).collect()
-    raw, good = [smoothing] * buckets, [smoothing] * buckets
+    raw, good = [smoothing] * buckets, [0.0] * buckets
     for r in counted:
         raw[r["bucket"]] += r["raw"]
         good[r["bucket"]] += r["good"]
-    if sum(good) <= smoothing * buckets:
+    if not sum(good):
         return [0.0] * buckets
-    shift = math.log(sum(raw) / sum(good))
-    return [math.log(g / r) + shift for g, r in zip(good, raw)]
+    # The target's prior is the raw multinomial with the weight of `smoothing * buckets` n-grams: rare buckets stay near 0.
+    share, prior = 1 / sum(raw), smoothing * buckets
+    shift = 1 / (sum(good) + prior)
+    return [math.log((g + prior * r * share) * shift / (r * share)) for g, r in zip(good, raw)]
 
 
 def judge(documents: DataFrame, model: list[float], threshold: float = THRESHOLD) -> DataFrame:

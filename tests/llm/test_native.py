@@ -38,12 +38,13 @@ def test_quality_rules_ratio(spark):
         pair = lambda a, b: xxhash.xxh64(b.to_bytes(8, "little"), seed=xxhash.xxh64(a.to_bytes(8, "little"), seed=42).intdigest()).intdigest()
         return [x % n for x in h] + [pair(a, b) % n for a, b in zip(h, h[1:])]
 
-    raw, good = [1.0] * n, [1.0] * n
+    raw, good = [1.0] * n, [0.0] * n
     for r in docs.collect():
         for g in grams(r["text"]):
             raw[g] += 1
             good[g] += r["doc_id"] in (5, 7)
-    want = [math.log(g / sum(good)) - math.log(r / sum(raw)) for g, r in zip(good, raw)]
+    p = [r / sum(raw) for r in raw]
+    want = [math.log((g + n * q) / (sum(good) + n) / q) for g, q in zip(good, p)]
     assert model == pytest.approx(want)
     for r in quality_rules.judge(docs, model, threshold=0.0).join(docs.select("doc_id", "text"), "doc_id").collect():
         g = grams(r["text"])
