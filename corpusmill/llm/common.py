@@ -28,7 +28,9 @@ def whole(text: Column) -> Column:
 
 def space_words(text: Column) -> Column:
     """The maximal runs of anything but ASCII white space."""
-    return F.array_remove(F.split(text, f"{SPACE}+"), "")
+    for c in "\t\n\x0b\x0c\r":  # one literal blank splits faster than a class
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")
 
 
 def doubles(values: list[float]) -> Column:

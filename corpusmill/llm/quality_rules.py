@@ -20,7 +20,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SPACE, doubles, let, space_words, whole
+from .common import doubles, let, space_words, whole
 
 SYMBOLS = "#*$%&|<>"
 BUCKETS = 16384
@@ -30,44 +30,64 @@ THRESHOLD = -0.06
 BROADCAST_IDS = 1_000_000
 
 
+def count_characters(text: Column, characters: str) -> Column:
+    rest = text
+    for c in characters:
+        rest = F.replace(rest, F.lit(c), F.lit(""))
+    return (F.length(text) - F.length(rest)).cast("long")
+
+
 def duplicate_lines(text: Column) -> Column:
     """Lines with a word that equal an earlier line."""
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.rlike(x, F.lit("[^\\x20\\x09-\\x0D]")))
     return let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
 
 
-def repeated_words(words: Column) -> Column:
+def hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def repeated_words(words: Column, h: Column) -> Column:
     """Words that lie in a 3-word window found twice or more in the text, the first one included.
 
-    Windows are sorted by hash, so equal ones become neighbours: n log n for texts of any length."""
+    A window's hash and place share one long (as few bits for the place as the text needs), so that equal
+    windows become neighbours in one sort of plain longs, n log n for texts of any length. Windows that
+    look equal are compared word by word with their next two neighbours on either side."""
 
-    def windows(w: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), F.size(w) - 3),
-            lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")),
-        )
+    def sorted_windows(mask: Column) -> Column:
+        pack = lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2)).bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i.cast("long"))
+        return F.sort_array(F.transform(F.sequence(F.lit(0), F.size(h) - 3), pack))
 
-    def starts(s: Column) -> Column:
-        same = lambda i, j: F.coalesce(F.get(s, i)["h"] == F.get(s, j)["h"], F.lit(False))
-        twice = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda k: same(k, k - 1) | same(k, k + 1))
-        return F.array_sort(F.transform(twice, lambda k: F.get(s, k)["i"]))
+    def starts(mask: Column, s: Column) -> Column:
+        near = lambda x, y: x.bitwiseXOR(y) <= mask
+        close = lambda x, y: F.coalesce(near(x, y) & (x.bitwiseXOR(y) >= 0), F.lit(False))
+        maybe = F.filter(s, lambda x, k: close(x, F.get(s, k + 1)) | close(x, F.get(s, k - 1)))
+        return let(F.transform(maybe, lambda x: x.bitwiseAND(mask).cast("int")), same_words)
+
+    def same_words(p: Column) -> Column:
+        """p: places in the order of their hashes."""
+        word = lambda i, d: F.get(words, i + d)
+        equal = lambda i, j: F.coalesce((i != j) & (word(i, 0) == word(j, 0)) & (word(i, 1) == word(j, 1)) & (word(i, 2) == word(j, 2)), F.lit(False))
+        return F.array_sort(F.filter(p, lambda i, k: equal(i, F.get(p, k + 1)) | equal(i, F.get(p, k - 1)) | equal(i, F.get(p, k + 2)) | equal(i, F.get(p, k - 2))))
 
     def covered(p: Column) -> Column:
         gaps = F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - x, F.lit(3))))
         return F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x)
 
-    found = let(words, lambda w: F.when(F.size(w) > 3, let(F.sort_array(windows(w)), lambda s: let(starts(s), covered))))
-    return F.coalesce(found, F.lit(0).cast("long"))
+    bits = F.length(F.bin(F.size(h).cast("long")))
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
+    found = let(mask, lambda m: let(sorted_windows(m), lambda s: let(starts(m, s), covered)))
+    return F.when(F.size(h) > 3, found).otherwise(F.lit(0).cast("long"))
 
 
-def ngram_buckets(words: Column, buckets: int) -> Column:
-    """Buckets of the words and of the pairs of neighbours."""
+def pair_hashes(h: Column) -> Column:
+    """Hashes of neighbours; the last word has none."""
+    return F.transform(F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(0))), lambda x, k: F.xxhash64(x, F.get(h, k + 1)))
 
-    def both(h: Column) -> Column:
-        pairs = F.transform(F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(0))), lambda x, k: F.pmod(F.xxhash64(x, F.get(h, k + 1)), F.lit(buckets)).cast("int"))
-        return F.concat(F.transform(h, lambda x: F.pmod(x, F.lit(buckets)).cast("int")), pairs)
 
-    return let(F.transform(words, lambda w: F.xxhash64(w)), both)
+def bucket(h: Column, buckets: int) -> Column:
+    """buckets is a power of two."""
+    return h.bitwiseAND(F.lit(buckets - 1).cast("long")).cast("int")
 
 
 def trusted_flag(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -79,10 +99,13 @@ def trusted_flag(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def ratio_model(documents: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smoothing: float = 1.0) -> list[float]:
-    """log(target/raw) by bucket; both multinomials are counted over all documents."""
+    """log(target/raw) by bucket (buckets: a power of two); both multinomials are counted over all documents."""
+    if buckets & (buckets - 1):
+        raise ValueError("buckets must be a power of two")
     marked = trusted_flag(documents.select("doc_id", "text"), labels)
-    grams = marked.select("trusted", F.explode(ngram_buckets(space_words(whole(F.col("text"))), buckets)).alias("bucket"))
-    counted = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum(F.col("trusted").cast("int")).alias("good")).collect()
+    grams = let(hashes(space_words(whole(F.col("text")))), lambda h: F.concat(h, pair_hashes(h)))
+    placed = marked.select("trusted", F.explode(grams).alias("h")).select("trusted", bucket(F.col("h"), buckets).alias("bucket"))
+    counted = placed.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum(F.col("trusted").cast("int")).alias("good")).collect()
     raw, good = [smoothing] * buckets, [0.0] * buckets
     for r in counted:
         raw[r["bucket"]] += r["raw"]
@@ -97,19 +120,22 @@ def ratio_model(documents: DataFrame, labels: DataFrame, buckets: int = BUCKETS,
 
 def judge(documents: DataFrame, model: list[float], threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, the base counts, base_failed, score and kept of every document."""
-    weights = doubles(model)
+    weights, buckets = doubles(model), len(model)
     text = whole(F.col("text"))
     words = documents.select("doc_id", text.alias("text"), space_words(text).alias("words"))
-    grams = ngram_buckets(F.col("words"), len(model))
-    mean = let(grams, lambda g: F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get(weights, b)) / F.greatest(F.size(g), F.lit(1)))
+
+    def sums(h: Column) -> Column:
+        add = lambda grams: F.aggregate(grams, F.lit(0.0), lambda a, x: a + F.get(weights, bucket(x, buckets)))
+        n = F.greatest(2 * F.size(h) - 1, F.lit(1))
+        return F.struct(((add(h) + add(pair_hashes(h))) / n).alias("score"), repeated_words(F.col("words"), h).alias("n_repeat_words"))
+
     judged = words.select(
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
-        F.length(F.translate("text", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        count_characters(F.col("text"), SYMBOLS).alias("n_symbols"),
         duplicate_lines(F.col("text")).alias("n_dup_lines"),
-        repeated_words(F.col("words")).alias("n_repeat_words"),
-        mean.alias("score"),
-    )
+        let(hashes(F.col("words")), sums).alias("x"),
+    ).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "x.n_repeat_words", "x.score")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return judged.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
