@@ -171,8 +171,8 @@ def _rotate(v: np.ndarray, by: int) -> np.ndarray:
 def unit_stars(block: np.ndarray, left: np.ndarray, right: np.ndarray, part: np.ndarray, fp: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
     """Star edges (fingerprint, root) of the components in the units of one task.
 
-    Units are (block, left part, right part) with the block's value on top; where left = right a unit is joined
-    with itself, else its part `left` with its part `right`."""
+    Units are (block, left part, right part) with the block's value on top; where left = right a unit is
+    joined with itself, else its part `left` with its part `right`."""
     cuts = block_bits(budget)
     forest_of, index = np.unique(fp, return_inverse=True)
     forest = Forest(len(forest_of))
@@ -223,9 +223,7 @@ def links(distinct: DataFrame, budget: int = BUDGET, split: int = SPLIT) -> Data
         if got:
             t = pa.Table.from_batches(got)
             col = lambda c: t[c].to_numpy()
-            many = col("left") != col("right")
-            # Units of one part share (block, 0, 0): the block's value on top keeps them apart.
-            a, b = unit_stars(col("block"), col("left"), col("right"), col("part"), col("fp").view(np.uint64), budget) if many.any() or col("left").any() else unit_stars(col("block"), col("left"), col("right"), col("left"), col("fp").view(np.uint64), budget)
+            a, b = unit_stars(col("block"), col("left"), col("right"), col("part"), col("fp").view(np.uint64), budget)
             a, b = a.view(np.int64), b.view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
