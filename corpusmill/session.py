@@ -39,10 +39,36 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+class Scratch:
+    """Tables of one operator in the shared folder, dropped as soon as they have been used."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.root = f"{shared_dir(spark)}/corpusmill-{uuid.uuid4().hex}"
+        self._n = 0
+
+    def put(self, df: DataFrame, name: str = "table") -> DataFrame:
+        """Write df as Parquet and read it back: lineage ends there, and a lost executor costs one
+        read, not the stages before it. The write's shuffle files go when it is done."""
+        self._n += 1
+        path, conf = f"{self.root}/{self._n}-{name}", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(conf, None)
+        self.spark.conf.set(conf, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(conf, before or "false")
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._scratch_path = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        jvm = self.spark._jvm
+        for path in (t._scratch_path for t in tables):
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends there, and a lost
-    executor costs one read, not the stages before it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corpusmill-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """One table that stays: see Scratch.put."""
+    return Scratch(df.sparkSession).put(df, name)
