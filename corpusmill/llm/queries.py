@@ -5,13 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, license_scan, pii, quality_rules, quality_trees, simhash, suffix_dedup, url_rules
+from . import byte_bpe, license_scan, pii, quality_rules, quality_trees, simhash, suffix_dedup, toxicity, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return toxicity.judge(documents, toxicity.train(documents, _table(spark, sf_dir, "labels")))
+
+
 def op2_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     return quality_trees.judge(documents, quality_trees.train(documents, _table(spark, sf_dir, "labels")))
@@ -48,6 +53,7 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_quality_trees": op2_quality_trees,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_quality_rules": op4_quality_rules,
