@@ -39,6 +39,17 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Python workers that start from now on find this package, also where it isn't installed but only lies on a
+    path that all machines see; elsewhere, give it to the cluster with --py-files."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join(p for p in (*paths, root) if p)
+    return spark
+
+
 class Scratch:
     """Tables of one operator in the shared folder, dropped as soon as they have been used."""
 
