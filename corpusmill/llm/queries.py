@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, license_scan, pii, quality_rules, quality_trees, simhash, suffix_dedup, toxicity, url_rules
+from . import byte_bpe, decontaminate, license_scan, pii, quality_rules, quality_trees, simhash, suffix_dedup, toxicity, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents"))
 
 
+def op6_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")).drop("spans")
 
@@ -58,6 +62,7 @@ QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_quality_rules": op4_quality_rules,
     "op5_license_scan": op5_license_scan,
+    "op6_benchmark_leaks": op6_benchmark_leaks,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_pii": op8_pii,
     "op9_url_filters": op9_url_filters,
