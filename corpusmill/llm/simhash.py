@@ -271,3 +271,18 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", budget: int = BUD
     """doc_id, fingerprint (16 hexadecimal digits) and component_id of every row."""
     found = classes(cut(fingerprints(documents, key, shingle=shingle), "fingerprints"), budget, split)
     return found.select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def representatives(documents: DataFrame, budget: int = BUDGET, shingle: int = SHINGLE, split: int = SPLIT) -> DataFrame:
+    """One row of each component, with its own columns: the one with the smallest id.
+
+    Where ids repeat or are null, rows are numbered by (id, text) first, so that each is a document of its own."""
+    columns, mark = documents.columns, "_row_of_component"
+    n, ids = documents.agg(F.count("*"), F.countDistinct("doc_id")).first()
+    if n == ids:
+        rows = documents.withColumn(mark, F.col("doc_id"))
+    else:
+        rows = cut(documents.orderBy(F.col("doc_id").asc_nulls_last(), "text").withColumn(mark, F.monotonically_increasing_id()), "numbered")
+    found = classes(cut(fingerprints(rows, mark, shingle=shingle), "fingerprints"), budget, split)
+    gone = cut(found.where("key != component").select(F.col("key").alias(mark)), "gone")
+    return rows.join(gone, mark, "left_anti").select(*columns)

@@ -121,3 +121,14 @@ def test_query_against_brute_force(spark):
     low = [docs[i]["doc_id"] for i in slow_components(prints)]
     got = sorted((r["doc_id"], r["fingerprint"], r["component_id"]) for r in queries.QUERIES["op10_simhash_dedup"](spark, sf).collect())
     assert got == [(r["doc_id"], f"{f:016x}", c) for r, f, c in zip(docs, prints, low)]
+
+
+def test_representatives(spark):
+    docs = fixtures.documents(spark)
+    low = slow_components([S.fingerprint(t) for t in fixtures.TEXTS])
+    kept = S.representatives(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(low))
+    rows = [(None, "a b c d e"), (4, "a b c d e"), (4, "a b c d e"), (4, "z y x w v"), (None, None)]
+    got = S.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"] or 0), r["text"] or "") for r in got) == [(0, ""), (4, "a b c d e"), (4, "z y x w v")]
+    assert S.representatives(fixtures.empty(spark)).collect() == []
