@@ -1,6 +1,291 @@
-"""The registered queries of the engine's own operators, and DuckDB SQL for each."""
+"""The registered queries of the engine's own operators, and DuckDB SQL for each.
+
+Every query runs over its whole tables. Search queries are the rows whose id is divisible by 100.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions import metrics as M, text as T
+from ..operators import chunking, clustering, concepts, evaluation, rdf, retention, retrieval, similarity
+
+THRESHOLD = 0.3
+ITEM_LIMIT = 10_000
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    return df.select(*(F.round(c, places).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
+
+
+def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return similarity.top_k(vectors.where("vec_id % 100 = 0"), vectors, 15)
+
+
+def _typed_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.when(F.col("label") % 2 == 0, retrieval.SUMMARY).otherwise(retrieval.DOCUMENT).alias("doc_type"))
+    return _hits(spark, sf_dir).join(kinds, "doc_id")
+
+
+def knn_topk(spark, sf_dir):
+    return _rounded(_hits(spark, sf_dir).select("query_id", "doc_id", "similarity_score", "rank"))
+
+
+def retrieval_summary(spark, sf_dir):
+    return _rounded(retrieval.query_summary(_typed_hits(spark, sf_dir)))
+
+
+def retrieval_stats(spark, sf_dir):
+    return _rounded(retrieval.run_summary(_typed_hits(spark, sf_dir)))
+
+
+def prompt_context(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.preview(F.col("text")).alias("content"), F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"))
+    rows = _typed_hits(spark, sf_dir).withColumn("similarity_score", F.round("similarity_score", 6)).join(docs, "doc_id")
+    return retrieval.prompt_context(rows)
+
+
+def sim_self_join(spark, sf_dir):
+    return similarity.link_counts(table(spark, sf_dir, "embeddings"), THRESHOLD)
+
+
+def leader_dedup(spark, sf_dir):
+    return similarity.leaders(table(spark, sf_dir, "embeddings"), THRESHOLD)
+
+
+def name_dedup(spark, sf_dir):
+    rows = concepts.groups_by_name(table(spark, sf_dir, "documents"), "text", "doc_id")
+    return rows.select(F.md5("key").alias("name_key"), F.col("first").alias("first_id"), "members")
+
+
+def nearest_centroid(spark, sf_dir):
+    points = table(spark, sf_dir, "embeddings")
+    return _rounded(clustering.assign(points, clustering.centers(points, "label")))
+
+
+def cluster_stats(spark, sf_dir):
+    return _rounded(clustering.size_stats(table(spark, sf_dir, "embeddings"), "label"))
+
+
+def cluster_hist_zero_fill(spark, sf_dir):
+    return clustering.histogram(table(spark, sf_dir, "embeddings"), "label", 16)
+
+
+def rebalance_labels(spark, sf_dir):
+    points = table(spark, sf_dir, "embeddings")
+    n, k = points.count(), 10
+    return clustering.rebalance(points, "label", max(1, n // k), max(1, n // k) + 1)
+
+
+def kmeans(spark, sf_dir):
+    return clustering.kmeans(table(spark, sf_dir, "embeddings"), 10)
+
+
+def cluster_report(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return clustering.report(docs, "source", "text", "doc_id").withColumn("context_preview", F.md5("context_preview"))
+
+
+def normalize_answer(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.normalize_answer(F.col("text"))).alias("normalized_md5"))
+
+
+def normalize_loose(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.normalize_loose(F.col("text"))).alias("normalized_md5"))
+
+
+def token_count(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.token_count(F.col("text")).alias("n_tokens"))
+
+
+def sentence_chunks(spark, sf_dir):
+    rows = chunking.corpus_rows(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return rows.select(F.col("key").alias("doc_id"), "part", "parts", "title", F.md5("context").alias("context_md5"), "is_supporting")
+
+
+def _answers(spark, sf_dir) -> DataFrame:
+    """An assistant's turn as prediction, its next one as gold."""
+    said = table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    later = said.select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("text").alias("answer"))
+    return said.select("conv_id", "turn", F.col("text").alias("output")).join(later, ["conv_id", "turn"])
+
+
+def qa_accuracy(spark, sf_dir):
+    return evaluation.short_scores(_answers(spark, sf_dir)).select("conv_id", "turn", "accuracy")
+
+
+def qa_f1(spark, sf_dir):
+    return _rounded(evaluation.short_scores(_answers(spark, sf_dir)).select("conv_id", "turn", "f1", "precision", "recall"))
+
+
+def qa_em(spark, sf_dir):
+    return evaluation.short_scores(_answers(spark, sf_dir)).select("conv_id", "turn", "em")
+
+
+def qa_metric_means(spark, sf_dir):
+    return _rounded(evaluation.means(evaluation.short_scores(_answers(spark, sf_dir))))
+
+
+def qa_fallback(spark, sf_dir):
+    return _rounded(evaluation.fallback_means(_answers(spark, sf_dir)))
+
+
+def bleu(spark, sf_dir):
+    rows = _answers(spark, sf_dir).withColumns({"output": T.first_words(F.col("output"), 30), "answer": T.first_words(F.col("answer"), 30)})
+    return _rounded(evaluation.bleu_scores(rows).select("conv_id", "turn", "bleu_1", "bleu_4", "bleu", "bleu_smoothed"))
+
+
+def multi_answer_best(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", F.substring_index("p_name", " ", 1), F.lower("p_type")).alias("output"), F.replace("p_name", F.lit(" "), F.lit("|")).alias("answer"))
+    return _rounded(evaluation.best_scores(rows).select("p_partkey", "accuracy", "f1", "em"))
+
+
+def exact_presence(spark, sf_dir):
+    """Items found word for word, in blocks of at most ITEM_LIMIT items that each batch of texts is searched for."""
+    docs, items = table(spark, sf_dir, "documents").select("text"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
+    many = max(1, -(-items.count() // ITEM_LIMIT))
+    found = None
+    for b in range(many):
+        part = items if many == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(many)) == b)
+        hits = docs.join(F.broadcast(part), F.col("text").contains(F.col("item"))).groupBy("item_id").agg(F.count("*").alias("n_docs"))
+        found = hits if found is None else found.unionByName(hits)
+    return items.select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
+
+
+def index_union(spark, sf_dir):
+    docs = retrieval.document_rows(table(spark, sf_dir, "documents"), "doc_id", "source", "text")
+    groups = table(spark, sf_dir, "embeddings").groupBy(F.col("label").alias("cluster_id")).agg(F.concat(F.lit("rows: "), F.count("*").cast("string")).alias("ontology_summary"))
+    rows = retrieval.index_rows(docs, retrieval.summary_rows(groups))
+    return rows.select("doc_type", F.md5("content").alias("content_md5"), "title", "doc_id", "cluster_id")
+
+
+def _token_counts(spark, sf_dir, words) -> tuple[DataFrame, DataFrame]:
+    counted = table(spark, sf_dir, "documents").select("doc_id", F.explode(words).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+    return counted, counted.select((F.col("doc_id") - 1).alias("doc_id"), "token", F.col("n").alias("m"))
+
+
+def token_intersect_all(spark, sf_dir):
+    """Tokens that a document shares with the one of the next id, as multisets."""
+    own, after = _token_counts(spark, sf_dir, F.array_remove(F.split(T.normalize_answer(F.col("text")), " "), ""))
+    return own.join(after, ["doc_id", "token"]).groupBy("doc_id").agg(F.sum(F.least("n", "m")).alias("common"))
+
+
+def keyword_intersect(spark, sf_dir):
+    """Words of three letters or more that a document shares with the one of the next id, as sets."""
+    own, after = _token_counts(spark, sf_dir, F.regexp_extract_all(T.normalize_answer(F.col("text")), F.lit("[\\p{L}\\p{N}_]{3,}"), 0))
+    return own.join(after, ["doc_id", "token"]).groupBy("doc_id").agg(F.count("*").alias("common"))
+
+
+def _responses(spark, sf_dir) -> DataFrame:
+    """A model's answers made from nations and parts: valid ones, vague ones, and some that aren't JSON."""
+    nations = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    verb = F.when(F.col("n_nationkey") % 5 == 0, "is related to").otherwise("located in")
+    body = F.concat(F.lit('{"ontologies":[{"name":"'), "n_name", F.lit('","description":"A nation","relationships":[{"relation":"'), "n_name", F.lit(" -> "), verb, F.lit(" -> "), "r_name", F.lit('","type":"other"}]}]}'))
+    first = nations.select(F.col("n_nationkey").cast("long").alias("cluster_id"), F.when(F.col("n_nationkey") % 7 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body).alias("response"))
+    parts = table(spark, sf_dir, "part")
+    name = F.when(F.col("p_partkey") % 11 == 0, "").otherwise(F.col("p_name"))
+    text = F.concat(F.lit('{"ontologies":[{"name":"'), name, F.lit('","description":"A part","relationships":[{"relation":"'), "p_name", F.lit(" -> is type of -> "), "p_type", F.lit('","type":"TYPE"}]}]}'))
+    second = parts.select((F.col("p_partkey") + 1000).alias("cluster_id"), F.when(F.col("p_partkey") % 13 == 0, "sorry").otherwise(text).alias("response"))
+    return first.unionByName(second)
+
+
+def ontology_validate(spark, sf_dir):
+    return _responses(spark, sf_dir).select("cluster_id", concepts.response_error(F.col("response")).alias("error"))
+
+
+def ontology_concepts(spark, sf_dir):
+    rows = concepts.parse_responses(_responses(spark, sf_dir))
+    return rows.select("source_cluster", "name", "description", F.get("relationships", F.lit(0))["relation"].alias("relation"), F.get("relationships", F.lit(0))["type"].alias("type"))
+
+
+def _merged(spark, sf_dir) -> DataFrame:
+    rows = concepts.parse_responses(_responses(spark, sf_dir)).withColumn("ord", F.col("source_cluster")).withColumn("key", concepts.name_key(F.col("name")))
+    return concepts.merge_groups(rows, "key")
+
+
+def ontology_merge(spark, sf_dir):
+    return _merged(spark, sf_dir).select("key", "name", F.md5("description").alias("description_md5"), F.size("relationships").alias("n_relationships"), F.size("source_clusters").alias("n_clusters"), "merged_from_count")
+
+
+def ontology_stats(spark, sf_dir):
+    return _rounded(concepts.stats(_merged(spark, sf_dir)))
+
+
+def _concepts(spark, sf_dir) -> DataFrame:
+    rows = concepts.parse_responses(_responses(spark, sf_dir))
+    return rows.select(F.col("name").alias("ontology_name"), "description", F.lit(1).alias("document_count"), F.col("source_cluster").cast("int").alias("cluster_id"), F.col("source_cluster").alias("ord"), "relationships")
+
+
+def owl_triples(spark, sf_dir):
+    return rdf.triples(_concepts(spark, sf_dir)).groupBy("subject", "predicate", "object", "rel_type").agg(F.count("*").alias("n"))
+
+
+def owl_properties(spark, sf_dir):
+    rows = rdf.properties(rdf.triples(_concepts(spark, sf_dir)))
+    return rows.select("predicate", F.array_join("domains", ",").alias("domains"), F.array_join("ranges", ",").alias("ranges"))
+
+
+def owl_classes(spark, sf_dir):
+    return rdf.defined_classes(_concepts(spark, sf_dir))
+
+
+def owl_inferred(spark, sf_dir):
+    rows = _concepts(spark, sf_dir)
+    return rdf.inferred_classes(rdf.triples(rows), rdf.defined_classes(rows)).select("name", "cluster_id", "document_count")
+
+
+def turtle_lines(spark, sf_dir):
+    rows = _concepts(spark, sf_dir)
+    edges = rdf.triples(rows).distinct()
+    return rdf.turtle(rdf.classes(rows, edges), rdf.properties(edges), edges).where("section in (1, 4, 5)").select("section", "line")
+
+
+def xml_escape(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(T.xml_escape(F.col("html"))).alias("escaped_md5"))
+
+
+def content_signature(spark, sf_dir):
+    """Clusters of twenty neighbouring ids: their size is bounded, as the clustering's is."""
+    docs = table(spark, sf_dir, "documents").withColumn("cluster", F.floor(F.col("doc_id") / 20))
+    return concepts.signature(docs, "cluster", F.col("source"), F.col("text"))
+
+
+def keep_newest(spark, sf_dir):
+    return retention.beyond_newest(table(spark, sf_dir, "events"), "event_type", "ts", "event_id").select("event_id", "event_type")
+
+
+def age_filter(spark, sf_dir):
+    return retention.older_than(table(spark, sf_dir, "events"), "ts", 7, F.to_timestamp(F.lit("2024-01-20 00:00:00"))).select("event_id")
+
+
+def metric_stats(spark, sf_dir):
+    return _rounded(retention.call_stats(table(spark, sf_dir, "events"), "value", F.col("event_type") != "error"))
+
+
+def dataset_name(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.dataset_of_index(F.col("url")).alias("by_index"), T.dataset_of_report(F.col("url")).alias("by_report"))
+
+
+def class_names(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", T.class_id(F.concat_ws(" - ", "p_name", "p_brand")).alias("class_id"), T.property_id(F.concat_ws(" ", "p_name", "p_type")).alias("property_id"))
+
+
+def source_concepts(spark, sf_dir):
+    """Documents of every cluster, those without any too."""
+    clusters = spark.range(32).withColumnRenamed("id", "cluster_id")
+    docs = table(spark, sf_dir, "documents").select(F.regexp_extract("source", "([0-9]+)$", 1).cast("long").alias("cluster_id"))
+    return concepts.per_cluster(clusters, docs)
+
+
+QUERIES = {f.__name__: f for f in (
+    knn_topk, retrieval_summary, retrieval_stats, prompt_context, sim_self_join, leader_dedup, name_dedup, nearest_centroid, cluster_stats, cluster_hist_zero_fill, rebalance_labels, kmeans, cluster_report,
+    normalize_answer, normalize_loose, token_count, sentence_chunks, qa_accuracy, qa_f1, qa_em, qa_metric_means, qa_fallback, bleu, multi_answer_best, exact_presence, index_union, token_intersect_all, keyword_intersect,
+    ontology_validate, ontology_concepts, ontology_merge, ontology_stats, owl_triples, owl_properties, owl_classes, owl_inferred, turtle_lines, xml_escape, content_signature, keep_newest, age_filter, metric_stats, dataset_name, class_names, source_concepts,
+)}
+
+from .oracles import ORACLE_SQL  # noqa: E402, F401
