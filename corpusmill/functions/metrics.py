@@ -60,7 +60,7 @@ def accuracy(pred: Column, gold: Column) -> Column:
 
 def alternatives(gold: Column) -> Column:
     """Stripped, non-empty candidates of a gold answer that `|` separates."""
-    return F.filter(F.transform(F.split(T.blank(gold), "\\|"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(T.blank(gold), "\\|"), T.strip), lambda x: x != "")
 
 
 def accuracy_multi(pred: Column, gold: Column) -> Column:
@@ -81,7 +81,7 @@ def exact_match_multi(pred: Column, gold: Column) -> Column:
 def fallback_right(pred: Column, gold: Column) -> Column:
     """The looser test of the report path: false for empty texts; then containment, hyphenated parts, or an end of a range."""
     p, g, raw = T.normalize_loose(pred), T.normalize_loose(gold), T.blank(gold)
-    parts = F.filter(F.transform(F.split(raw, "-"), F.trim), lambda y: y != "")
+    parts = F.filter(F.transform(F.split(raw, "-"), T.strip), lambda y: y != "")
     hyphen = raw.contains("-") & (F.size(F.split(raw, "-")) <= 3) & F.forall(parts, lambda y: p.contains(T.normalize_loose(y)))
     ends = F.split(raw, "\\s*[-–]\\s*")
     span = (raw.contains(" - ") | raw.contains("–")) & (F.size(ends) == 2) & F.exists(ends, lambda y: p.contains(T.normalize_loose(y)))

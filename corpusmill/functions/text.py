@@ -17,9 +17,14 @@ def blank(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(text, "(?U)^\\s+|\\s+$", "")
+
+
 def squeeze(text: Column) -> Column:
     """White space of any kind becomes single blanks, none at the ends."""
-    return F.trim(F.regexp_replace(text, SPACES, " "))
+    return strip(F.regexp_replace(text, SPACES, " "))
 
 
 def normalize_answer(text: Column) -> Column:
@@ -61,9 +66,9 @@ def first_words(text: Column, n: int = 100) -> Column:
 
 def class_id(name: Column) -> Column:
     """PascalCase without signs: `DNA Repair` becomes DnaRepair, nothing becomes UnknownClass."""
-    words = F.regexp_replace(F.trim(F.regexp_replace(F.trim(blank(name)), "[^\\p{L}\\p{N}_\\s-]", "")), "[\\s\\-]+", " ")
+    words = F.regexp_replace(strip(F.regexp_replace(strip(blank(name)), "[^\\p{L}\\p{N}_\\s-]", "")), "[\\s\\-]+", " ")
     made = F.replace(F.initcap(words), F.lit(" "), F.lit(""))
-    return F.when(F.trim(made) == "", "UnknownClass").otherwise(made)
+    return F.when(strip(made) == "", "UnknownClass").otherwise(made)
 
 
 def property_id(name: Column) -> Column:
@@ -76,7 +81,7 @@ def property_id(name: Column) -> Column:
 
 def clean_description(text: Column) -> Column:
     """What stands before the first marker of relations."""
-    return F.trim(F.get(F.split(blank(text), "关系[:：]|Relations?[:：]|Relationships?[:：]", 2), F.lit(0)))
+    return strip(F.get(F.split(blank(text), "关系[:：]|Relations?[:：]|Relationships?[:：]", 2), F.lit(0)))
 
 
 def xml_escape(text: Column) -> Column:
@@ -94,11 +99,11 @@ def turtle_escape(text: Column) -> Column:
 def fenced_json(text: Column) -> Column:
     """The object in a ```json fence, else the text without outer white space."""
     found = F.regexp_extract(blank(text), "(?s)```json\\s*(\\{.*?\\})\\s*```", 1)
-    return F.when(found != "", found).otherwise(F.trim(blank(text)))
+    return F.when(found != "", found).otherwise(strip(blank(text)))
 
 
 def is_json_object(text: Column) -> Column:
-    trimmed = F.trim(blank(text))
+    trimmed = strip(blank(text))
     return trimmed.startswith("{") & F.coalesce(F.try_parse_json(trimmed).isNotNull(), F.lit(False))
 
 
@@ -106,7 +111,7 @@ def has_keys(text: Column, keys: list[str]) -> Column:
     """Not blank; and where the fenced part is an object, it has all keys."""
     found = fenced_json(text)
     held = F.coalesce(F.json_object_keys(found), F.array().cast("array<string>"))
-    return (F.trim(blank(text)) != "") & (~is_json_object(found) | F.forall(F.lit(keys), lambda k: F.array_contains(held, k)))
+    return (strip(blank(text)) != "") & (~is_json_object(found) | F.forall(F.lit(keys), lambda k: F.array_contains(held, k)))
 
 
 def dataset_of_index(path: Column) -> Column:

@@ -14,13 +14,13 @@ TYPES = ["TYPE", "OTHER"]
 
 def parts(relation: Column) -> Column:
     """Subject, predicate and object of `S -> P -> O`, as they stand."""
-    return F.split(F.trim(relation), "\\s*->\\s*")
+    return F.split(T.strip(relation), "\\s*->\\s*")
 
 
 def relation_valid(relation: Column) -> Column:
     """Three non-empty parts, all different, and a predicate that says something."""
     p = parts(T.blank(relation))
-    part = lambda k: F.trim(F.coalesce(F.get(p, F.lit(k)), F.lit("")))
+    part = lambda k: T.strip(F.coalesce(F.get(p, F.lit(k)), F.lit("")))
     vague = F.exists(F.lit(T.VAGUE), lambda v: F.lower(part(1)).contains(v))
     filled = (F.size(p) == 3) & (part(0) != "") & (part(1) != "") & (part(2) != "")
     return filled & (part(0) != part(1)) & (part(1) != part(2)) & (part(0) != part(2)) & ~vague
@@ -28,7 +28,7 @@ def relation_valid(relation: Column) -> Column:
 
 def relations_valid(relationships: Column) -> Column:
     """A list whose entries all have a known type and a valid relation."""
-    known = lambda r: F.upper(F.trim(T.blank(r["type"]))).isin(TYPES)
+    known = lambda r: F.upper(T.strip(T.blank(r["type"]))).isin(TYPES)
     return F.coalesce(F.forall(relationships, lambda r: known(r) & relation_valid(r["relation"])), F.lit(False))
 
 
@@ -37,7 +37,7 @@ def response_error(response: Column) -> Column:
     found = T.fenced_json(response)
     parsed = F.from_json(found, RESPONSE)
     concepts = parsed["ontologies"]
-    named = F.forall(concepts, lambda c: (F.trim(T.blank(c["name"])) != "") & (F.trim(T.blank(c["description"])) != ""))
+    named = F.forall(concepts, lambda c: (T.strip(T.blank(c["name"])) != "") & (T.strip(T.blank(c["description"])) != ""))
     return (
         F.when(~T.is_json_object(found), "not a JSON object")
         .when(concepts.isNull() | (F.size(concepts) == 0), "no ontologies")
@@ -50,12 +50,12 @@ def parse_responses(responses: DataFrame, response: str = "response", cluster: s
     """source_cluster, ord, name, description, relationships of every concept of the valid responses."""
     good = responses.where(response_error(F.col(response)).isNull())
     made = good.select(F.col(cluster).alias("source_cluster"), F.posexplode(F.from_json(T.fenced_json(F.col(response)), RESPONSE)["ontologies"]).alias("ord", "c"))
-    tidy = F.transform("c.relationships", lambda r: F.struct(F.trim(r["relation"]).alias("relation"), F.upper(F.trim(r["type"])).alias("type")))
-    return made.select("source_cluster", "ord", F.trim("c.name").alias("name"), F.trim("c.description").alias("description"), tidy.alias("relationships"))
+    tidy = F.transform("c.relationships", lambda r: F.struct(T.strip(r["relation"]).alias("relation"), F.upper(T.strip(r["type"])).alias("type")))
+    return made.select("source_cluster", "ord", T.strip(F.col("c.name")).alias("name"), T.strip(F.col("c.description")).alias("description"), tidy.alias("relationships"))
 
 
 def name_key(name: Column) -> Column:
-    return F.lower(F.trim(T.blank(name)))
+    return F.lower(T.strip(T.blank(name)))
 
 
 def groups_by_name(rows: DataFrame, name: str = "name", order: str = "ord") -> DataFrame:
@@ -68,7 +68,7 @@ def merge_groups(rows: DataFrame, group: str, order: str = "ord") -> DataFrame:
     sorted_of = lambda c: F.transform(F.array_sort(F.collect_list(F.struct(order, c))), lambda x: x[c])
     merged = rows.groupBy(group).agg(
         F.min_by("name", order).alias("name"),
-        F.array_join(F.filter(sorted_of("description"), lambda d: F.trim(T.blank(d)) != ""), "\n").alias("description"),
+        F.array_join(F.filter(sorted_of("description"), lambda d: T.strip(T.blank(d)) != ""), "\n").alias("description"),
         F.flatten(sorted_of("relationships")).alias("relationships"),
         F.sort_array(F.collect_set(F.coalesce("source_cluster", F.lit(-1)))).alias("source_clusters"),
         F.count("*").cast("int").alias("merged_from_count"),

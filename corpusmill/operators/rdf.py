@@ -19,8 +19,8 @@ def namespace(uri: str) -> str:
 
 def triples(concepts: DataFrame, relationships: str = "relationships") -> DataFrame:
     """subject, predicate, object and rel_type of all relations with three parts; TYPE relations are subClassOf."""
-    rows = concepts.select(F.explode(relationships).alias("r")).select(parts(F.col("r.relation")).alias("p"), F.upper(F.trim(T.blank(F.col("r.type")))).alias("rel_type"))
-    rows = rows.where((F.size("p") == 3) & F.forall("p", lambda x: F.trim(x) != ""))
+    rows = concepts.select(F.explode(relationships).alias("r")).select(parts(F.col("r.relation")).alias("p"), F.upper(T.strip(T.blank(F.col("r.type")))).alias("rel_type"))
+    rows = rows.where((F.size("p") == 3) & F.forall("p", lambda x: T.strip(x) != ""))
     predicate = F.when(F.col("rel_type") == "TYPE", "subClassOf").otherwise(T.property_id(F.get("p", F.lit(1))))
     return rows.select(T.class_id(F.get("p", F.lit(0))).alias("subject"), predicate.alias("predicate"), T.class_id(F.get("p", F.lit(2))).alias("object"), "rel_type")
 

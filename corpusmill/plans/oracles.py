@@ -93,7 +93,7 @@ ORACLE_SQL = {
         walk(rn, lead) as (select 0::bigint, []::bigint[] union all select ids.rn, case when list_has_any(ids.nb, walk.lead) then walk.lead else list_append(walk.lead, ids.vec_id) end from walk join ids on ids.rn = walk.rn + 1),
         done as (select arg_max(lead, rn) lead from walk)
         select vec_id, coalesce(list_min(list_intersect(nb, lead)), vec_id) leader from ids, done""",
-    "name_dedup": "select md5(lower(trim(text))) name_key, min(doc_id) first_id, count(*) members from documents group by 1",
+    "name_dedup": "select md5(lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))) name_key, min(doc_id) first_id, count(*) members from documents group by 1",
     "nearest_centroid": f"""with {VECTORS}, d as (select label, i, avg(e[i]) x from v, range(1, 65) r(i) group by label, i), c as (select label, list(x order by i) c from d group by label),
         s as (select vec_id, c.label cluster_id, list_distance(v.e, c.c) far from v, c), r as (select *, row_number() over (partition by vec_id order by round(far, 9), cluster_id) k from s)
         select vec_id, cluster_id::bigint cluster_id, round(far, 6) distance from r where k = 1""",
