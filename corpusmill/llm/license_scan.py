@@ -181,3 +181,36 @@ def scan(documents: DataFrame, templates: list[Template] = TEMPLATES) -> DataFra
         F.array_join(F.array_sort(F.array_union(base, own)), ",").alias("labels"),
         F.when(F.size(places) > 0, 1.0).otherwise(best).alias("score"),
     )
+
+
+def oracle(templates: list[Template] = TEMPLATES, rare: int = 4, least: int = 2) -> str:
+    """DuckDB SQL: every template word against every word of every text, then the same votes and keys."""
+    index = build_index(templates, {})
+    q = lambda s: "'" + s.replace("'", "''") + "'"
+    places = ", ".join(f"({t}, {p}, {q(w)}, {str((p, w) in index.keys[t]).lower()})" for t, own in enumerate(index.words) for p, w in enumerate(own))
+    labels = ", ".join(f"({t}, {q(x)}, {len(index.words[t])}, {len(index.keys[t])})" for t, x in enumerate(index.labels))
+    fixed = ", ".join(q(w) for text, _ in BASE_PHRASES for w in tokens(text))
+    starts = " union all ".join(
+        f"select doc_id, a.i, {q(label)} label from word a {' '.join(f'join word b{k} using (doc_id)' for k in range(1, len(p)))} where a.w = {q(p[0])} and {' and '.join(f'b{k}.w = {q(x)} and b{k}.i = a.i + {k}' for k, x in enumerate(p) if k)}"
+        for p, label in ((tokens(text), label) for text, label in BASE_PHRASES)
+    )
+    return f"""
+with split as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{BREAK}'), lambda x: x <> '') ws from documents),
+place(t, p, w, is_key) as (values {places}),
+template(t, label, n, n_keys) as (values {labels}),
+word as (select * from (select doc_id, unnest(ws) w, unnest(range(0, len(ws))) i from split) where w in (select w from place) or w in ({fixed})),
+df as (select w, count(distinct doc_id) n from word group by w),
+ranked as (select t, w, row_number() over (partition by t order by coalesce(n, 0), w) r, count(*) over (partition by t) words from (select distinct t, w from place) left join df using (w)),
+aligned as (
+  select doc_id, place.t, i - p as start_at, count(*) filter (r <= {rare}) votes, count(*) filter (is_key) keys, count(*) hits, any_value(words) words
+  from word join place using (w) join ranked on ranked.t = place.t and ranked.w = place.w group by all),
+found as (
+  select doc_id, label, hits / n as share from aligned join template using (t) where votes >= least({least}, least({rare}, words)) and keys = n_keys),
+base as ({starts}),
+counted as (select doc_id, count(*) n_base, min(i) first_word, max(i) last_word, list_sort(list_distinct(list(label))) names from base group by doc_id),
+own as (select doc_id, list(label) names, max(share) share from found group by doc_id)
+select s.doc_id, len(ws) n_words, coalesce(n_base, 0) n_base, first_word, last_word, coalesce(array_to_string(c.names, ','), '') base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(c.names, []), coalesce(o.names, [])))), ','), '') labels,
+       case when n_base > 0 then 1.0 else coalesce(share, 0) end::double score
+from split s left join counted c using (doc_id) left join own o using (doc_id)"""

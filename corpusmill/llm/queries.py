@@ -70,5 +70,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op5_license_scan": license_scan.oracle(),
     "op9_url_filters": url_rules.oracle(url_rules.BASE_RULES, url_rules.PATTERN_RULES),
 }
