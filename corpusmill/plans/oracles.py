@@ -157,4 +157,16 @@ ORACLE_SQL = {
         select page_id, {_dataset(False)} by_index, {_dataset(True)} by_report from s""",
     "class_names": f"""with w as (select p_partkey, {_pascal("p_name || ' - ' || p_brand")} class_id, {_pascal("p_name || ' ' || p_type")} camel from part) select p_partkey, class_id, lower(string_split((select any_value(p_name) from part q where q.p_partkey = w.p_partkey), ' ')[1]) || camel[length(string_split((select any_value(p_name) from part q where q.p_partkey = w.p_partkey), ' ')[1]) + 1:] property_id from w""",
     "source_concepts": "select r.i cluster_id, count(d.doc_id) n from range(32) r(i) left join documents d on regexp_extract(source, '([0-9]+)$', 1)::bigint = r.i group by r.i",
+    "rebalance_labels": f"""with recursive {VECTORS}, size as (select list(n order by label) sizes, sum(n)::bigint total, count(*)::bigint k from (select label, count(*)::bigint n from v group by label)),
+        walk(i, sizes, gone, src, first, last, target) as (
+          select 0::bigint, sizes, list_transform(sizes, lambda x: 0::bigint), 0::bigint, 0::bigint, 0::bigint, 0::bigint from size
+          union all
+          select i + 1, list_transform(range(1, k + 1), lambda j: sizes_now[j] - case when j = c then n else 0 end + case when j = t then n else 0 end), list_transform(range(1, k + 1), lambda j: gone[j] + case when j = c then n else 0 end),
+            c, gone[c] + 1, gone[c] + n, t
+          from (select *, case when t is null or sizes_now[c] <= low + 1 then 0 else least(sizes_now[c] - low - 1, low - sizes_now[t]) end::bigint n
+                from (select w.i, w.gone, w.sizes sizes_now, s.k, greatest(1, s.total // 10) low, (w.i % s.k) + 1 c, list_filter(range(1, s.k + 1), lambda j: w.sizes[j] < greatest(1, s.total // 10))[1] t from walk w, size s where w.i < 10 * s.k))),
+        moves as (select src - 1 src, first, last, target - 1 target from walk where i > 0 and last >= first),
+        d as (select label, x, avg(e[x]) m from v, range(1, 65) r(x) group by label, x), c as (select label, list(m order by x) c from d group by label),
+        ranked as (select vec_id, v.label, row_number() over (partition by v.label order by round(list_distance(v.e, c.c), 9) desc, vec_id) r from v join c on c.label = v.label)
+        select vec_id, coalesce(target, label)::bigint cluster_id, target is not null moved from ranked left join moves on src = label and r between first and last""",
 }
