@@ -3,7 +3,7 @@
 Free style (Arrow batches). The steps, for a block of at most ITEMS benchmark items (more items: more blocks):
 
 1. Terms are the words of the items, so their number is bounded by the block. Document frequencies over all
-   passages (`passage` words) of all documents give idf; terms in more than a tenth of the passages get no weight.
+   passages (`passage` words) of all documents give idf; terms in more than a hundredth of the passages get no weight.
 2. Randomised SVD, distributed: with A the TF-IDF rows (length 1) of all corpus passages and, weighing as much in
    sum, of the items, tasks add up A'A M for a thin random M; the driver orthogonalises it, a second round adds
    up A'A Q, and the eigenvectors of Q'A'AQ give the latent axes (terms x rank numbers). Tasks' sums meet block by block of
@@ -24,7 +24,6 @@ empty table, or an empty benchmark, gives no leaks.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -39,38 +38,38 @@ RANK, EXTRA = 192, 16
 COSINE = 0.4
 VERBATIM, PARAPHRASE, ANSWER = 0.75, 0.45, 0.6
 ANSWER_WORDS = 5
-COMMON = 0.1
+#: Terms in more than this share of the passages (and in more than FEW passages) get no weight.
+COMMON, FEW = 0.01, 20
 #: Items of one block; they and their terms are sent to the executors.
-ITEMS = 20_000
+ITEMS = 2_000
 #: Term weights that are multiplied at once.
 CHUNK = 40_000
 _SALTS, _SLICE = 8, 512
 
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: ASCII letters and digits and everything beyond ASCII make words.
+_BREAKS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
-def words(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").translate(_LOWER))
+def words(text: str | None) -> list[bytes]:
+    return (text or "").lower().encode("utf-8", "replace").translate(_BREAKS).split()
 
 
 @dataclass
 class Model:
     """What the search needs: terms, their weights, latent axes, and the items."""
 
-    terms: dict[str, int]
-    items: list[tuple[int, list[str], list[str] | None]]
+    terms: dict[bytes, int]
+    items: list[tuple[int, list[bytes], list[bytes] | None]]
     weights: np.ndarray | None = None
     axes: np.ndarray | None = None
     queries: np.ndarray | None = None
     owners: list[int] = field(default_factory=list)
 
 
-def spotted(found: list[str], terms: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+def spotted(found: list[bytes], terms: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     """Places and terms of the words that are terms."""
-    t = np.fromiter((terms.get(w, -1) for w in found), np.int64, len(found))
-    at = np.flatnonzero(t >= 0)
-    return at, t[at]
+    at = np.flatnonzero(np.fromiter(map(terms.__contains__, found), bool, len(found)))
+    return at, np.array([terms[found[i]] for i in at.tolist()], dtype=np.int64)
 
 
 def rows_of(row: np.ndarray, term: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -112,12 +111,12 @@ def gram_times(start: np.ndarray, term: np.ndarray, value: np.ndarray, matrix: n
         out[t] += np.add.reduceat(thin[row[part][order]] * value[part][order][:, None], first, axis=0)
 
 
-def _passages(found: list[str], terms: dict[str, int], size: int) -> tuple[np.ndarray, np.ndarray]:
+def _passages(found: list[bytes], terms: dict[bytes, int], size: int) -> tuple[np.ndarray, np.ndarray]:
     at, t = spotted(found, terms)
     return at // size, t
 
 
-def term_frequencies(documents: DataFrame, terms: dict[str, int], size: int = PASSAGE) -> tuple[np.ndarray, int]:
+def term_frequencies(documents: DataFrame, terms: dict[bytes, int], size: int = PASSAGE) -> tuple[np.ndarray, int]:
     """Passages that hold each term, and all passages; one sum a task and term is shuffled."""
     shared = documents.sparkSession.sparkContext.broadcast(terms)
 
@@ -143,7 +142,7 @@ def term_frequencies(documents: DataFrame, terms: dict[str, int], size: int = PA
     return counts, total
 
 
-def corpus_rows(documents: DataFrame, terms: dict[str, int], weights: np.ndarray, size: int = PASSAGE) -> DataFrame:
+def corpus_rows(documents: DataFrame, terms: dict[bytes, int], weights: np.ndarray, size: int = PASSAGE) -> DataFrame:
     """passages and terms (arrays of int32, as bytes) of the weighed words of every text that has any."""
     shared = documents.sparkSession.sparkContext.broadcast({w: t for w, t in terms.items() if weights[t] > 0})
 
@@ -203,7 +202,7 @@ def corpus_gram(rows: DataFrame, weights: np.ndarray, matrix: np.ndarray) -> tup
     return out, n
 
 
-def item_passages(items: list[tuple[int, list[str], list[str] | None]], terms: dict[str, int], size: int) -> tuple[list[int], np.ndarray, np.ndarray]:
+def item_passages(items: list[tuple[int, list[bytes], list[bytes] | None]], terms: dict[bytes, int], size: int) -> tuple[list[int], np.ndarray, np.ndarray]:
     """(owner of each passage, rows, terms) of the items' half-overlapping passages."""
     owners, row, term = [], [], []
     for k, (_, found, _) in enumerate(items):
@@ -215,7 +214,7 @@ def item_passages(items: list[tuple[int, list[str], list[str] | None]], terms: d
     return owners, np.concatenate(row) if row else np.zeros(0, int), np.concatenate(term) if term else np.zeros(0, int)
 
 
-def fit(documents: DataFrame, items: list[tuple[int, list[str], list[str] | None]], size: int = PASSAGE, rank: int = RANK, extra: int = EXTRA, seed: int = 7) -> Model:
+def fit(documents: DataFrame, items: list[tuple[int, list[bytes], list[bytes] | None]], size: int = PASSAGE, rank: int = RANK, extra: int = EXTRA, seed: int = 7) -> Model:
     """Weights, latent axes and the items' projections."""
     scratch = Scratch(documents.sparkSession)
     terms = {w: k for k, w in enumerate(sorted({w for _, found, _ in items for w in found}))}
@@ -224,7 +223,7 @@ def fit(documents: DataFrame, items: list[tuple[int, list[str], list[str] | None
         return model
     df, total = term_frequencies(documents, terms, size)
     idf = np.log((1 + total) / (1 + df))
-    model.weights = np.where(df > COMMON * total, 0.0, idf) if total else np.ones(len(terms))
+    model.weights = np.where(df > max(FEW, COMMON * total), 0.0, idf) if total else np.ones(len(terms))
     if not model.weights.any():
         model.weights = np.maximum(idf, 1e-3)
     owners, row, term = item_passages(items, terms, size)
@@ -252,9 +251,9 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x**2).sum(axis=1, keepdims=True)), 1e-9)
 
 
-def subsequence(a: list[str], b: list[str]) -> int:
+def subsequence(a: list[bytes], b: list[bytes]) -> int:
     """Words of the longest common subsequence, with the rows of the table as bits of one number."""
-    places: dict[str, int] = {}
+    places: dict[bytes, int] = {}
     for k, w in enumerate(a):
         places[w] = places.get(w, 0) | 1 << k
     full = (1 << len(a)) - 1
@@ -265,7 +264,7 @@ def subsequence(a: list[str], b: list[str]) -> int:
     return len(a) - v.bit_count()
 
 
-def best_match(item: list[str], around: list[str]) -> tuple[float, int, int]:
+def best_match(item: list[bytes], around: list[bytes]) -> tuple[float, int, int]:
     """The largest share of item that is a subsequence of a window of around, and that window."""
     width, step = len(item) + len(item) // 4 + 2, max(1, len(item) // 4)
     best = (0.0, 0, 0)
@@ -281,6 +280,7 @@ class Searcher:
 
     def __init__(self, model: Model, size: int = PASSAGE, cosine: float = COSINE):
         self.model, self.size, self.cosine = model, size, cosine
+        self.weighed = {w: t for w, t in model.terms.items() if model.weights[t] > 0} if model.weights is not None else {}
         self.answers = []
         for _, found, answer in model.items:
             rare = sorted({w for w in found}, key=lambda w: (-model.weights[model.terms[w]], w))[:ANSWER_WORDS] if model.weights is not None else []
@@ -295,7 +295,7 @@ class Searcher:
         found, owner, row, term, base = [], [], [], [], 0
         for k, text in enumerate(texts):
             found.append(words(text))
-            at, t = spotted(found[-1], model.terms)
+            at, t = spotted(found[-1], self.weighed)
             # A place lies in the window that starts at its half, and in the one before; a short text's only window is the first.
             last = max(0, -(-len(found[-1]) // half) - 2)
             j = np.minimum(at // half, last)
@@ -320,7 +320,7 @@ class Searcher:
                 out[k].append(checked)
         return [sorted(x) for x in out]
 
-    def check(self, found: list[str], i: int, places: list[tuple[float, int]]) -> tuple[int, float, float, float] | None:
+    def check(self, found: list[bytes], i: int, places: list[tuple[float, int]]) -> tuple[int, float, float, float] | None:
         name, item, _ = self.model.items[i]
         top, seen = (0.0, 0.0), -1
         for _, place in sorted(places, key=lambda p: p[1]):
@@ -333,7 +333,7 @@ class Searcher:
         return (name, max(c for c, _ in places), *top) if leak else None
 
 
-def _blocks(benchmark: DataFrame, block: int = ITEMS) -> Iterator[list[tuple[int, list[str], list[str] | None]]]:
+def _blocks(benchmark: DataFrame, block: int = ITEMS) -> Iterator[list[tuple[int, list[bytes], list[bytes] | None]]]:
     """The items (id, words, answer's words) that have words, at most about `block` at a time."""
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     rows = benchmark.select("item_id", "text", answer.alias("answer")).where("text is not null")
@@ -369,7 +369,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out
 
 
-def leak_column(documents: DataFrame, items: list[tuple[int, list[str], list[str] | None]], text: Column) -> Column:
+def leak_column(documents: DataFrame, items: list[tuple[int, list[bytes], list[bytes] | None]], text: Column) -> Column:
     """True where the text leaks an item of the block."""
     shared = documents.sparkSession.sparkContext.broadcast(fit(documents, items))
 

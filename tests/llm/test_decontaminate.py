@@ -43,8 +43,7 @@ def test_sparse_products(monkeypatch):
 
 def corpus():
     r = np.random.default_rng(4)
-    vocabulary = [f"w{k}x" for k in range(400)]
-    vocabulary = ["".join(chr(97 + int(c)) for c in str(k)) for k in range(1000, 1400)]
+    vocabulary = ["".join(chr(97 + int(c)) for c in str(k)) for k in range(10_000, 13_000)]
     text = lambda n: " ".join(r.choice(vocabulary, n))
     items = [text(25) for _ in range(6)]
     docs = [text(int(r.integers(5, 300))) for _ in range(60)]
@@ -122,7 +121,7 @@ def test_answers_column(spark):
         s = D.Searcher(D.fit(frame, items_))
         s.cosine = -1.0
         share = D.best_match(items_[0][1], D.words(docs[63]))[0]
-        assert D.PARAPHRASE <= share and (n == 1 or share >= D.VERBATIM or s.leaks([docs[63]]) == [[]])
+        assert D.PARAPHRASE <= share < 0.9 and (n == 1 or share >= D.VERBATIM or s.leaks([docs[63]]) == [[]])
 
 
 def test_awkward_documents(spark):
