@@ -9,8 +9,8 @@ different texts, is a span too, wherever it stands near that entity; sanitise()
 removes it where the share reaches the removal threshold.
 
 Scale: texts are read twice, row by row, and never shuffled; only rows for words near entities, and counts, are.
-n(t) is counted by a join of all words with the terms in question (broadcast up to BROADCAST_TERMS, else a
-shuffle join), with partial sums before the shuffle. Every pattern is run in a form that is linear in the text.
+n(t) is a word count with partial sums before the shuffle; only then do the counts meet the terms in question.
+Every pattern is run in a form that is linear in the text.
 
 Cases: a null text is empty and has no spans; spans count code points. Repeated rows (same id and text) get the
 same spans each; equal texts count once as support, and every row counts in N. An entity in every document
@@ -37,6 +37,7 @@ WINDOW = 8
 DISCLOSURE = 0.9
 REMOVAL = 0.999
 SUPPORT = 3
+#: Rows with risky terms that are broadcast to the texts that sanitise() rewrites; beyond, a shuffle join.
 BROADCAST_TERMS = 200_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -163,14 +164,14 @@ def risky_terms(documents: DataFrame, found: DataFrame, disclosure: float = DISC
     once = near.groupBy("entity", "term", "h", "h2").agg(F.countDistinct("doc_id").alias("docs"))
     pairs = cut(once.groupBy("entity", "term").agg(F.sum("docs").alias("n_te"), F.count("*").alias("texts")).where(F.col("texts") >= support), "pairs")
     terms = cut(pairs.select("term").distinct(), "terms")
-    n_terms = terms.count()
-    if not n_terms:
+    if not terms.take(1):
         return pairs.select("entity", "term", F.lit(0.0).alias("share"))
     entities = near.select("entity", "doc_id", "h", "h2").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     entities = cut(entities, "entities")
     words = documents.select(F.explode(F.array_distinct(license_scan.words(F.col("text")))).alias("term"))
-    wanted = F.broadcast(terms) if n_terms <= BROADCAST_TERMS else terms
-    n_t = cut(words.join(wanted, "term").groupBy("term").agg(F.count("*").alias("n_t")), "frequencies")
+    # Counted before they meet the terms: a frequent word is one row a task then, not one a document.
+    counts = words.groupBy("term").agg(F.count("*").alias("n_t"))
+    n_t = cut(counts.join(terms, "term"), "frequencies")
     total = found.count()
     joined = pairs.join(n_t, "term").join(entities, "entity")
     log = lambda x: F.log(x)
