@@ -2,9 +2,9 @@
 
 Free style: an Arrow UDF hashes each text's words and sums weights; one narrow scan, no shuffle of texts. The
 model is fitted on the driver on at most `sample` labelled rows (SAMPLE, chosen by the least hash of their ids,
-which are broadcast; their sparse features reach the driver) and is an array of a fixed size.
+which are broadcast; of their features, those that will be weighed reach the driver) and is an array of a fixed size.
 
-Features are hashed words (A-Z lower-cased) and their beginnings of PREFIXES characters, so that inflected and
+Features are hashed words (lower-cased) and their beginnings of PREFIXES characters, so that inflected and
 compound forms share what they begin with: 1 where a text has one; two that share a slot share a weight.
 labels.toxic has two grades only, so ordered grades are made from it: 0 for rows that aren't toxic; toxic rows
 have grade 1, 2 or 3 by how many marked features (those that stand clearly more often in toxic rows than
@@ -33,6 +33,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import Scratch
+
 SAMPLE = 20_000
 SLOTS = 1 << 18
 GRADES = 4
@@ -44,7 +46,6 @@ LEAST_ROWS, SURE = 5, 4.0
 TOXIC = 0.3
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def slot(feature: str) -> int:
@@ -52,18 +53,24 @@ def slot(feature: str) -> int:
 
 
 class Slots(dict):
-    """Words to the slots of their features, each hashed once; emptied before it grows large."""
+    """Words to the slots of their features, each hashed once; emptied before it grows large. With weights, only
+    slots that weigh something: for most words, none."""
+
+    def __init__(self, weights: np.ndarray | None = None, most: int = 300_000):
+        self.some = None if weights is None else set(np.flatnonzero(weights).tolist())
+        self.most = most if weights is not None else most // 6
 
-    def __missing__(self, word: str) -> list[int]:
-        if len(self) > 50_000:
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) > self.most:
             self.clear()
-        value = self[word] = [slot(word), *(slot(f"{word[:k]}*") for k in PREFIXES if k <= len(word))]
+        made = (slot(word), *(slot(f"{word[:k]}*") for k in PREFIXES if k <= len(word)))
+        value = self[word] = made if self.some is None else tuple(k for k in made if k in self.some)
         return value
 
 
 def features(text: str | None, slots: Slots) -> tuple[np.ndarray, int]:
     """The slots of a text in rising order, and how many different words it has."""
-    words = set(_WORD.findall((text or "").translate(_LOWER)))
+    words = set(_WORD.findall((text or "").lower()))
     return np.array(sorted({k for w in words for k in slots[w]}), dtype=np.int64), len(words)
 
 
@@ -156,7 +163,9 @@ def fit(x: Sparse, y: np.ndarray, steps: int = 800, rate: float = 0.05, ridge: f
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Sparse, np.ndarray, np.ndarray]:
-    """The sample's features, numbers of different words, and toxic."""
+    """The sample's weighed features, numbers of different words, and toxic.
+
+    Features are counted beside the rows; only those that will be weighed (SLOTS at most) reach the driver."""
     marked = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").alias("y"))
     marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
     texts = documents.select("doc_id", "text").join(F.broadcast(marked), "doc_id").select("doc_id", "y", "text")
@@ -168,10 +177,36 @@ def training_rows(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE)
             raw = [f[0].astype("<i4").tobytes() for f in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int64()), pa.array(raw, pa.binary()), pa.array([f[1] for f in found], pa.int64())], names=["doc_id", "y", "slots", "words"])
 
-    rows = texts.mapInArrow(run, "doc_id long, y long, slots binary, words long").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["y"], bytes(r["slots"])))
-    x = Sparse.of([np.frombuffer(r["slots"], "<i4").astype(np.int64) for r in rows])
-    return x, np.array([r["words"] for r in rows], dtype=float), np.array([r["y"] for r in rows], dtype=float)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, hits = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for y, raw in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                at = np.frombuffer(raw, "<i4")
+                rows[at] += 1
+                hits[at] += y
+        held = np.flatnonzero(rows)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(rows[held]), pa.array(hits[held])], names=["slot", "n", "hits"])
+
+    scratch = Scratch(documents.sparkSession)
+    rows = scratch.put(texts.mapInArrow(run, "doc_id long, y long, slots binary, words long"), "features")
+    n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    base = toxic / max(1, n)
+    counted = rows.mapInArrow(count, "slot long, n long, hits long").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+    off = F.abs(F.col("hits") - F.col("n") * base) / F.sqrt(F.greatest(F.col("n") * (base * (1 - base)), F.lit(1e-9)))
+    weighed = np.array(sorted(r["slot"] for r in counted.where((F.col("n") >= LEAST_ROWS) & (off >= SURE)).select("slot").collect()), dtype=np.int64)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = np.zeros(SLOTS, bool)
+        some[weighed] = True
+        for batch in batches:
+            each = (np.frombuffer(raw, "<i4") for raw in batch.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([x[some[x]].tobytes() for x in each], pa.binary()), batch.column(3)], names=batch.schema.names)
+
+    got = rows.mapInArrow(keep, rows.schema).collect()
+    scratch.drop(rows)
+    got.sort(key=lambda r: (r["doc_id"], r["y"], bytes(r["slots"])))
+    x = Sparse.of([np.frombuffer(r["slots"], "<i4").astype(np.int64) for r in got])
+    return x, np.array([r["words"] for r in got], dtype=float), np.array([r["y"] for r in got], dtype=float)
 
 
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
@@ -185,7 +220,7 @@ def judge(documents: DataFrame, model: Ordinal, toxic: float = TOXIC) -> DataFra
     """doc_id, p_toxic = P(grade > 0), severity (expected grade, 0 to 3), grade (the likeliest) and toxic of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = Slots()
+        slots = Slots(model.weights)
         for batch in batches:
             margins = np.array([model.weights[features(t, slots)[0]].sum() for t in batch.column(1).to_pylist()], dtype=float)
             s = model.above(margins)
