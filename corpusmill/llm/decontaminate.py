@@ -325,10 +325,15 @@ class Searcher:
         top, seen = (0.0, 0.0), -1
         for _, place in sorted(places, key=lambda p: p[1]):
             a, b = max(0, place - len(item), seen - len(item)), place + self.size + len(item)
+            seen = b
+            near = set(found[a:b])
+            # No subsequence is longer than the item's words that stand here at all.
+            if sum(w in near for w in item) < PARAPHRASE * len(item):
+                continue
             share, s, e = best_match(item, found[a:b])
             held = set(found[a + s : a + e])
             answer = len(self.answers[i] & held) / max(1, len(self.answers[i]))
-            top, seen = max(top, (share, answer)), b
+            top = max(top, (share, answer))
         leak = top[0] >= VERBATIM or (top[0] >= PARAPHRASE and top[1] >= ANSWER)
         return (name, max(c for c, _ in places), *top) if leak else None
 
