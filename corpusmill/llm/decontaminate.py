@@ -4,12 +4,15 @@ Free style (Arrow batches). The steps, for a block of at most ITEMS benchmark it
 
 1. Terms are the words of the items, so their number is bounded by the block. Document frequencies over all
    passages (`passage` words) of all documents give idf; terms in more than a hundredth of the passages get no weight.
+   An item with a passage of which less than half of the words has weight (a leak in a large group of copies makes its own
+   words common) is also searched for word by word, see step 3.
 2. Randomised SVD, distributed: with A the TF-IDF rows (length 1) of all corpus passages and, weighing as much in
    sum, of the items, tasks add up A'A M for a thin random M; the driver orthogonalises it, a second round adds
    up A'A Q, and the eigenvectors of Q'A'AQ give the latent axes (terms x rank numbers). Tasks' sums meet block by block of
    terms in two salted steps, so no task takes in all of them.
 3. Every passage of every text (half-overlapping windows) is projected, in blocks, and its cosine to every item passage
-   taken. Those from `cosine` on are candidates.
+   taken. Those from `cosine` on are candidates. For the items that are searched for word by word, every place is one
+   from which on as many of the item's words stand, within a matching window, as the checks ask for at least; that loses none.
 4. A candidate's surroundings are checked against the item's words: the longest common subsequence as a share
    of the item, over windows a little longer than the item, and which of the item's answer words (a column
    `answer` if the benchmark has one, else its rarest weighed words) stand there. Near-verbatim text is a leak by the
@@ -24,6 +27,8 @@ empty table, or an empty benchmark, gives no leaks.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -40,6 +45,8 @@ VERBATIM, PARAPHRASE, ANSWER = 0.75, 0.45, 0.6
 ANSWER_WORDS = 5
 #: Terms in more than this share of the passages (and in more than FEW passages) get no weight.
 COMMON, FEW = 0.01, 20
+#: Items with a passage of which less than this share of the words has weight are searched for word by word.
+WEIGHED = 0.5
 #: Items of one block; they and their terms are sent to the executors.
 ITEMS = 2_000
 #: Term weights that are multiplied at once.
@@ -64,6 +71,8 @@ class Model:
     axes: np.ndarray | None = None
     queries: np.ndarray | None = None
     owners: list[int] = field(default_factory=list)
+    exact: list[int] = field(default_factory=list)
+    often: np.ndarray | None = None
 
 
 def spotted(found: list[bytes], terms: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -214,6 +223,13 @@ def item_passages(items: list[tuple[int, list[bytes], list[bytes] | None]], term
     return owners, np.concatenate(row) if row else np.zeros(0, int), np.concatenate(term) if term else np.zeros(0, int)
 
 
+def mostly_common(owners: list[int], row: np.ndarray, term: np.ndarray, weights: np.ndarray) -> list[int]:
+    """Items with a passage of whose different words too few have weight."""
+    r, t = np.divmod(np.unique(row * len(weights) + term), len(weights))
+    share = np.bincount(r, weights[t] > 0) / np.maximum(np.bincount(r), 1)
+    return sorted({owners[p] for p in np.flatnonzero(share < WEIGHED)})
+
+
 def fit(documents: DataFrame, items: list[tuple[int, list[bytes], list[bytes] | None]], size: int = PASSAGE, rank: int = RANK, extra: int = EXTRA, seed: int = 7) -> Model:
     """Weights, latent axes and the items' projections."""
     scratch = Scratch(documents.sparkSession)
@@ -223,10 +239,12 @@ def fit(documents: DataFrame, items: list[tuple[int, list[bytes], list[bytes] |
         return model
     df, total = term_frequencies(documents, terms, size)
     idf = np.log((1 + total) / (1 + df))
+    model.often = df
     model.weights = np.where(df > max(FEW, COMMON * total), 0.0, idf) if total else np.ones(len(terms))
+    owners, row, term = item_passages(items, terms, size)
+    model.exact = mostly_common(owners, row, term, model.weights)
     if not model.weights.any():
         model.weights = np.maximum(idf, 1e-3)
-    owners, row, term = item_passages(items, terms, size)
     names, start, t, value = rows_of(row, term, model.weights)
     model.owners = [owners[k] for k in names]
     rows = scratch.put(corpus_rows(documents, terms, model.weights, size), "rows")
@@ -264,9 +282,14 @@ def subsequence(a: list[bytes], b: list[bytes]) -> int:
     return len(a) - v.bit_count()
 
 
+def reach(item: list[bytes]) -> int:
+    """Words of a window that an item is matched with."""
+    return len(item) + len(item) // 4 + 2
+
+
 def best_match(item: list[bytes], around: list[bytes]) -> tuple[float, int, int]:
     """The largest share of item that is a subsequence of a window of around, and that window."""
-    width, step = len(item) + len(item) // 4 + 2, max(1, len(item) // 4)
+    width, step = reach(item), max(1, len(item) // 4)
     best = (0.0, 0, 0)
     for at in range(0, max(1, len(around) - width + step), step):
         share = subsequence(item, around[at : at + width]) / len(item)
@@ -275,12 +298,29 @@ def best_match(item: list[bytes], around: list[bytes]) -> tuple[float, int, int]
     return best
 
 
+def likeness(a: list[bytes], b: list[bytes]) -> float:
+    """Cosine of the counts of words."""
+    x, y = Counter(a), Counter(b)
+    dot = sum(n * y[w] for w, n in x.items())
+    return dot / math.sqrt(sum(n * n for n in x.values()) * sum(n * n for n in y.values())) if dot else 0.0
+
+
 class Searcher:
     """A model on a worker."""
 
     def __init__(self, model: Model, size: int = PASSAGE, cosine: float = COSINE):
         self.model, self.size, self.cosine = model, size, cosine
-        self.weighed = {w: t for w, t in model.terms.items() if model.weights[t] > 0} if model.weights is not None else {}
+        #: By term and item of model.exact, how often the term stands in the item; and how many of these words a leak holds
+        #: at least. The most common words, up to a quarter of the item, are taken as given.
+        self.held = np.zeros((len(model.terms), len(model.exact)), np.int32)
+        self.least = np.zeros(len(model.exact))
+        for h, i in enumerate(model.exact):
+            t, n = np.unique([model.terms[w] for w in model.items[i][1]], return_counts=True)
+            order = np.argsort(-model.often[t], kind="stable")
+            rest = np.cumsum(n[order]) > n.sum() // 4
+            self.held[t[order][rest], h] = n[order][rest]
+            self.least[h] = PARAPHRASE * n.sum() - n[order][~rest].sum()
+        self.sought = {w: t for w, t in model.terms.items() if model.weights[t] > 0 or self.held[t].any()} if model.weights is not None else {}
         self.answers = []
         for _, found, answer in model.items:
             rare = sorted({w for w in found}, key=lambda w: (-model.weights[model.terms[w]], w))[:ANSWER_WORDS] if model.weights is not None else []
@@ -290,12 +330,15 @@ class Searcher:
         """For each text, (item id, cosine, subsequence share, answer share) of the items that it leaks."""
         model, half = self.model, self.size // 2
         out: list[list[tuple[int, float, float, float]]] = [[] for _ in texts]
-        if model.queries is None or not len(model.queries):
+        if model.queries is None:
             return out
+        best: dict[tuple[int, int], list[tuple[float, int]]] = {}
         found, owner, row, term, base = [], [], [], [], 0
         for k, text in enumerate(texts):
             found.append(words(text))
-            at, t = spotted(found[-1], self.weighed)
+            at, t = spotted(found[-1], self.sought)
+            for i, places in self.places(at, t):
+                best[k, i] = [(0.0, p) for p in places]
             # A place lies in the window that starts at its half, and in the one before; a short text's only window is the first.
             last = max(0, -(-len(found[-1]) // half) - 2)
             j = np.minimum(at // half, last)
@@ -305,7 +348,6 @@ class Searcher:
             owner += [(k, s * half) for s in range(last + 1)]
             base += last + 1
         names, start, t, value = rows_of(np.concatenate(row), np.concatenate(term), model.weights)
-        best: dict[tuple[int, int], list[tuple[float, int]]] = {}
         for at in range(0, len(names), 4096):
             ends = np.append(start, len(t))[at : at + 4097]
             part = slice(ends[0], ends[-1])
@@ -320,6 +362,18 @@ class Searcher:
                 out[k].append(checked)
         return [sorted(x) for x in out]
 
+    def places(self, at: np.ndarray, t: np.ndarray) -> Iterator[tuple[int, list[int]]]:
+        """Items of model.exact that a text may leak, and where; at and t are the places and terms of its words."""
+        half = self.size // 2
+        # No subsequence is longer than the item's words that stand in the text at all, nor than those in its window.
+        for h in np.flatnonzero(self.held[np.unique(t)].sum(axis=0) >= self.least):
+            item = self.model.items[self.model.exact[h]][1]
+            own = at[self.held[t, h] > 0]
+            many = np.searchsorted(own, own + reach(item)) - np.arange(len(own))
+            first = np.unique(own[many >= self.least[h]] // half)
+            if len(first):
+                yield self.model.exact[h], sorted({(f + j) * half for f in first.tolist() for j in range(1 + len(item) // 4 // half)})
+
     def check(self, found: list[bytes], i: int, places: list[tuple[float, int]]) -> tuple[int, float, float, float] | None:
         name, item, _ = self.model.items[i]
         top, seen = (0.0, 0.0), -1
@@ -335,7 +389,10 @@ class Searcher:
             answer = len(self.answers[i] & held) / max(1, len(self.answers[i]))
             top = max(top, (share, answer))
         leak = top[0] >= VERBATIM or (top[0] >= PARAPHRASE and top[1] >= ANSWER)
-        return (name, max(c for c, _ in places), *top) if leak else None
+        if not leak:
+            return None
+        # Without a cosine of the latent space, that of the counts of words.
+        return name, max(c for c, _ in places) or max(likeness(item, found[p : p + self.size]) for _, p in places), *top
 
 
 def _blocks(benchmark: DataFrame, block: int = ITEMS) -> Iterator[list[tuple[int, list[bytes], list[bytes] | None]]]:

@@ -92,6 +92,20 @@ def test_planted_leaks(spark):
     assert kept.columns == ["doc_id", "text", "extra"] and sorted(r["doc_id"] for r in kept.collect()) == [*range(60), 64]
 
 
+def test_leak_copied_to_a_third_of_the_rows(spark):
+    """All words of the item are common then; copies, leaks among other words, and leaks of other items are found all the same."""
+    docs, items = corpus()
+    lone = len(docs)
+    docs += [" ".join(docs[1].split()[:70]) + " " + items[4] + " " + docs[2], items[4].upper()]
+    copies = range(len(docs), len(docs) + len(docs) // 2)
+    docs += [" ".join(docs[0].split()[:40]) + " " + items[4] + " " + " ".join(docs[3].split()[:40])] * len(copies)
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in D.leaks(frame, bench).collect()}
+    assert got == {(60, 0), (61, 1), (62, 2), (63, 3), (lone, 4), (lone + 1, 4), *((k, 4) for k in copies)}
+    assert {r["doc_id"] for r in D.clean(frame, bench).collect()} == {*range(60), 64}
+
+
 def test_search_misses_no_verified_pair(spark):
     """Every pair that the check alone would accept, over all places of all texts, is found by the search."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(400)
