@@ -102,24 +102,41 @@ def ngrams(a: Column, n: int) -> Column:
     return F.when(F.size(a) >= n, some).otherwise(F.array().cast("array<string>"))
 
 
-def bleu(pred: Column, gold: Column, weights: tuple[float, ...] = (0.25, 0.25, 0.25, 0.25), epsilon: float | None = None) -> Column:
-    """Sentence BLEU of white-space tokens; with epsilon, an n-gram precision of 0 counts as epsilon / n-grams."""
+def _matched(own: Column, other: Column) -> Column:
+    """The same number as _common(), for long arrays: one walk over both sorted together, own entries first."""
+    tagged = lambda a, k: F.transform(a, lambda x: F.struct(x.alias("x"), F.lit(k).alias("k")))
+    start = F.struct(F.lit(None).cast("string").alias("x"), F.lit(0).alias("left"), F.lit(0).alias("n"))
 
-    def scored(x: Column) -> Column:
-        p, g = x["p"], x["g"]
-        total = F.lit(0.0)
-        for n, w in enumerate(weights, 1):
-            if not w:
-                continue
-            own = ngrams(p, n)
-            same, many = _common(own, ngrams(g, n)).cast("double"), F.greatest(F.size(own), F.lit(1))
-            hit = F.when(same > 0, same).otherwise(F.lit(epsilon or 0.0))
-            total = total + w * F.log(F.when(hit > 0, hit / many))
-        brevity = F.when(F.size(p) > F.size(g), 0.0).otherwise(1 - F.size(g) / F.size(p))
-        overlap = _common(p, g) > 0
-        return F.when((F.size(p) == 0) | ~overlap, 0.0).otherwise(F.coalesce(F.exp(brevity + total), F.lit(0.0)))
-
-    return _let(F.struct(T.tokens(pred).alias("p"), T.tokens(gold).alias("g")), scored)
+    def step(a: Column, y: Column) -> Column:
+        left = F.when(y["x"].eqNullSafe(a["x"]), a["left"]).otherwise(0)
+        hit = ((y["k"] == 1) & (left > 0)).cast("int")
+        return F.struct(y["x"].alias("x"), F.when(y["k"] == 0, left + 1).otherwise(left - hit).alias("left"), (a["n"] + hit).alias("n"))
+
+    return F.aggregate(F.sort_array(F.concat(tagged(own, 0), tagged(other, 1))), start, step, lambda a: a["n"])
+
+
+def bleu_counts(pred: Column, gold: Column, orders: int = 4) -> Column:
+    """struct(p, g, same): white-space tokens of either side, and the n-grams in both for n from 1 to orders."""
+    both = F.struct(T.tokens(pred).alias("p"), T.tokens(gold).alias("g"))
+    return _let(both, lambda x: F.struct(F.size(x["p"]).alias("p"), F.size(x["g"]).alias("g"), F.array(*(_matched(ngrams(x["p"], n), ngrams(x["g"], n)) for n in range(1, orders + 1))).alias("same")))
+
+
+def bleu_score(counts: Column, weights: tuple[float, ...] = (0.25, 0.25, 0.25, 0.25), epsilon: float | None = None) -> Column:
+    """Sentence BLEU of bleu_counts(); with epsilon, an n-gram precision of 0 counts as epsilon / n-grams."""
+    p, g, total = counts["p"], counts["g"], F.lit(0.0)
+    for n, w in enumerate(weights, 1):
+        if not w:
+            continue
+        same, many = counts["same"][n - 1].cast("double"), F.greatest(p - (n - 1), F.lit(1))
+        hit = F.when(same > 0, same).otherwise(F.lit(epsilon or 0.0))
+        total = total + w * F.log(F.when(hit > 0, hit / many))
+    brevity = F.when(p > g, 0.0).otherwise(1 - g / p)
+    return F.when((p == 0) | (counts["same"][0] == 0), 0.0).otherwise(F.coalesce(F.exp(brevity + total), F.lit(0.0)))
+
+
+def bleu(pred: Column, gold: Column, weights: tuple[float, ...] = (0.25, 0.25, 0.25, 0.25), epsilon: float | None = None) -> Column:
+    """Sentence BLEU of white-space tokens."""
+    return _let(bleu_counts(pred, gold, len(weights)), lambda x: bleu_score(x, weights, epsilon))
 
 
 def string_em(context: Column, answer_sets: Column) -> Column:

@@ -49,8 +49,9 @@ def presence_scores(rows: DataFrame, pred: str = "prediction", pairs: str = "qa_
 
 
 def bleu_scores(rows: DataFrame, pred: str = "output", gold: str = "answer") -> DataFrame:
-    p, g = F.col(pred), F.col(gold)
-    return rows.withColumns({"bleu_1": M.bleu(p, g, (1, 0, 0, 0)), "bleu_4": M.bleu(p, g, (0, 0, 0, 1)), "bleu": M.bleu(p, g), "bleu_smoothed": M.bleu(p, g, epsilon=0.1)})
+    c = F.col("_c")
+    scored = rows.withColumn("_c", M.bleu_counts(F.col(pred), F.col(gold)))
+    return scored.select(*rows.columns, M.bleu_score(c, (1, 0, 0, 0)).alias("bleu_1"), M.bleu_score(c, (0, 0, 0, 1)).alias("bleu_4"), M.bleu_score(c).alias("bleu"), M.bleu_score(c, epsilon=0.1).alias("bleu_smoothed"))
 
 
 #: Suites by the kind of data set.

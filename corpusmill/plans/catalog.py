@@ -136,8 +136,7 @@ def qa_fallback(spark, sf_dir):
 
 
 def bleu(spark, sf_dir):
-    rows = _answers(spark, sf_dir).withColumns({"output": T.first_words(F.col("output"), 30), "answer": T.first_words(F.col("answer"), 30)})
-    return _rounded(evaluation.bleu_scores(rows).select("conv_id", "turn", "bleu_1", "bleu_4", "bleu", "bleu_smoothed"))
+    return _rounded(evaluation.bleu_scores(_answers(spark, sf_dir)).select("conv_id", "turn", "bleu_1", "bleu_4", "bleu", "bleu_smoothed"))
 
 
 def multi_answer_best(spark, sf_dir):

@@ -9,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.functions import metrics as M, text as T, vectors as V
+from corpusmill.operators import evaluation
+from corpusmill.plans import catalog
 
 
 def norm(s):
@@ -107,6 +109,22 @@ def test_bleu(spark):
         assert got == pytest.approx([bleu(p, g, weights, epsilon) for p, g in rows])
 
 
+def test_bleu_query_scores_whole_texts(spark):
+    """Every pair of the registered query, with its texts uncut; and a long pair that differs beyond the first words."""
+    sf = "/root/testdata/sf0.001"
+    said = {(r["conv_id"], r["turn"]): r["text"] for r in spark.read.parquet(f"{sf}/conversations.parquet").where("role = 'assistant'").collect()}
+    pairs = {(c, t): (x, said[c, t + 2]) for (c, t), x in said.items() if (c, t + 2) in said}
+    assert any(len(x.split()) > 30 for p in pairs.values() for x in p)
+    got = {(r["conv_id"], r["turn"]): r for r in catalog.QUERIES["bleu"](spark, sf).collect()}
+    assert got.keys() == pairs.keys()
+    for key, (p, g) in pairs.items():
+        want = [bleu(p, g, w, e) for w, e in (((1, 0, 0, 0), None), ((0, 0, 0, 1), None), ((0.25,) * 4, None), ((0.25,) * 4, 0.1))]
+        assert [got[key][c] for c in ("bleu_1", "bleu_4", "bleu", "bleu_smoothed")] == pytest.approx(want, abs=1e-6)
+    p, g = "a b c d e " * 400, "a b c d e " * 390 + "f g h " * 20
+    row = spark.createDataFrame([(p, g)], "output string, answer string")
+    assert evaluation.bleu_scores(row).first()["bleu"] == pytest.approx(bleu(p, g, (0.25,) * 4))
+
+
 def test_string_em(spark):
     rows = spark.createDataFrame([("The Red fox, 12 years.", [["red fox", "x"], ["13"]])], "c string, s array<array<string>>")
     assert tuple(rows.select(M.string_em(F.col("c"), F.col("s")).alias("r")).select("r.*").first()) == (0.5, False)
