@@ -45,7 +45,7 @@ def retrieval_stats(spark, sf_dir):
 
 
 def prompt_context(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", T.preview(F.col("text")).alias("content"), F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"), F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"))
     rows = _typed_hits(spark, sf_dir).withColumn("similarity_score", F.round("similarity_score", 6)).join(docs, "doc_id")
     return retrieval.prompt_context(rows)
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.operators import chunking, clustering, concepts, rdf, retention, retrieval, similarity
+from corpusmill.plans import catalog
 
 
 def vectors(spark, n=90, width=5, seed=0):
@@ -211,3 +212,16 @@ def test_retrieval(spark):
     docs = retrieval.document_rows(spark.createDataFrame([("1", None, "x")], "id string, title string, context string"))
     both = retrieval.index_rows(docs, retrieval.summary_rows(spark.createDataFrame([(-1, "s")], "cluster_id int, ontology_summary string"))).collect()
     assert [tuple(r) for r in both] == [("original_document", "x", "", "1", None), ("ontology_summary", "s", "Cluster -1 Summary", "summary_-1", -1)]
+
+
+def test_prompt_context_query_holds_whole_texts(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    hits = catalog._typed_hits(spark, sf).collect()
+    got = {r["query_id"]: r["context"] for r in catalog.QUERIES["prompt_context"](spark, sf).collect()}
+    want = {}
+    for h in sorted(hits, key=lambda h: h["rank"]):
+        if h["doc_id"] in docs:
+            want.setdefault(h["query_id"], []).append(f"[{h['doc_type'].upper()}] Document {h['doc_id']}\n{docs[h['doc_id']]}\n(Relevance: {round(h['similarity_score'], 6):.3f})")
+    assert any(len(docs[h["doc_id"]]) > 200 for h in hits if h["doc_id"] in docs)
+    assert got == {q: "\n\n".join(parts) for q, parts in want.items()}
