@@ -1,14 +1,15 @@
 """PII: fixed patterns, then terms that the corpus shows to reveal what the patterns protect.
 
 Free style (Arrow batches) for the texts, DataFrame operations for the counts. The patterns' spans are the
-protected entities. A term is a word near a span (`window` words on either side). Over all documents, with
-n(t) documents holding term t, n(e) holding entity e, n(t,e) holding t near e, and N documents,
+protected entities. A term is any word of a text that holds an entity. Over all documents, with
+n(t) documents holding term t, n(e) holding entity e, n(t,e) holding both, and N documents,
 PMI(t;e) = log(n(t,e) N / n(t) n(e)) is the information that t gives about e, and IC(e) = log(N / n(e)) all
 there is to give. A term whose share PMI/IC reaches the disclosure threshold, with n(t,e) backed by enough
-different texts, is a span too, wherever it stands near that entity; sanitise() generalises such a term, or
+different texts, is a span too, wherever it stands in a text that holds that entity; sanitise() generalises such a term, or
 removes it where the share reaches the removal threshold.
 
-Scale: texts are read twice, row by row, and never shuffled; only rows for words near entities, and counts, are.
+Scale: texts are read twice, row by row, and never shuffled; only words of texts that hold an entity, and counts, are.
+No term has more different texts behind it than its entity, so words only meet the entities that have enough.
 n(t) is a word count with partial sums before the shuffle; only then do the counts meet the terms in question.
 Every pattern is run in a form that is linear in the text.
 
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,7 +34,6 @@ from .common import whole
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-WINDOW = 8
 DISCLOSURE = 0.9
 REMOVAL = 0.999
 SUPPORT = 3
@@ -106,47 +106,61 @@ def entity(kind: str, value: str) -> str:
     return f"{kind}:{_number(value) if kind in ('card', 'phone') else value.translate(_LOWER)}"
 
 
-def near_terms(text: str, spans: list[tuple[str, int, int]], window: int = WINDOW) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the words around each span: no digits, three letters or more, outside all spans."""
+def text_terms(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """(term, start, end) of the words of a text that has spans: no digits, three letters or more, outside all spans."""
     if not spans:
         return []
-    places = [m.span() for m in _WORD.finditer(text)]
-    starts, ends = [a for a, _ in places], [b for _, b in places]
-    covered = sorted((a, b) for _, a, b in spans)
-    out = set()
-    for kind, a, b in spans:
-        left, right = bisect_right(ends, a), bisect_left(starts, b)
-        for s, e in places[max(0, left - window) : left] + places[right : right + window]:
-            word = text[s:e].translate(_LOWER)
-            if e - s >= 3 and not _DIGIT.search(word) and not any(x < e and s < y for x, y in covered):
-                out.add((entity(kind, text[a:b]), word, s, e))
-    return sorted(out, key=lambda x: (x[2], x[0]))
+    starts, ends = [], []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    out = []
+    for m in _WORD.finditer(text):
+        s, e = m.span()
+        k = bisect_right(ends, s)
+        if e - s >= 3 and not _DIGIT.search(m[0]) and not (k < len(ends) and starts[k] < e):
+            out.append((m[0].translate(_LOWER), s, e))
+    return out
+
+
+def entities(text: str, spans: list[tuple[str, int, int]]) -> list[str]:
+    """The different entities of a text."""
+    return sorted({entity(kind, text[a:b]) for kind, a, b in spans})
+
+
+def near_terms(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, str, int, int]]:
+    """(entity, term, start, end) of every entity of a text with every word."""
+    return [(name, *x) for x in text_terms(text, spans) for name in entities(text, spans)]
 
 
 def _joined(spans) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-_FOUND = "doc_id long, h long, h2 long, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, near array<struct<entity:string,term:string,start:int,end:int>>"
+_FOUND = "doc_id long, h long, h2 long, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, entities array<string>, words array<struct<term:string,start:int,end:int>>"
 
 
-def scan(documents: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row a document: its id, two hashes of the text, the patterns' spans, and the words near them."""
+def scan(documents: DataFrame) -> DataFrame:
+    """One row a document: its id, two hashes of the text, the patterns' spans, their entities, and the words beside them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near_type = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+        word_type = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             counts: list[list[int]] = [[] for _ in KINDS]
-            base, digest, near = [], [], []
+            base, digest, held, terms = [], [], [], []
             for text in batch.column(3).to_pylist():
                 spans = base_spans(text)
                 for k, kind in enumerate(KINDS):
                     counts[k].append(sum(s[0] == kind for s in spans))
                 base.append(_joined(spans))
                 digest.append(hashlib.sha256(base[-1].encode()).hexdigest())
-                near.append([{"entity": e, "term": t, "start": a, "end": b} for e, t, a, b in near_terms(text, spans, window)])
-            columns = [*batch.columns[:3], *(pa.array(c, pa.int64()) for c in counts), pa.array(base, pa.string()), pa.array(digest, pa.string()), pa.array(near, near_type)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "h2", *(f"n_{k}" for k in KINDS), "base", "base_sha256", "near"])
+                held.append(entities(text, spans))
+                terms.append([{"term": t, "start": a, "end": b} for t, a, b in text_terms(text, spans)])
+            columns = [*batch.columns[:3], *(pa.array(c, pa.int64()) for c in counts), pa.array(base, pa.string()), pa.array(digest, pa.string()), pa.array(held, pa.list_(pa.string())), pa.array(terms, word_type)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "h2", *(f"n_{k}" for k in KINDS), "base", "base_sha256", "entities", "words"])
 
     text = whole(F.col("text"))
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), *_hashes(text), text.alias("text")).mapInArrow(run, _FOUND)
@@ -157,23 +171,31 @@ def _hashes(text):
     return F.xxhash64(text).alias("h"), F.xxhash64(text, F.lit(1)).alias("h2")
 
 
+def _held(found: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, h, h2, entity and words of each row and each of its entities that is wanted."""
+    rows = found.select("doc_id", "h", "h2", F.explode("entities").alias("entity"), "words")
+    return rows.join(wanted.select("entity").distinct(), "entity")
+
+
 def risky_terms(documents: DataFrame, found: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """(entity, term, share) of the terms that reveal an entity; found is the written result of scan()."""
-    near = found.select("doc_id", "h", "h2", F.explode("near").alias("x")).select("doc_id", "h", "h2", "x.entity", "x.term")
+    holders = found.select("doc_id", "h", "h2", F.explode("entities").alias("entity")).distinct()
+    # Counted first: a pair has no more different texts than its entity.
+    backed = holders.groupBy("entity", "h", "h2").agg(F.count("*").alias("docs")).groupBy("entity").agg(F.sum("docs").alias("n_e"), F.count("*").alias("texts"))
+    known = cut(backed.where(F.col("texts") >= support).select("entity", "n_e"), "entities")
+    near = _held(found, known).select("doc_id", "h", "h2", "entity", F.explode(F.array_distinct(F.col("words.term"))).alias("term"))
     # A row a document, text and pair first; then documents, and different texts, of each pair.
     once = near.groupBy("entity", "term", "h", "h2").agg(F.countDistinct("doc_id").alias("docs"))
     pairs = cut(once.groupBy("entity", "term").agg(F.sum("docs").alias("n_te"), F.count("*").alias("texts")).where(F.col("texts") >= support), "pairs")
     terms = cut(pairs.select("term").distinct(), "terms")
     if not terms.take(1):
         return pairs.select("entity", "term", F.lit(0.0).alias("share"))
-    entities = near.select("entity", "doc_id", "h", "h2").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    entities = cut(entities, "entities")
     words = documents.select(F.explode(F.array_distinct(license_scan.words(F.col("text")))).alias("term"))
     # Counted before they meet the terms: a frequent word is one row a task then, not one a document.
     counts = words.groupBy("term").agg(F.count("*").alias("n_t"))
     n_t = cut(counts.join(terms, "term"), "frequencies")
     total = found.count()
-    joined = pairs.join(n_t, "term").join(entities, "entity")
+    joined = pairs.join(n_t, "term").join(known, "entity")
     log = lambda x: F.log(x)
     information = log(F.lit(float(total)) / F.col("n_e"))
     pmi = log(F.col("n_te") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e")))
@@ -182,8 +204,8 @@ def risky_terms(documents: DataFrame, found: DataFrame, disclosure: float = DISC
 
 
 def term_spans(found: DataFrame, risky: DataFrame) -> DataFrame:
-    """doc_id, h, h2 and terms (start, end, share, in order) of the rows that hold a risky term near its entity."""
-    near = found.select("doc_id", "h", "h2", F.explode("near").alias("x")).select("doc_id", "h", "h2", "x.*")
+    """doc_id, h, h2 and terms (start, end, share, in order) of the rows that hold a risky term and its entity."""
+    near = _held(found, risky).select("doc_id", "h", "h2", "entity", F.explode("words").alias("x")).select("doc_id", "h", "h2", "entity", "x.*")
     met = near.join(risky, ["entity", "term"])
     best = met.groupBy("doc_id", "h", "h2", "start", "end").agg(F.max("share").alias("share"))
     return best.groupBy("doc_id", "h", "h2").agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("terms"))
@@ -195,11 +217,11 @@ def _with_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:
     return rows.join(terms, rows["doc_id"].eqNullSafe(terms["t_id"]) & (rows["h"] == terms["t_h"]) & (rows["h2"] == terms["t_h2"]), "left").drop("t_id", "t_h", "t_h2")
 
 
-def find(documents: DataFrame, window: int = WINDOW, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+def find(documents: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """doc_id, the patterns' counts and digest, and spans (the terms' too) of every document."""
-    found = cut(scan(documents, window), "found")
+    found = cut(scan(documents), "found")
     terms = cut(term_spans(found, risky_terms(documents, found, disclosure, support)), "spans")
-    rows = _with_terms(found.drop("near"), terms)
+    rows = _with_terms(found.drop("entities", "words"), terms)
     own = F.transform(F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,share:double>>")), lambda x: F.concat_ws(":", F.lit(TERM), x["start"], x["end"]))
     spans = F.array_join(F.filter(F.concat(F.array("base"), own), lambda x: x != ""), ",")
     return rows.select("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", spans.alias("spans"))
@@ -217,9 +239,9 @@ def rewrite(text: str, terms: list[tuple[int, int, float]], removal: float = REM
     return "".join([*out, text[at:]])
 
 
-def sanitise(documents: DataFrame, window: int = WINDOW, disclosure: float = DISCLOSURE, support: int = SUPPORT, removal: float = REMOVAL) -> DataFrame:
+def sanitise(documents: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT, removal: float = REMOVAL) -> DataFrame:
     """The same rows and columns, with every span of `text` generalised or removed; a null text stays null."""
-    found = cut(scan(documents, window), "found")
+    found = cut(scan(documents), "found")
     terms = cut(term_spans(found, risky_terms(documents, found, disclosure, support)), "spans")
     if terms.count() <= BROADCAST_TERMS:
         terms = F.broadcast(terms)

@@ -84,6 +84,23 @@ def test_risky_terms_and_find(spark):
     assert "zorblatt" not in clean[0] and "[EMAIL]" in clean[0] and clean[4] == rows[4][1]
 
 
+def test_terms_far_from_their_entity(spark):
+    """Co-occurrence is counted by document, and a revealing term goes wherever it stands in a text that holds the entity."""
+    far = " ".join(["filler words of no interest"] * 6)
+    texts = [f"zorblatt {far} agent@corp.example.com {w} {far} Zorblatt {far} zorblatt" for w in ("alpha", "beta", "gamma")]
+    texts += ["filler words of no interest to anyone"] * 40
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    risky = {(r["entity"], r["term"]): r["share"] for r in pii.risky_terms(docs, cut(pii.scan(docs))).collect()}
+    assert risky.keys() == {("email:agent@corp.example.com", "zorblatt")} and math.isclose(*risky.values(), 1.0)
+    spans = {r["doc_id"]: r["spans"] for r in pii.find(docs).collect()}
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    for i, text in enumerate(texts[:3]):
+        places = [m.span() for m in re.finditer("[Zz]orblatt", text)]
+        assert spans[i].split(",")[1:] == [f"term:{a}:{b}" for a, b in places] and len(places) == 3
+        assert "zorblatt" not in clean[i].lower() and "[EMAIL]" in clean[i]
+    assert clean[10] == texts[10]
+
+
 def test_rewrite():
     assert pii.rewrite("mail a@b.cd now 1.2.3.4!", []) == "mail [EMAIL] now [IP]!"
     assert pii.rewrite("abc def ghi", [(0, 3, 0.95), (4, 7, 1.0)]) == "[TERM]  ghi"
