@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,11 +34,15 @@ def local_session(cpus: int | None = None, **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where none is set (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The shared checkpoint folder: setCheckpointDir()'s, which spark.checkpoint.dir sets at the start, or that setting
+    itself. Only a local master gets a temporary folder where none is set (tests); a cluster's machines wouldn't share it."""
+    context = spark.sparkContext
+    named = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='corpusmill-')}"
-        spark.sparkContext.setCheckpointDir(named)
+        context.setCheckpointDir(named)
     return named.rstrip("/")
 
 
@@ -50,13 +57,26 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Folders of tables that have not been dropped, oldest first.
+_roots: list[tuple[SparkSession, str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 class Scratch:
-    """Tables of one operator in the shared folder, dropped as soon as they have been used."""
+    """Tables of one operator in the shared folder, dropped as soon as they have been used.
+
+    A table that a returned, lazy DataFrame still reads stays until the scope() around the call ends, or the
+    driver's Python does."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/corpusmill-{uuid.uuid4().hex}"
         self._n = 0
+        _roots.append((spark, self.root))
 
     def put(self, df: DataFrame, name: str = "table") -> DataFrame:
         """Write df as Parquet and read it back: lineage ends there, and a lost executor costs one
@@ -74,12 +94,38 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark._jvm
-        for path in (t._scratch_path for t in tables):
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        drop(*tables)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables of put() or cut() that nothing reads any more."""
+    for t in tables:
+        _delete(t.sparkSession, t._scratch_path)
 
 
 def cut(df: DataFrame, name: str = "table") -> DataFrame:
-    """One table that stays: see Scratch.put."""
+    """One table by itself: see Scratch.put."""
     return Scratch(df.sparkSession).put(df, name)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Drops, at its end, every table that was made inside; act on what the operators return before that."""
+    first = len(_roots)
+    try:
+        yield
+    finally:
+        _drop_from(first)
+
+
+def _drop_from(first: int) -> None:
+    while len(_roots) > first:
+        spark, root = _roots.pop()
+        if spark.sparkContext._jsc is not None:
+            _delete(spark, root)
+
+
+@atexit.register
+def _drop_all() -> None:
+    with suppress(Exception):  # the session may have ended first
+        _drop_from(0)
