@@ -4,6 +4,7 @@ import numpy as np
 from hypothesis import given, settings, strategies as st
 
 from corpusmill.llm import decontaminate as D, queries
+from corpusmill.session import cut
 from tests.llm import fixtures
 
 SF = "/root/testdata/sf0.01"
@@ -20,21 +21,35 @@ def slow_subsequence(a, b):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from("abcd"), max_size=12), st.lists(st.sampled_from("abcd"), max_size=90))
 def test_subsequence(a, b):
-    assert D.subsequence(a, b) == slow_subsequence(a, b)
+    assert D.subsequence(D.places_of(a), len(a), [w for w in b if w in a]) == slow_subsequence(a, b)
+
+
+def numbers(documents, terms):
+    return cut(D.number(documents.select("text"), terms))
+
+
+def terms_of(items):
+    return {w: k for k, w in enumerate(sorted({w for _, found, answer in items for w in (*found, *answer)}))}
+
+
+def test_term_arrays():
+    texts = ["One two\0 three", None, "", "two.ONE é É x", "\0", " two "]
+    terms = {b"one": 0, b"two": 1, "é".encode(): 2}
+    assert [x.tolist() for x in D.term_arrays(texts, terms)] == [[terms.get(w, -1) for w in D.words(t)] for t in texts] and D.term_arrays([], terms) == []
 
 
 def test_sparse_products(monkeypatch):
     monkeypatch.setattr(D, "CHUNK", 7)
     r = np.random.default_rng(0)
-    row, term, weights = np.sort(r.integers(0, 12, 80)), r.integers(0, 20, 80), np.where(np.arange(20) % 5 == 0, 0, 1.5)
-    names, start, t, v = D.rows_of(row, term, weights)
+    row, term, weights = np.sort(r.integers(0, 12, 80)), r.integers(-1, 20, 80), np.where(np.arange(20) % 5 == 0, 0, 1.5)
+    names, start, t, v = D.unit_rows(row, term, weights)
     dense = np.zeros((len(names), 20))
     for k in range(len(names)):
         part = slice(start[k], np.append(start, len(t))[k + 1])
-        dense[k, t[part]] = v[part]
-        tf = np.bincount(term[row == names[k]], minlength=20)
-        want = np.where(tf > 0, (1 + np.log(np.maximum(tf, 1))) * weights, 0)
-        assert np.allclose(dense[k], want / np.linalg.norm(want), atol=1e-6)
+        np.add.at(dense[k], t[part], v[part])
+        own = term[(row == names[k]) & (term >= 0)]
+        want = np.bincount(own, minlength=20) * weights
+        assert np.allclose(dense[k], want / np.sqrt((weights[own] ** 2).sum()), atol=1e-6)
     m = r.normal(size=(20, 3)).astype(np.float32)
     out = np.zeros((20, 3))
     D.gram_times(start, t, v, m, out)
@@ -57,22 +72,23 @@ def corpus():
 def test_axes_span_the_leading_directions(spark):
     docs, items = corpus()
     frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
-    parsed = [(k, D.words(t), None) for k, t in enumerate(items)]
-    model = D.fit(frame, parsed, rank=4, extra=30)
+    parsed = [(k, D.words(t), []) for k, t in enumerate(items)]
+    terms = terms_of(parsed)
+    model = D.fit(numbers(frame, terms), terms, parsed, rank=4, extra=30)
     rows = []
     for d in docs:
-        p, t = D._passages(D.words(d), model.terms, D.PASSAGE)
-        for k in np.unique(p):
-            x = np.zeros(len(model.terms))
-            n = np.bincount(t[p == k], minlength=len(x))
-            x = np.where(n > 0, (1 + np.log(np.maximum(n, 1))) * model.weights, 0)
-            rows += [x / np.linalg.norm(x)] if x.any() else []
-    owners, row, term = D.item_passages(parsed, model.terms, D.PASSAGE)
-    names, start, t, v = D.rows_of(row, term, model.weights)
-    own = np.zeros((len(names), len(model.terms)))
+        (found,) = D.term_arrays([d], terms)
+        for at in range(0, len(found), D.PASSAGE):
+            t = found[at : at + D.PASSAGE]
+            t = t[t >= 0]
+            x = np.bincount(t, minlength=len(terms)) * model.weights
+            rows += [x / np.sqrt((model.weights[t] ** 2).sum())] if x.any() else []
+    owners, row, term = D.item_passages(parsed, terms, D.PASSAGE)
+    names, start, t, v = D.unit_rows(row, term, model.weights)
+    own = np.zeros((len(names), len(terms)))
     for k in range(len(names)):
         part = slice(start[k], np.append(start, len(t))[k + 1])
-        own[k, t[part]] = v[part]
+        np.add.at(own[k], t[part], v[part])
     a = np.array(rows)
     gram = a.T @ a + own.T @ own * (len(a) / len(own))
     values, vectors = np.linalg.eigh(gram)
@@ -106,36 +122,107 @@ def test_leak_copied_to_a_third_of_the_rows(spark):
     assert {r["doc_id"] for r in D.clean(frame, bench).collect()} == {*range(60), 64}
 
 
+def brute_leaks(texts, items):
+    """Pairs that the checks accept at any window of any text, by plain dynamic programming; an item is (words, answers)."""
+    out = set()
+    for d, text in enumerate(texts):
+        found = [w.decode() for w in D.words(text)]
+        for i, (item, answers) in enumerate(items):
+            width = D.reach(len(item))
+            if sum(w in set(found) for w in item) < D.PARAPHRASE * len(item):
+                continue
+            for at in range(max(1, len(found) - width + 1)):
+                window = found[at : at + width]
+                if sum(w in window for w in item) < D.PARAPHRASE * len(item):
+                    continue
+                share = slow_subsequence(item, window) / len(item)
+                if share >= D.VERBATIM or (share >= D.PARAPHRASE and len(answers & set(window)) >= D.ANSWER * len(answers)):
+                    out.add((d, i))
+                    break
+    return out
+
+
+def reworded(r, item, share, vocabulary):
+    """A paraphrase: a share of the words, in order, goes on; others are replaced."""
+    return " ".join(w if k % 10 < 10 * share else r.choice(vocabulary) for k, w in enumerate(item.split()))
+
+
+def test_recall_against_all_pairs(spark):
+    """Verbatim, short, common-worded and reworded items, against the checks by dynamic programming at every window of every text."""
+    r = np.random.default_rng(11)
+    vocabulary = ["".join(chr(97 + int(c)) for c in str(k)) for k in range(10_000, 13_000)]
+    common = vocabulary[:25]
+    text = lambda n, of: " ".join(r.choice(of, n))
+    items = [text(30, vocabulary) for _ in range(6)] + [text(n, vocabulary) for n in (4, 4, 8, 12)] + [text(30, common) for _ in range(2)]
+    docs = [text(int(r.integers(60, 200)), vocabulary + common * 300) for _ in range(50)]
+    for k, item in enumerate(items):
+        docs.append(text(50, vocabulary) + " " + item + " " + text(45, vocabulary))
+        if k < 6:
+            docs += [text(33, vocabulary) + " " + reworded(r, item, share, vocabulary) + " " + text(70, vocabulary) for share in (0.9, 0.8, 0.7, 0.6)]
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    bench = spark.createDataFrame([(f"item {k}", t) for k, t in enumerate(items)], "item_id string, text string")
+    got = {(r["doc_id"], int(r["item_id"].split()[1])) for r in D.leaks(frame, bench).collect()}
+    (parsed,) = D._blocks(bench)
+    parsed = sorted(parsed, key=lambda x: int(x[0].split()[1]))
+    terms = terms_of(parsed)
+    searcher = D.Searcher(D.fit(numbers(frame, terms), terms, parsed))
+    names = {k: w.decode() for w, k in terms.items()}
+    want = brute_leaks(docs, [([w.decode() for w in own], {names[t] for t in searcher.answers[i]}) for i, (_, own, _) in enumerate(parsed)])
+    exact = {(d, i) for d, t in enumerate(docs) for i, x in enumerate(items) if f" {x} " in f" {t} "}
+    assert len(exact) >= len(items) and exact <= got <= want
+    assert len(want) > len(items) + 10 and len(want & got) >= 0.9 * len(want)
+
+
 def test_search_misses_no_verified_pair(spark):
     """Every pair that the check alone would accept, over all places of all texts, is found by the search."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(400)
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     items = next(D._blocks(bench))
-    model = D.fit(docs, items)
-    searcher = D.Searcher(model)
+    terms = terms_of(items)
+    searcher = D.Searcher(D.fit(numbers(docs, terms), terms, items))
     rows = docs.collect()
+    texts = D.term_arrays([r["text"] for r in rows], terms)
     want = set()
-    for r in rows:
-        found = D.words(r["text"])
-        have = set(found)
-        for i, (name, own, _) in enumerate(items):
-            if len(have & set(own)) >= 0.4 * len(set(own)) and searcher.check(found, i, [(1.0, p) for p in range(0, max(1, len(found)), 32)]):
+    for r, found in zip(rows, texts):
+        have = set(found.tolist())
+        for i, (name, _, _) in enumerate(items):
+            if len(have & set(searcher.items[i])) >= 0.4 * len(set(searcher.items[i])) and searcher.check(found, i, [(1.0, p) for p in range(0, max(1, len(found)), 32)]):
                 want.add((r["doc_id"], name))
-    got = {(r["doc_id"], x[0]) for r, found in zip(rows, searcher.leaks([r["text"] for r in rows])) for x in found}
+    got = {(r["doc_id"], x[0]) for r, found in zip(rows, searcher.leaks(texts)) for x in found}
     exact = {(r["doc_id"], b["item_id"]) for r in rows for b in bench.collect() if b["text"] in r["text"]}
     assert exact <= got and len(want - got) <= 0.1 * len(want) and got <= want
 
 
+def test_long_texts_are_searched_in_pieces(spark, monkeypatch):
+    docs, items = corpus()
+    parsed = [(k, D.words(t), []) for k, t in enumerate(items)]
+    terms = terms_of(parsed)
+    model = D.fit(numbers(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), terms), terms, parsed)
+    joined = [" ".join(docs[k] for k in (0, 60, 1, 62, 63, 2)), docs[61], "", " ".join(docs[3:9])]
+    whole = D.Searcher(model).leaks(D.term_arrays(joined, terms))
+    assert [[x[0] for x in y] for y in whole] == [[0, 2, 3], [1], [], []]
+    monkeypatch.setattr(D, "PIECE", 5)
+    cut_up = D.Searcher(model).leaks(D.term_arrays(joined, terms))
+    assert [[x[0] for x in y] for y in cut_up] == [[x[0] for x in y] for y in whole]
+
+
+def test_ids_of_any_kind(spark):
+    docs, items = corpus()
+    frame = spark.createDataFrame([(None if k == 60 else str(k % 61), t) for k, t in enumerate(docs)], "doc_id string, text string")
+    bench = spark.createDataFrame([("a", items[0]), ("a", items[1]), (None, items[2])], "item_id string, text string")
+    got = sorted((r["doc_id"] or "-", r["item_id"] or "-") for r in D.leaks(frame, bench).collect())
+    assert got == [("-", "a"), ("0", "a"), ("1", "-")]
+    extra = frame.selectExpr("*", "1 as item_id", "2 as words", "3 as _h", "4 as cosine")
+    assert D.clean(extra, bench).count() == len(docs) - 3 and D.clean(extra, bench).columns == extra.columns
+
+
 def test_answers_column(spark):
     docs, items = corpus()
     frame = spark.createDataFrame([(0, docs[63])], "doc_id long, text string")
     for answer, n in ((items[3].split()[1], 1), ("absent words", 0)):
         bench = spark.createDataFrame([(3, items[3], answer)], "item_id long, text string, answer string")
-        items_ = next(D._blocks(bench))
-        s = D.Searcher(D.fit(frame, items_))
-        s.cosine = -1.0
-        share = D.best_match(items_[0][1], D.words(docs[63]))[0]
-        assert D.PARAPHRASE <= share < 0.9 and (n == 1 or share >= D.VERBATIM or s.leaks([docs[63]]) == [[]])
+        share = D.best_match(D.words(items[3]), D.words(docs[63]))[0]
+        assert D.PARAPHRASE <= share < 0.9 and (n == 1 or share >= D.VERBATIM or D.leaks(frame, bench).collect() == [])
 
 
 def test_awkward_documents(spark):
