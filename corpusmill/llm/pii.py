@@ -1,21 +1,28 @@
 """PII: fixed patterns, then terms that the corpus shows to reveal what the patterns protect.
 
-Free style (Arrow batches) for the texts, DataFrame operations for the counts. The patterns' spans are the
-protected entities. A term is any word of a text that holds an entity. Over all documents, with
-n(t) documents holding term t, n(e) holding entity e, n(t,e) holding both, and N documents,
-PMI(t;e) = log(n(t,e) N / n(t) n(e)) is the information that t gives about e, and IC(e) = log(N / n(e)) all
-there is to give. A term whose share PMI/IC reaches the disclosure threshold, with n(t,e) backed by enough
-different texts, is a span too, wherever it stands in a text that holds that entity; sanitise() generalises such a term, or
-removes it where the share reaches the removal threshold.
+Free style (Arrow batches) for the texts, DataFrame operations for the counts. What is protected:
 
-Scale: texts are read twice, row by row, and never shuffled; only words of texts that hold an entity, and counts, are.
-No term has more different texts behind it than its entity, so words only meet the entities that have enough.
-n(t) is a word count with partial sums before the shuffle; only then do the counts meet the terms in question.
-Every pattern is run in a form that is linear in the text.
+* the values that the patterns find (e-mail, IP, card, phone), and secrets: long unbroken tokens that keep changing between
+  letters and digits, as keys and digests do;
+* their classes, as a term may give away the class of a value though each value stands once: the kind, an e-mail's domain, an
+  IP's network, a card's issuer, a phone's prefix.
 
-Cases: a null text is empty and has no spans; spans count code points. Repeated rows (same id and text) get the
-same spans each; equal texts count once as support, and every row counts in N. An entity in every document
-reveals nothing (IC 0). Extra columns are kept by sanitise() and dropped by find(). Empty tables give empty results.
+A term is a word of a text that holds a protected value: 3 to 64 characters, no digit, outside all spans. Over all rows, with
+n(t) rows whose text holds term t, n(e) holding the value or class e, n(t,e) holding both, and N rows,
+PMI(t;e) = log(n(t,e) N / n(t) n(e)) is the information that t gives about e, and IC(e) = log(N / n(e)) all
+there is to give. A term whose share PMI/IC reaches the disclosure threshold, with n(t,e) backed by enough
+different texts, is a span too, wherever it stands in a text that holds e. sanitise() generalises such a term to its
+class of writing ([NAME] or [WORD]), or removes it where the share reaches the removal threshold.
+
+Scale: texts are read three times, row by row, and never shuffled; only different texts that hold a value, as their words, and
+counts are. All counting is done on different texts, with the number of their rows as weight, so copies travel once. Pairs that the
+count of a term among these texts already rules out go before n(t) is counted. Tables of few rows are broadcast, checked
+by count; larger ones are joined by shuffle. Every pattern is run in a form that is linear in the text.
+
+Cases: a null text is empty and has no spans; spans count code points. Ids play no part: rows with equal texts, whatever
+their ids (repeated or null), get the same spans each; equal texts count once as support, and every row counts in n and N. What stands
+in every row reveals nothing (IC 0). Extra columns of any name are kept by sanitise() and dropped by find(). Empty tables give
+empty results.
 """
 
 from __future__ import annotations
@@ -24,21 +31,28 @@ import hashlib
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import cut
+from ..session import Scratch, cut, drop
 from . import license_scan
 from .common import whole
 
 KINDS = ("email", "ip", "card", "phone")
-TERM = "term"
+SECRET, TERM = "secret", "term"
 DISCLOSURE = 0.9
 REMOVAL = 0.999
 SUPPORT = 3
-#: Rows with risky terms that are broadcast to the texts that sanitise() rewrites; beyond, a shuffle join.
-BROADCAST_TERMS = 200_000
+#: Rows (and entries of their lists) that are broadcast; beyond, a shuffle join.
+BROADCAST = 200_000
+#: Shortest secret, and how often it changes between letters and digits at least.
+SECRET_LENGTH, CHANGES = 20, 5
+#: Longest name of a protected value; beyond, its digest stands for it.
+NAME = 100
+#: Texts of an Arrow batch that are worked on at once.
+TEXTS = 512
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -46,6 +60,8 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+_TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SECRET_LENGTH)
+_CHANGE = re.compile("[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])")
 _DIGIT = re.compile("[0-9]")
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -99,17 +115,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def entity(kind: str, value: str) -> str:
-    """One spelling for one protected value."""
-    if kind == "ip":
-        return "ip:" + ".".join(p.lstrip("0") or "0" for p in value.split("."))
-    return f"{kind}:{_number(value) if kind in ('card', 'phone') else value.translate(_LOWER)}"
-
-
-def text_terms(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """(term, start, end) of the words of a text that has spans: no digits, three letters or more, outside all spans."""
-    if not spans:
-        return []
+def _merged(spans: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that spans cover."""
     starts, ends = [], []
     for a, b in sorted((a, b) for _, a, b in spans):
         if ends and a <= ends[-1]:
@@ -117,120 +124,176 @@ def text_terms(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str,
         else:
             starts.append(a)
             ends.append(b)
-    out = []
-    for m in _WORD.finditer(text):
-        s, e = m.span()
-        k = bisect_right(ends, s)
-        if e - s >= 3 and not _DIGIT.search(m[0]) and not (k < len(ends) and starts[k] < e):
-            out.append((m[0].translate(_LOWER), s, e))
-    return out
+    return starts, ends
 
 
-def entities(text: str, spans: list[tuple[str, int, int]]) -> list[str]:
-    """The different entities of a text."""
-    return sorted({entity(kind, text[a:b]) for kind, a, b in spans})
+def _free(starts: list[int], ends: list[int], s: int, e: int) -> bool:
+    k = bisect_right(ends, s)
+    return not (k < len(ends) and starts[k] < e)
 
 
-def near_terms(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of every entity of a text with every word."""
-    return [(name, *x) for x in text_terms(text, spans) for name in entities(text, spans)]
+def secret_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Secrets that touch no span of base."""
+    starts, ends = _merged(base)
+    found = (m.span() for m in _TOKEN.finditer(text) if sum(1 for _ in _CHANGE.finditer(m[0])) >= CHANGES)
+    return [(SECRET, a, b) for a, b in found if _free(starts, ends, a, b)]
+
+
+def entity(kind: str, value: str) -> str:
+    """One spelling for one protected value."""
+    if kind == "ip":
+        return "ip:" + ".".join(p.lstrip("0") or "0" for p in value.split("."))
+    return f"{kind}:{_number(value) if kind in ('card', 'phone') else value.translate(_LOWER)}"
+
+
+def classes(kind: str, value: str) -> list[str]:
+    """The classes of a protected value, the wider first."""
+    name = entity(kind, value)
+    narrow = {"email": lambda: "email@" + name.rpartition("@")[2], "ip": lambda: "ip/" + ".".join(name[3:].split(".")[:2]), "card": lambda: "card/" + name[5:11], "phone": lambda: "phone/" + name[6:10]}
+    return [kind, narrow[kind]()] if kind in narrow else [kind]
+
+
+def protected(text: str, spans: list[tuple[str, int, int]]) -> list[str]:
+    """The different values and classes that a text holds."""
+    found = {x for kind, a, b in spans for x in (entity(kind, text[a:b]), *classes(kind, text[a:b]))}
+    return sorted(x if len(x) <= NAME else x[:16] + hashlib.sha256(x.encode("utf-8", "replace")).hexdigest() for x in found)
+
+
+def text_terms(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """(term, start, end) of the terms of a text."""
+    if not spans:
+        return []
+    starts, ends = _merged(spans)
+    places = (m.span() for m in _WORD.finditer(text))
+    return [(text[s:e].translate(_LOWER), s, e) for s, e in places if 3 <= e - s <= 64 and not _DIGIT.search(text, s, e) and _free(starts, ends, s, e)]
 
 
 def _joined(spans) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-_FOUND = "doc_id long, h long, h2 long, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, entities array<string>, words array<struct<term:string,start:int,end:int>>"
+_FOUND = "doc_id long, h long, h2 long, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, secrets string, protected array<string>, words array<struct<term:string,start:int,end:int>>"
+
+
+def _lists(values: list[list], kind: pa.DataType) -> tuple[pa.Array, pa.Array]:
+    """(ends, values) of a list array."""
+    return pa.array(list(accumulate(map(len, values), initial=0)), pa.int32()), pa.array([x for v in values for x in v], kind)
 
 
 def scan(documents: DataFrame) -> DataFrame:
-    """One row a document: its id, two hashes of the text, the patterns' spans, their entities, and the words beside them."""
+    """One row a document: its id, two hashes of the text, the patterns' spans, the secrets, and, of texts that have any, what is
+    protected and the terms beside it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_type = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            counts: list[list[int]] = [[] for _ in KINDS]
-            base, digest, held, terms = [], [], [], []
-            for text in batch.column(3).to_pylist():
-                spans = base_spans(text)
-                for k, kind in enumerate(KINDS):
-                    counts[k].append(sum(s[0] == kind for s in spans))
-                base.append(_joined(spans))
-                digest.append(hashlib.sha256(base[-1].encode()).hexdigest())
-                held.append(entities(text, spans))
-                terms.append([{"term": t, "start": a, "end": b} for t, a, b in text_terms(text, spans)])
-            columns = [*batch.columns[:3], *(pa.array(c, pa.int64()) for c in counts), pa.array(base, pa.string()), pa.array(digest, pa.string()), pa.array(held, pa.list_(pa.string())), pa.array(terms, word_type)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "h2", *(f"n_{k}" for k in KINDS), "base", "base_sha256", "entities", "words"])
+            for at in range(0, batch.num_rows, TEXTS):
+                yield _scanned(batch.slice(at, TEXTS))
 
     text = whole(F.col("text"))
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), *_hashes(text), text.alias("text")).mapInArrow(run, _FOUND)
 
 
-def _hashes(text):
+def _scanned(batch: pa.RecordBatch) -> pa.RecordBatch:
+    counts: list[list[int]] = [[] for _ in KINDS]
+    base, digest, secrets, held, terms = [], [], [], [], []
+    for text in batch.column(3).to_pylist():
+        spans = base_spans(text)
+        for k, kind in enumerate(KINDS):
+            counts[k].append(sum(s[0] == kind for s in spans))
+        base.append(_joined(spans))
+        digest.append(hashlib.sha256(base[-1].encode()).hexdigest())
+        own = secret_spans(text, spans)
+        secrets.append(_joined(own))
+        held.append(protected(text, spans + own))
+        terms.append(text_terms(text, spans + own))
+    ends, names = _lists([[t for t, _, _ in x] for x in terms], pa.string())
+    starts, stops = (pa.array([y[k] for x in terms for y in x], pa.int32()) for k in (1, 2))
+    words = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([names, starts, stops], ["term", "start", "end"]))
+    columns = [*batch.columns[:3], *(pa.array(c, pa.int64()) for c in counts), pa.array(base, pa.string()), pa.array(digest, pa.string()), pa.array(secrets, pa.string()), pa.ListArray.from_arrays(*_lists(held, pa.string())), words]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "h2", *(f"n_{k}" for k in KINDS), "base", "base_sha256", "secrets", "protected", "words"])
+
+
+def _hashes(text: Column) -> tuple[Column, Column]:
     """128 bits that stand for a text."""
     return F.xxhash64(text).alias("h"), F.xxhash64(text, F.lit(1)).alias("h2")
 
 
-def _held(found: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id, h, h2, entity and words of each row and each of its entities that is wanted."""
-    rows = found.select("doc_id", "h", "h2", F.explode("entities").alias("entity"), "words")
-    return rows.join(wanted.select("entity").distinct(), "entity")
-
-
-def risky_terms(documents: DataFrame, found: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """(entity, term, share) of the terms that reveal an entity; found is the written result of scan()."""
-    holders = found.select("doc_id", "h", "h2", F.explode("entities").alias("entity")).distinct()
-    # Counted first: a pair has no more different texts than its entity.
-    backed = holders.groupBy("entity", "h", "h2").agg(F.count("*").alias("docs")).groupBy("entity").agg(F.sum("docs").alias("n_e"), F.count("*").alias("texts"))
-    known = cut(backed.where(F.col("texts") >= support).select("entity", "n_e"), "entities")
-    near = _held(found, known).select("doc_id", "h", "h2", "entity", F.explode(F.array_distinct(F.col("words.term"))).alias("term"))
-    # A row a document, text and pair first; then documents, and different texts, of each pair.
-    once = near.groupBy("entity", "term", "h", "h2").agg(F.countDistinct("doc_id").alias("docs"))
-    pairs = cut(once.groupBy("entity", "term").agg(F.sum("docs").alias("n_te"), F.count("*").alias("texts")).where(F.col("texts") >= support), "pairs")
-    terms = cut(pairs.select("term").distinct(), "terms")
-    if not terms.take(1):
-        return pairs.select("entity", "term", F.lit(0.0).alias("share"))
+def _small(table: DataFrame, size: Column | None = None) -> DataFrame:
+    """A written table, to be broadcast if it has few rows (and, by size, few entries)."""
+    n, entries = table.agg(F.count("*"), F.sum(size if size is not None else F.lit(1))).first()
+    return F.broadcast(table) if max(n, entries or 0) <= BROADCAST else table
+
+
+def different_texts(scratch: Scratch, found: DataFrame) -> DataFrame:
+    """h, h2, docs (its rows), protected and words of every different text that holds something protected."""
+    held = found.where(F.size("protected") > 0)
+    return scratch.put(held.groupBy("h", "h2").agg(F.count("*").alias("docs"), F.first("protected").alias("protected"), F.first("words").alias("words")), "texts")
+
+
+def risky_terms(documents: DataFrame, found: DataFrame, texts: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+    """(entity, term, share) of the terms that reveal a protected value or class; found is the written result of scan(), texts that
+    of different_texts()."""
+    scratch, total = Scratch(documents.sparkSession), float(found.count())
+    backed = texts.select("docs", F.explode("protected").alias("entity")).groupBy("entity").agg(F.sum("docs").alias("n_e"), F.count("*").alias("texts"))
+    # A pair has no more different texts than its entity.
+    known = scratch.put(backed.where((F.col("texts") >= support) & (F.col("n_e") < total)).select("entity", "n_e"), "known")
+    terms = F.array_distinct(F.col("words.term"))
+    met = texts.select("docs", terms.alias("terms"), F.explode("protected").alias("entity")).join(_small(known), "entity")
+    once = met.select("entity", "n_e", "docs", F.explode("terms").alias("term")).groupBy("entity", "n_e", "term").agg(F.sum("docs").alias("n_te"), F.count("*").alias("texts"))
+    # The most rows that may hold the term, if the pair is to reach the threshold.
+    most = F.col("n_te") * F.pow(F.lit(total) / F.col("n_e"), F.lit(1 - disclosure))
+    pairs = scratch.put(once.where(F.col("texts") >= support).withColumn("most", most).drop("texts"), "pairs")
+    among = texts.select("docs", F.explode(terms).alias("term")).groupBy("term").agg(F.sum("docs").alias("here"))
+    left = scratch.put(pairs.join(among, "term").where(F.col("here") <= F.col("most") * (1 + 1e-9)).drop("here", "most"), "left")
+    wanted = scratch.put(left.select("term").distinct(), "terms")
     words = documents.select(F.explode(F.array_distinct(license_scan.words(F.col("text")))).alias("term"))
-    # Counted before they meet the terms: a frequent word is one row a task then, not one a document.
-    counts = words.groupBy("term").agg(F.count("*").alias("n_t"))
-    n_t = cut(counts.join(terms, "term"), "frequencies")
-    total = found.count()
-    joined = pairs.join(n_t, "term").join(known, "entity")
-    log = lambda x: F.log(x)
-    information = log(F.lit(float(total)) / F.col("n_e"))
-    pmi = log(F.col("n_te") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e")))
-    share = F.when(information > 0, pmi / information)
-    return cut(joined.select("entity", "term", share.alias("share")).where(F.col("share") >= disclosure), "risky")
-
-
-def term_spans(found: DataFrame, risky: DataFrame) -> DataFrame:
-    """doc_id, h, h2 and terms (start, end, share, in order) of the rows that hold a risky term and its entity."""
-    near = _held(found, risky).select("doc_id", "h", "h2", "entity", F.explode("words").alias("x")).select("doc_id", "h", "h2", "entity", "x.*")
-    met = near.join(risky, ["entity", "term"])
-    best = met.groupBy("doc_id", "h", "h2", "start", "end").agg(F.max("share").alias("share"))
-    return best.groupBy("doc_id", "h", "h2").agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("terms"))
-
-
-def _with_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """rows with the column terms; the key is the id (null or not) and the text's hashes."""
-    terms = terms.select(F.col("doc_id").alias("t_id"), F.col("h").alias("t_h"), F.col("h2").alias("t_h2"), "terms")
-    return rows.join(terms, rows["doc_id"].eqNullSafe(terms["t_id"]) & (rows["h"] == terms["t_h"]) & (rows["h2"] == terms["t_h2"]), "left").drop("t_id", "t_h", "t_h2")
+    n_t = scratch.put(words.join(_small(wanted), "term").groupBy("term").agg(F.count("*").alias("n_t")), "frequencies")
+    information = F.log(F.lit(total) / F.col("n_e"))
+    pmi = F.log(F.col("n_te") * F.lit(total) / (F.col("n_t") * F.col("n_e")))
+    risky = scratch.put(left.join(n_t, "term").select("entity", "term", (pmi / information).alias("share")).where(F.col("share") >= disclosure), "risky")
+    scratch.drop(known, pairs, left, wanted, n_t)
+    return risky
+
+
+def term_spans(texts: DataFrame, risky: DataFrame) -> DataFrame:
+    """h, h2 and terms (start, end, share, in order) of the texts that hold a risky term and what it reveals."""
+    scratch = Scratch(texts.sparkSession)
+    reveals = scratch.put(risky.groupBy("term").agg(F.collect_list(F.struct("entity", "share")).alias("reveals")), "reveals")
+    met = texts.select("h", "h2", "protected", F.explode("words").alias("x")).select("h", "h2", "protected", "x.*").join(_small(reveals, F.size("reveals")), "term")
+    best = F.array_max(F.transform(F.filter("reveals", lambda r: F.array_contains("protected", r["entity"])), lambda r: r["share"]))
+    rows = met.withColumn("share", best).where("share is not null")
+    return scratch.put(rows.groupBy("h", "h2").agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("terms")), "spans")
+
+
+def _revealing(documents: DataFrame, found: DataFrame, disclosure: float, support: int) -> DataFrame:
+    """h, h2 and terms of the texts with risky terms; broadcast if they are few."""
+    scratch = Scratch(documents.sparkSession)
+    texts = different_texts(scratch, found)
+    risky = risky_terms(documents, found, texts, disclosure, support)
+    spans = term_spans(texts, risky)
+    scratch.drop(texts, risky)
+    return _small(spans, F.size("terms"))
 
 
 def find(documents: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """doc_id, the patterns' counts and digest, and spans (the terms' too) of every document."""
+    """doc_id, the patterns' counts and digest, and spans (the patterns', secrets' and terms') of every document."""
     found = cut(scan(documents), "found")
-    terms = cut(term_spans(found, risky_terms(documents, found, disclosure, support)), "spans")
-    rows = _with_terms(found.drop("entities", "words"), terms)
+    rows = found.drop("protected", "words").join(_revealing(documents, found, disclosure, support), ["h", "h2"], "left")
     own = F.transform(F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,share:double>>")), lambda x: F.concat_ws(":", F.lit(TERM), x["start"], x["end"]))
-    spans = F.array_join(F.filter(F.concat(F.array("base"), own), lambda x: x != ""), ",")
+    spans = F.array_join(F.filter(F.concat(F.array("base", "secrets"), own), lambda x: x != ""), ",")
     return rows.select("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", spans.alias("spans"))
 
 
+def generalised(word: str) -> str:
+    """A term's class of writing."""
+    return "[NAME]" if word[:1].isupper() else "[WORD]"
+
+
 def rewrite(text: str, terms: list[tuple[int, int, float]], removal: float = REMOVAL) -> str:
-    """Entities become [KIND]; risky terms [TERM], or nothing from the removal threshold on. Of spans that overlap,
+    """Values and secrets become [KIND]; risky terms their class, or nothing from the removal threshold on. Of spans that overlap,
     the one that starts first (then the longer) names the whole stretch."""
-    marks = sorted([(a, -b, f"[{k.upper()}]") for k, a, b in base_spans(text)] + [(a, -b, "" if share >= removal else "[TERM]") for a, b, share in terms])
+    base = base_spans(text)
+    marks = sorted([(a, -b, f"[{k.upper()}]") for k, a, b in base + secret_spans(text, base)] + [(a, -b, "" if share >= removal else generalised(text[a:b])) for a, b, share in terms])
     out, at, end = [], 0, 0
     for a, b, mark in marks:
         if a >= end:
@@ -241,17 +304,18 @@ def rewrite(text: str, terms: list[tuple[int, int, float]], removal: float = REM
 
 def sanitise(documents: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT, removal: float = REMOVAL) -> DataFrame:
     """The same rows and columns, with every span of `text` generalised or removed; a null text stays null."""
+    columns, names = documents.columns, ["_pii_h", "_pii_h2", "_pii_terms"]
     found = cut(scan(documents), "found")
-    terms = cut(term_spans(found, risky_terms(documents, found, disclosure, support)), "spans")
-    if terms.count() <= BROADCAST_TERMS:
-        terms = F.broadcast(terms)
-    columns = documents.columns
-    keyed = documents.select(*columns, *_hashes(whole(F.col("text"))))
-    rows = _with_terms(keyed, terms)
+    terms = _revealing(documents, found, disclosure, support).toDF(*names)
+    drop(found)
+    keyed = documents.select(*columns, *(h.alias(n) for h, n in zip(_hashes(whole(F.col("text"))), names)))
 
     @F.arrow_udf("string")
     def clean(texts: pa.Array, terms: pa.Array) -> pa.Array:
-        marks = ([] if x is None else [(y["start"], y["end"], y["share"]) for y in x] for x in terms.to_pylist())
-        return pa.array([None if t is None else rewrite(t, m, removal) for t, m in zip(texts.to_pylist(), marks)], pa.string())
+        out = []
+        for at in range(0, len(texts), TEXTS):
+            marks = ([] if x is None else [(y["start"], y["end"], y["share"]) for y in x] for x in terms.slice(at, TEXTS).to_pylist())
+            out.append(pa.array([None if t is None else rewrite(t, m, removal) for t, m in zip(texts.slice(at, TEXTS).to_pylist(), marks)], pa.string()))
+        return pa.concat_arrays(out) if out else pa.array([], pa.string())
 
-    return rows.withColumn("text", clean("text", "terms")).select(*columns)
+    return keyed.join(terms, names[:2], "left").withColumn("text", clean("text", names[2])).select(*columns)
