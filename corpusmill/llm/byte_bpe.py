@@ -13,7 +13,7 @@ as one piece, as the pattern would match it; a text on which the library still g
 
 Cases: null and empty texts have no ids. Ids are int32. Invalid ids raise. Rows are independent: repeated
 rows give equal results, extra columns are not passed on by encode_table, and an empty table gives an
-empty result.
+empty result. Batches are worked on ROWS rows at a time, one text after another.
 """
 
 from __future__ import annotations
@@ -102,50 +102,60 @@ def _encoder(ranks: bytes, pattern: str) -> ByteBPE:
     return ByteBPE(ranks, pattern)
 
 
+#: Rows whose ids are held at once.
+ROWS = 256
+
+
 def _mapped(rows: DataFrame, ranks: str, pattern: str, schema: str, columns) -> DataFrame:
-    """rows (key, value) by Arrow batch: the key as it is, beside columns(encoder, values)."""
+    """rows (key, value) by ROWS of an Arrow batch: the key as it is, beside columns(encoder, values)."""
     with open(ranks, "rb") as f:  # the vocabulary lies on the driver
         shared = rows.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoder(shared.value, pattern)
         for batch in batches:
-            made = columns(coder, batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made.values()], names=[batch.schema.names[0], *made])
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                made = columns(coder, part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0), *made.values()], names=[batch.schema.names[0], *made])
 
     key, kind = rows.dtypes[0]
     return rows.mapInArrow(run, f"`{key}` {kind}, {schema}")
 
 
-def encode_table(documents: DataFrame, ranks: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, ids (array of int) and decoded (the bytes that the ids stand for) of every row."""
+def encode_table(documents: DataFrame, ranks: str, pattern: str, text: str = "text", key: str = "doc_id", ids: bool = True) -> DataFrame:
+    """key, n_tokens, ids (array of int; left out if not ids), ids_sha256, and decoded_sha256 (of the bytes that the ids
+    decode to) of every row. A text's ids are one buffer; digests are taken beside the encoder, so that bytes needn't travel."""
 
-    def columns(coder: ByteBPE, texts: list) -> dict[str, pa.Array]:
-        ids = [coder.encode(t) for t in texts]
-        return {"ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array([coder.decode_bytes(x) for x in ids], pa.binary())}
-
-    return _mapped(documents.select(key, text), ranks, pattern, "ids array<int>, decoded binary", columns)
+    def columns(coder: ByteBPE, texts: pa.Array) -> dict[str, pa.Array]:
+        n, held, first, second = [], [], [], []
+        for t in texts:
+            found = coder.encode(t.as_py())
+            raw = np.asarray(found, dtype="<u4")
+            n.append(len(found))
+            if ids:
+                held.append(raw.view("<i4"))
+            first.append(hashlib.sha256(raw).hexdigest())
+            second.append(hashlib.sha256(coder.decode_bytes(found)).hexdigest())
+        out = {"n_tokens": pa.array(n, pa.int64())}
+        if ids:
+            ends = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
+            out["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(held)))
+        return out | {"ids_sha256": pa.array(first, pa.string()), "decoded_sha256": pa.array(second, pa.string())}
+
+    schema = f"n_tokens long, {'ids array<int>, ' if ids else ''}ids_sha256 string, decoded_sha256 string"
+    return _mapped(documents.select(key, text), ranks, pattern, schema, columns)
 
 
 def digest_table(documents: DataFrame, ranks: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row, taken beside the encoder so that ids needn't travel."""
-
-    def columns(coder: ByteBPE, texts: list) -> dict[str, pa.Array]:
-        n, first, second = [], [], []
-        for t in texts:
-            ids = coder.encode(t)
-            n.append(len(ids))
-            first.append(hashlib.sha256(np.asarray(ids, dtype="<u4").tobytes()).hexdigest())
-            second.append(hashlib.sha256(coder.decode_bytes(ids)).hexdigest())
-        return {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(first, pa.string()), "decoded_sha256": pa.array(second, pa.string())}
-
-    return _mapped(documents.select("doc_id", "text"), ranks, pattern, "n_tokens long, ids_sha256 string, decoded_sha256 string", columns)
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row."""
+    return encode_table(documents, ranks, pattern, ids=False)
 
 
 def decode_table(encoded: DataFrame, ranks: str, pattern: str, ids: str = "ids", key: str = "doc_id") -> DataFrame:
     """key and text of every row of ids; null ids are none."""
 
-    def columns(coder: ByteBPE, values: list) -> dict[str, pa.Array]:
-        return {"text": pa.array([coder.decode(x or []) for x in values], pa.string())}
+    def columns(coder: ByteBPE, values: pa.Array) -> dict[str, pa.Array]:
+        return {"text": pa.array([coder.decode(x.as_py() or []) for x in values], pa.string())}
 
     return _mapped(encoded.select(key, ids), ranks, pattern, "text string", columns)
