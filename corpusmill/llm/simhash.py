@@ -5,17 +5,27 @@ Free style. The steps:
 1. fingerprints(): one narrow Arrow pass; the table of (id, fingerprint) is written once.
 2. Equal fingerprints collapse: one row a fingerprint with its smallest id (partial aggregation first, so
    copies don't travel). Only distinct fingerprints are joined.
-3. links(): the 64 bits are cut into budget + 1 blocks. Two fingerprints within the budget agree on at least
-   one block, so one trie is built for each block, with its bits rotated to the top; the tries' subtrees
-   below a block's value are the units of work. In each, node pairs are traversed together from the root,
-   differing bits accumulate, and a pair is pruned as soon as they exceed the budget. Nothing is capped: a
-   subtree with many fingerprints is split by a hash into parts, and each pair of parts is one unit.
-   What a unit returns are star edges of its own components, not all its pairs: at most one a fingerprint.
+3. links(): the 64 bits are cut into budget + g blocks. Two fingerprints within the budget agree on at least
+   g of them, so one trie is built for each choice of g blocks, with their bits on top; the tries' subtrees
+   below the chosen blocks' values are the units of work. g grows with the table, so that subtrees keep their size. In each, node
+   pairs are traversed together from the root, differing bits accumulate, and a pair is pruned as soon as they exceed the budget.
+   Nothing is capped: a subtree with more fingerprints than a fixed number is split by a hash into parts, and each pair of parts
+   is one unit. What a unit returns are star edges of its own components, not all its pairs: at most one a fingerprint.
 4. components(): large-star and small-star rounds (Kiveris et al., 2014) over these edges, each written
    to the shared folder; nothing is collected but a count and a checksum a round.
 5. Joins carry the component's smallest id back to fingerprints and then to rows. Both sides of each join are
    plain scans, so adaptive execution can split a hot key.
 
+representatives() asks for similar texts instead of near fingerprints: Jaccard similarity of five-word shingles. One fingerprint
+of a whole text can't tell 0.8 (texts that similar differ in about ten of 64 bits), so each text gets PRINTS fingerprints, each the
+SimHash of the SAMPLE shingles that come first under one hash order: texts of similarity J agree on one with probability about
+J^SAMPLE, and miss all with (1 - J^SAMPLE)^PRINTS, 0.008 at 0.8. All of them go through the trie join above together; what it
+links is a bucket of candidates, and every link is an exact check of the shingle sets. In a bucket, texts are checked against
+leaders (the smallest ids); those alike are settled, the others go on with GROWTH times as many leaders, so a bucket of n copies costs
+n checks, and no text is left unchecked but where a check can't matter: texts that earlier links have brought together aren't
+checked again, nor are those whose min-wise bits (BITWISE of them, one a hash order; each differs with probability (1 - J) / 2)
+are over 4.5 standard deviations beyond what the similarity asked for gives. Groups are the components of the links found.
+
 Cases: null and empty texts (and texts of white space) have fingerprint zero and link like any other; texts
 with fewer words than a shingle use the whole sequence; repeated rows and ids each keep their row; a null id
 is larger than any other, and a component of null ids only has a null id. Texts are read whole, extra columns
@@ -25,39 +35,55 @@ are not passed on, and an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
+from functools import reduce
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import cut
+from ..session import Scratch, cut, drop
 
 BITS = 64
 SHINGLE = 4
 BUDGET = 4
 SEED = 42
-#: A subtree is split when it holds more fingerprints than this, or than four times the mean subtree.
-SPLIT = 1024
+#: A subtree is split when it holds more fingerprints than this.
+SPLIT = 4096
+#: Most agreeing blocks.
+AGREE = 4
+#: Words of a shingle, and similarity, of texts that are alike; fingerprints of a text, and shingles behind each.
+WORDS, SIMILARITY = 5, 0.8
+PRINTS, SAMPLE = 12, 5
+#: Min-wise bits of a text, and how the number of a bucket's leaders grows by round, up to MOST.
+BITWISE = 256
+GROWTH, MOST = 4, 1000
+#: Rows of tables that are broadcast.
+BROADCAST = 200_000
 #: Node pairs with at most so many fingerprint pairs are compared directly.
 LEAF = 16
 #: Node pairs that are expanded at once.
 FRONTIER = 1 << 19
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """Bits set in over half of the shingles' XXH64; A-Z are lower-cased, words are split at ASCII white space."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends = list(accumulate((len(w) + 1 for w in words), initial=0))
-    digest = xxhash.xxh64_digest
+def split_words(text: str | None) -> list[bytes]:
+    """A-Z are lower-cased, words are split at ASCII white space."""
+    return (text or "").encode("utf-8", "replace").lower().split()
+
+
+def _digests(words: list[bytes], shingle: int, seed: int) -> list[bytes]:
+    """XXH64 of every shingle (of the whole sequence, if it has fewer words), big-endian."""
+    joined, digest = b" ".join(words), xxhash.xxh64_digest
     if len(words) < shingle:
-        hashes = [digest(joined, seed)]
-    else:
-        hashes = [digest(joined[a : b - 1], seed) for a, b in zip(ends, ends[shingle:])]
+        return [digest(joined, seed)] if words else []
+    ends = list(accumulate((len(w) + 1 for w in words), initial=0))
+    return [digest(joined[a : b - 1], seed) for a, b in zip(ends, ends[shingle:])]
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """Bits set in over half of the shingles' XXH64."""
+    hashes = _digests(split_words(text), shingle, seed)
     n = len(hashes)
     total = np.zeros(BITS, np.int64)
     block = 8192
@@ -164,55 +190,79 @@ def trie_join(a: np.ndarray, b: np.ndarray | None, top: int, budget: int) -> Ite
             stack.append((depth + 1, *(c[keep] for c in x)))
 
 
-def _rotate(v: np.ndarray, by: int) -> np.ndarray:
-    return v if by == 0 else (v << np.uint64(by)) | (v >> np.uint64(BITS - by))
+Arrangement = tuple[tuple[tuple[int, int], ...], int]
+
 
+def arrange(v: np.ndarray, blocks: tuple[tuple[int, int], ...]) -> np.ndarray:
+    """The values with the blocks' bits in their order."""
+    out = np.zeros_like(v)
+    for start, width in blocks:
+        out = (out << np.uint64(width)) | ((v >> np.uint64(BITS - start - width)) & np.uint64((1 << width) - 1))
+    return out
 
-def unit_stars(block: np.ndarray, left: np.ndarray, right: np.ndarray, part: np.ndarray, fp: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+
+def arrangements(budget: int, total: int, split: int = SPLIT) -> list[Arrangement]:
+    """(blocks, bits of the first ones, which agree) for every choice of agreeing blocks; more of them for larger tables, so that
+    subtrees hold split / 2 values or fewer on average."""
+    for agree in range(1, AGREE + 1):
+        blocks = cut_bits(budget + agree)
+        if 2 * total <= split << sum(sorted(w for _, w in blocks)[:agree]):
+            break
+    out = []
+    for chosen in combinations(range(len(blocks)), agree):
+        order = (*(blocks[k] for k in chosen), *(x for k, x in enumerate(blocks) if k not in chosen))
+        out.append((order, sum(blocks[k][1] for k in chosen)))
+    return out
+
+
+def cut_bits(many: int) -> list[tuple[int, int]]:
+    """(first bit, width) of blocks."""
+    edges = [round(BITS * k / many) for k in range(many + 1)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:])]
+
+
+def unit_stars(block: np.ndarray, left: np.ndarray, right: np.ndarray, part: np.ndarray, fp: np.ndarray, budget: int, cuts: list[Arrangement]) -> tuple[np.ndarray, np.ndarray]:
     """Star edges (fingerprint, root) of the components in the units of one task.
 
-    Units are (block, left part, right part) with the block's value on top; where left = right a unit is
-    joined with itself, else its part `left` with its part `right`."""
-    cuts = block_bits(budget)
+    Units are (arrangement, left part, right part), any values on top (the trie join starts below them); where left = right a
+    unit is joined with itself, else its part `left` with its part `right`."""
     forest_of, index = np.unique(fp, return_inverse=True)
     forest = Forest(len(forest_of))
-    unit = np.stack([block, left, right], axis=1)
-    for row in np.unique(unit, axis=0):
-        mine = (unit == row).all(axis=1)
-        start, width = cuts[row[0]]
-        values, where = _rotate(fp[mine], start), index[mine]
+    order = np.lexsort((right, left, block))
+    names = np.stack([block, left, right], axis=1)[order]
+    for mine in np.split(order, np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1) if len(order) else []:
+        (blocks, top), one, other = cuts[block[mine[0]]], left[mine[0]], right[mine[0]]
+        values, where = arrange(fp[mine], blocks), index[mine]
         sides = []
-        for side in {row[1], row[2]} if row[1] != row[2] else {row[1]}:
+        for side in {one, other}:
             own = part[mine] == side
-            v, first = np.unique(values[own], return_index=True)
-            sides.append((v, where[own][first]))
+            v, at = np.unique(values[own], return_index=True)
+            sides.append((v, where[own][at]))
         a, b = sides[0], (sides[1] if len(sides) > 1 else None)
-        for i, j in trie_join(a[0], b and b[0], width, budget):
+        for i, j in trie_join(a[0], b and b[0], top, budget):
             forest.link(a[1][i], (b or a)[1][j])
     roots = forest.roots()
     moved = np.flatnonzero(roots != np.arange(len(roots)))
     return forest_of[moved], forest_of[roots[moved]]
 
 
-def block_bits(budget: int) -> list[tuple[int, int]]:
-    """(first bit, width) of budget + 1 blocks."""
-    edges = [round(BITS * k / (budget + 1)) for k in range(budget + 2)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:])]
-
-
 def links(distinct: DataFrame, budget: int = BUDGET, split: int = SPLIT) -> DataFrame:
-    """Star edges (a, b), a > b as signed longs, whose components are those of all links within the budget."""
-    cuts = block_bits(budget)
-    value = lambda start, width: F.shiftrightunsigned(F.shiftleft("fp", start) if start else F.col("fp"), BITS - width)
+    """Star edges (a, b), a > b as signed longs, whose components are those of all links within the budget; distinct is a
+    written table."""
+    cuts = arrangements(budget, distinct.count(), split)
+
+    def value(blocks: tuple[tuple[int, int], ...], top: int) -> Column:
+        out, held = F.lit(0).cast("long"), 0
+        for start, width in blocks:
+            if held < top:
+                out = F.shiftleft(out, width).bitwiseOR(F.shiftrightunsigned("fp", BITS - start - width).bitwiseAND(F.lit((1 << width) - 1).cast("long")))
+                held += width
+        return out
+
     rows = distinct.select("fp", F.posexplode(F.array(*[value(*c) for c in cuts])).alias("block", "value"))
-    total = distinct.count()
-    limit = max(split, 4 * total >> min(w for _, w in cuts))
-    #: More than `limit` of `total` in a subtree: at most total / limit values a block, so few that they are bounded by 2^width / 4 a block.
-    hot = rows.groupBy("block", "value").count().where(F.col("count") > limit).collect()
-    rows = rows.withColumn("parts", F.lit(1))
-    if hot:
-        sizes = distinct.sparkSession.createDataFrame([(r["block"], r["value"], -(-r["count"] // limit)) for r in hot], "block int, value long, many int")
-        rows = rows.join(F.broadcast(sizes), ["block", "value"], "left").withColumn("parts", F.coalesce("many", F.lit(1)))
+    hot = cut(rows.groupBy("block", "value").count().where(F.col("count") > split).select("block", "value", F.ceil(F.col("count") / split).cast("int").alias("many")), "hot")
+    n = hot.count()
+    rows = rows.join(F.broadcast(hot) if n <= BROADCAST else hot, ["block", "value"], "left").withColumn("parts", F.coalesce("many", F.lit(1))) if n else rows.withColumn("parts", F.lit(1))
     part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     rows = rows.withColumn("part", part).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.withColumn("left", F.least("part", "with")).withColumn("right", F.greatest("part", "with"))
@@ -223,7 +273,7 @@ def links(distinct: DataFrame, budget: int = BUDGET, split: int = SPLIT) -> Data
         if got:
             t = pa.Table.from_batches(got)
             col = lambda c: t[c].to_numpy()
-            a, b = unit_stars(col("block"), col("left"), col("right"), col("part"), col("fp").view(np.uint64), budget)
+            a, b = unit_stars(col("block"), col("left"), col("right"), col("part"), col("fp").view(np.uint64), budget, cuts)
             a, b = a.view(np.int64), b.view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
@@ -243,7 +293,9 @@ def _stars(edges: DataFrame, small: bool) -> DataFrame:
         out = met.select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select(F.col("x.v").alias("a"), F.col("x.m").alias("b"))
     else:
         out = met.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-    return cut(out.where("a > b").distinct(), "stars")
+    stars = cut(out.where("a > b").distinct(), "stars")
+    drop(edges, around, least)
+    return stars
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -273,16 +325,147 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", budget: int = BUD
     return found.select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def representatives(documents: DataFrame, budget: int = BUDGET, shingle: int = SHINGLE, split: int = SPLIT) -> DataFrame:
-    """One row of each component, with its own columns: the one with the smallest id.
+_SEEDS = np.array([xxhash.xxh64_intdigest(b"%d" % k) for k in range(PRINTS)], np.uint64)
+
+
+def _mixed(v: np.ndarray) -> np.ndarray:
+    """Another order of 64-bit hashes (the finaliser of SplitMix64)."""
+    v = (v ^ (v >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    v = (v ^ (v >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return v ^ (v >> np.uint64(31))
+
+
+def shingle_set(text: str | None, shingle: int = WORDS, seed: int = SEED) -> np.ndarray:
+    """The different hashes of a text's shingles."""
+    return np.unique(np.frombuffer(b"".join(_digests(split_words(text), shingle, seed)), ">u8").astype(np.uint64))
+
+
+def sample_prints(own: np.ndarray) -> np.ndarray:
+    """PRINTS fingerprints of a shingle set (none of an empty one): the SimHash of its first SAMPLE hashes in each of as many orders."""
+    held = np.zeros((PRINTS, 0), np.uint64)
+    for at in range(0, len(own), 65_536):
+        held = np.concatenate([held, _mixed(own[None, at : at + 65_536] ^ _SEEDS[:, None])], axis=1)
+        if held.shape[1] > SAMPLE:
+            held = np.partition(held, SAMPLE - 1, axis=1)[:, :SAMPLE]
+    if not len(own):
+        return np.zeros(0, np.int64)
+    # The values that order the shingles are small where they come first: mixed once more, their bits are even again.
+    bits = np.unpackbits(_mixed(held).astype(">u8").view(np.uint8).reshape(PRINTS, -1, BITS // 8), axis=2).sum(axis=1, dtype=np.int32)
+    return np.packbits(2 * bits > held.shape[1], axis=1).view(">i8").ravel().astype(np.int64)
+
+
+_FACTORS = np.array([xxhash.xxh64_intdigest(b"%d" % k, 1) | 1 for k in range(BITWISE)], np.uint64)
+
+
+def bitwise(own: np.ndarray) -> np.ndarray:
+    """One bit of the first hash of a shingle set in each of BITWISE orders, as longs."""
+    least = np.full(BITWISE, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(own), 4_096):
+        least = np.minimum(least, (own[None, at : at + 4_096] * _FACTORS[:, None]).min(axis=1))
+    return np.packbits((least >> np.uint64(20)).astype(np.uint8) & 1).view(">i8").astype(np.int64)
+
+
+def bits_apart(similarity: float) -> int:
+    """Min-wise bits in which texts that are so similar differ at most, but for one pair in some hundred thousand."""
+    q = (1 - similarity) / 2
+    return round(BITWISE * q + 4.5 * (BITWISE * q * (1 - q)) ** 0.5)
+
+
+def marks(documents: DataFrame, key: str) -> DataFrame:
+    """key, two hashes of the sequence of words, and prints of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part, same, prints = batch.slice(at, 512), [], []
+                for text in part.column(1).to_pylist():
+                    same.append(xxhash.xxh3_128_digest(b" ".join(split_words(text))))
+                    prints.append(sample_prints(shingle_set(text)))
+                h = np.frombuffer(b"".join(same), np.int64).reshape(-1, 2)
+                ends = pa.array(np.cumsum([0, *map(len, prints)]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(prints)))], names=["key", "h", "h2", "prints"])
+
+    rows = documents.select(F.col(key).alias("key"), "text")
+    return rows.mapInArrow(run, f"key {rows.dtypes[0][1]}, h long, h2 long, prints array<long>")
+
+
+def shingle_sets(documents: DataFrame, key: str) -> DataFrame:
+    """key, shingles (an array of hashes) and bits of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                found = [shingle_set(t) for t in part.column(1).to_pylist()]
+                ends = pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32))
+                sets = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found).view(np.int64)))
+                bits = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([bitwise(x) for x in found])), BITWISE // 64)
+                yield pa.RecordBatch.from_arrays([part.column(0), sets, bits.cast(pa.list_(pa.int64()))], names=["key", "shingles", "bits"])
+
+    rows = documents.select(F.col(key).alias("key"), "text")
+    return rows.mapInArrow(run, f"key {rows.dtypes[0][1]}, shingles array<long>, bits array<long>")
+
+
+def similar(documents: DataFrame, prints: DataFrame, key: str, similarity: float = SIMILARITY, budget: int = BUDGET, split: int = SPLIT) -> DataFrame:
+    """(a, b): a's text is as similar to that of b, a smaller key, as asked; together, what connects all groups of similar texts.
+    prints: a written table of key and fp."""
+    scratch = Scratch(documents.sparkSession)
+    met = scratch.put(classes(prints, budget, split).select(F.col("component").alias("bucket"), "key").distinct(), "met")
+    several = scratch.put(met.groupBy("bucket").count().where("count > 1").select("bucket"), "several")
+    held = scratch.put(met.join(several, "bucket", "left_semi"), "held")
+    keys = scratch.put(held.select("key").distinct(), "keys")
+    named = documents.select(F.col(key).alias("key"), "text")
+    sets = scratch.put(shingle_sets(named.join(keys, "key", "left_semi"), "key"), "sets")
+    rest = scratch.put(held.join(sets.select("key", "bits"), "key").select("bucket", "key", "bits", F.col("key").alias("group")), "rest")
+    scratch.drop(met, several, held, keys)
+    apart = lambda a, b: reduce(lambda x, y: x + y, (F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(BITWISE // 64)))
+    edges, many = [], 1
+    while not rest.isEmpty():
+        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("key"))
+        first = rest.withColumn("rank", rank).where(F.col("rank") <= many)
+        leaders = scratch.put(first.select("bucket", F.col("key").alias("leader"), F.col("bits").alias("others"), F.col("group").alias("its")), "leaders")
+        worth = (F.col("key") > F.col("leader")) & (F.col("group") != F.col("its")) & (apart("bits", "others") <= bits_apart(similarity))
+        own, other = rest.alias("own"), leaders.alias("other")
+        tried = scratch.put(own.join(other, (F.col("own.bucket") == F.col("other.bucket")) & worth).select("own.bucket", "key", "leader"), "tried")
+        pairs = scratch.put(tried.select("key", "leader").distinct(), "pairs")
+        both = pairs.join(sets.drop("bits"), "key").join(sets.select(F.col("key").alias("leader"), F.col("shingles").alias("others")), "leader")
+        common = F.size(F.array_intersect("shingles", "others"))
+        alike = both.select("key", "leader", common.alias("common"), (F.size("shingles") + F.size("others") - common).alias("union"))
+        linked = scratch.put(alike.where(F.col("common") >= similarity * F.col("union") - 1e-9).select("key", "leader"), "linked")
+        settled = tried.join(linked, ["key", "leader"], "left_semi").select("bucket", "key").unionByName(leaders.select("bucket", F.col("leader").alias("key")))
+        settled = scratch.put(settled.distinct(), "settled")
+        left = rest.join(settled, ["bucket", "key"], "left_anti")
+        if not linked.isEmpty():
+            edges.append(linked.select(F.col("key").alias("a"), F.col("leader").alias("b")))
+            groups = components(reduce(DataFrame.unionByName, edges))
+            left = left.drop("group").join(groups.withColumnsRenamed({"a": "key", "b": "group"}), "key", "left").withColumn("group", F.coalesce("group", "key"))
+        left = scratch.put(left.select("bucket", "key", "bits", "group"), "left")
+        # Buckets that earlier links have brought together are done.
+        open_ = scratch.put(left.groupBy("bucket").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low != high").select("bucket"), "open")
+        before, rest = rest, scratch.put(left.join(open_, "bucket", "left_semi"), "rest")
+        scratch.drop(before, leaders, tried, pairs, settled, left, open_)
+        many = min(GROWTH * many, MOST)
+    scratch.drop(sets)
+    return reduce(DataFrame.unionByName, edges) if edges else rest.select(F.col("key").alias("a"), F.col("group").alias("b"))
+
+
+def representatives(documents: DataFrame, similarity: float = SIMILARITY, budget: int = BUDGET, split: int = SPLIT) -> DataFrame:
+    """One row of each group of similar texts, with its own columns: the one with the smallest id. Rows without words are one group.
 
     Where ids repeat or are null, rows are numbered by (id, text) first, so that each is a document of its own."""
-    columns, mark = documents.columns, "_row_of_component"
+    columns, mark, scratch = documents.columns, "_row_of_component", Scratch(documents.sparkSession)
     n, ids = documents.agg(F.count("*"), F.countDistinct("doc_id")).first()
     if n == ids:
         rows = documents.withColumn(mark, F.col("doc_id"))
     else:
-        rows = cut(documents.orderBy(F.col("doc_id").asc_nulls_last(), "text").withColumn(mark, F.monotonically_increasing_id()), "numbered")
-    found = classes(cut(fingerprints(rows, mark, shingle=shingle), "fingerprints"), budget, split)
-    gone = cut(found.where("key != component").select(F.col("key").alias(mark)), "gone")
+        rows = scratch.put(documents.orderBy(F.col("doc_id").asc_nulls_last(), "text").withColumn(mark, F.monotonically_increasing_id()), "numbered")
+    marked = scratch.put(marks(rows, mark), "marks")
+    # Equal sequences of words first: only the smallest id of each goes on.
+    texts = scratch.put(marked.groupBy("h", "h2").agg(F.min("key").alias("low")), "texts")
+    copies = marked.drop("prints").join(texts, ["h", "h2"]).where("key != low").select("key")
+    copies = scratch.put(copies, "copies")
+    prints = scratch.put(marked.join(copies, "key", "left_anti").select("key", F.explode("prints").alias("fp")), "prints")
+    edges = similar(rows, prints, mark, similarity, budget, split)
+    gone = scratch.put(copies.unionByName(components(edges).select(F.col("a").alias("key"))).select(F.col("key").alias(mark)), "gone")
+    scratch.drop(marked, texts, copies, prints)
     return rows.join(gone, mark, "left_anti").select(*columns)

@@ -78,8 +78,22 @@ def test_fingerprints():
     assert S.fingerprint("w " * 20_000) == S.fingerprint("w w w w")
 
 
-@pytest.mark.parametrize("split", [1024, 7])
-def test_components(spark, split):
+def test_arrangements_lose_no_pair():
+    """Pairs within the budget agree on the top bits of one arrangement at least, however many blocks have to agree."""
+    v = np.array(clusters(3, 8, 20, 4), dtype=np.uint64)
+    near = [(i, j) for i in range(len(v)) for j in range(i) if bin(int(v[i]) ^ int(v[j])).count("1") <= 4]
+    for total, many in ((10, 5), (1 << 20, 15), (1 << 30, 35), (1 << 40, 70)):
+        cuts = S.arrangements(4, total, 1 << 8)
+        assert len(cuts) == many and all(sorted(x for b, w in blocks for x in range(b, b + w)) == list(range(64)) for blocks, _ in cuts)
+        tops = [S.arrange(v, blocks) >> np.uint64(64 - top) for blocks, top in cuts]
+        assert all(any(t[i] == t[j] for t in tops) for i, j in near)
+        assert all((np.bitwise_count(S.arrange(v, blocks)) == np.bitwise_count(v)).all() for blocks, _ in cuts)
+
+
+@pytest.mark.parametrize("split, total", [(4096, None), (7, None), (2, 1 << 20)])
+def test_components(spark, monkeypatch, split, total):
+    if total:  # as in a table of that many, where more blocks have to agree
+        monkeypatch.setattr(S, "arrangements", lambda budget, _, size, f=S.arrangements: f(budget, total, size))
     prints = clusters(5, 30, 12, 3) + clusters(6, 1, 80, 2) + [0, 0, 1, 3, (1 << 64) - 1]
     low = slow_components(prints)
     signed = np.array(prints, dtype=np.uint64).view(np.int64).tolist()
@@ -123,12 +137,79 @@ def test_query_against_brute_force(spark):
     assert got == [(r["doc_id"], f"{f:016x}", c) for r, f, c in zip(docs, prints, low)]
 
 
+def slow_sets(texts, k=5):
+    out = []
+    for t in texts:
+        w = brute.words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        out.append(({" ".join(w[i : i + k]) for i in range(len(w) - k + 1)} or {" ".join(w)}, tuple(w)))
+    return out
+
+
+def slow_groups(texts, least=0.8):
+    """Smallest position that each text can reach over texts of equal words and over similarities, and the similar pairs of different texts."""
+    sets, pairs, up = slow_sets(texts), [], list(range(len(texts)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, (a, w) in enumerate(sets):
+        for j in range(i):
+            b = sets[j][0]
+            if min(len(a), len(b)) >= least * max(len(a), len(b)) and len(a & b) >= least * len(a | b):
+                up[max(root(i), root(j))] = min(root(i), root(j))
+                if w != sets[j][1]:
+                    pairs.append((j, i))
+    return [root(i) for i in range(len(texts))], pairs
+
+
+def edited(r, text, many):
+    """The text with some words put in, left out or replaced."""
+    w = text.split()
+    for _ in range(many):
+        k = int(r.integers(0, len(w)))
+        w[k : k + int(r.integers(0, 2))] = [f"new{r.integers(0, 99)}"] * int(r.integers(0, 2))
+    return " ".join(w)
+
+
 def test_representatives(spark):
     docs = fixtures.documents(spark)
-    low = slow_components([S.fingerprint(t) for t in fixtures.TEXTS])
+    low, _ = slow_groups(fixtures.TEXTS)
     kept = S.representatives(docs)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(low))
     rows = [(None, "a b c d e"), (4, "a b c d e"), (4, "a b c d e"), (4, "z y x w v"), (None, None)]
     got = S.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(((r["doc_id"] or 0), r["text"] or "") for r in got) == [(0, ""), (4, "a b c d e"), (4, "z y x w v")]
     assert S.representatives(fixtures.empty(spark)).collect() == []
+    extra = docs.selectExpr("*", "1 as key", "2 as bucket", "3 as h", "4 as prints", "5 as shingles")
+    assert S.representatives(extra).columns == extra.columns and S.representatives(extra).count() == kept.count()
+
+
+def test_similar_texts_against_all_pairs(spark):
+    """Copies with edits, a hot group of them, chains and unlike texts: pairs of 0.8 or more are found, others are not."""
+    r = np.random.default_rng(8)
+    vocabulary = [f"w{k}" for k in range(2_000)]
+    base = [" ".join(r.choice(vocabulary, int(r.integers(30, 400)))) for _ in range(40)]
+    texts = list(base)
+    for t in base[:25]:
+        texts += [edited(r, t, max(1, int(len(t.split()) * share))) for share in (0.005, 0.01, 0.02, 0.03, 0.06)]
+    texts += [edited(r, base[30], int(r.integers(0, 12))) for _ in range(120)]
+    for _ in range(10):
+        texts.append(edited(r, texts[-1], 3))
+    texts = [t.upper() if k % 7 == 0 else t.replace(" ", "\n", 1) if k % 5 == 0 else t for k, t in enumerate(texts)]
+    low, pairs = slow_groups(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept = {x["doc_id"] for x in S.representatives(docs).collect()}
+    assert set(low) <= kept and len(kept - set(low)) <= 0.02 * len(texts)
+    both_stay = [(i, j) for i, j in pairs if i in kept and j in kept]
+    assert len(pairs) > 500 and len(both_stay) <= 0.01 * len(pairs)
+
+
+def test_recall_on_documents(spark):
+    rows = sorted(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect(), key=lambda x: x["doc_id"])
+    low, pairs = slow_groups([x["text"] for x in rows])
+    kept = {x["doc_id"] for x in S.representatives(spark.createDataFrame(rows)).collect()}
+    want = {rows[k]["doc_id"] for k in set(low)}
+    missed = [(i, j) for i, j in pairs if rows[i]["doc_id"] in kept and rows[j]["doc_id"] in kept]
+    assert want <= kept and len(kept - want) <= 3 and len(missed) <= 0.1 * len(pairs)
