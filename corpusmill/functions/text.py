@@ -97,9 +97,14 @@ def turtle_escape(text: Column) -> Column:
 
 
 def fenced_json(text: Column) -> Column:
-    """The object in a ```json fence, else the text without outer white space."""
+    """The object in a ```json fence; else one with a list of "ontologies" inside other text; else the text without outer white space."""
     found = F.regexp_extract(blank(text), "(?s)```json\\s*(\\{.*?\\})\\s*```", 1)
-    return F.when(found != "", found).otherwise(strip(blank(text)))
+    bare = F.regexp_extract(blank(text), '(?s)(\\{[^{}]*"ontologies"[^{}]*\\[.*?\\]\\s*\\})', 1)
+    # The shortest match may end at an inner list; the longest one then holds the object.
+    longest = F.regexp_extract(blank(text), '(?s)(\\{[^{}]*"ontologies"[^{}]*\\[.*\\]\\s*\\})', 1)
+    whole = strip(blank(text))
+    inside = F.when(is_json_object(bare), bare).otherwise(longest)
+    return F.when(found != "", found).when(is_json_object(whole) | (bare == ""), whole).otherwise(inside)
 
 
 def is_json_object(text: Column) -> Column:

@@ -29,11 +29,11 @@ def size_limits(n: int, k: int, least: int | None = None, most: int | None = Non
 
 
 def kmeans(points: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", iterations: int = 20, seed: int = 42) -> DataFrame:
-    """key and cluster_id."""
+    """key and cluster_id; rows with a null vector have none and are left out, as by assign()."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    rows = points.select(key, array_to_vector(V.doubles(F.col(vector))).alias("features"))
+    rows = points.where(F.col(vector).isNotNull()).select(key, array_to_vector(V.doubles(F.col(vector))).alias("features"))
     model = KMeans(k=k, maxIter=iterations, seed=seed, featuresCol="features", predictionCol="cluster_id").fit(rows)
     return model.transform(rows).select(key, F.col("cluster_id").cast("int").alias("cluster_id"))
 
@@ -72,6 +72,12 @@ def center_distance(points: DataFrame, middle: DataFrame, cluster: str, key: str
     return joined.select(key, "cluster_id", V.distance(F.col(vector), F.col("center")).alias("distance"))
 
 
+def center_similarity(points: DataFrame, middle: DataFrame, cluster: str, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """key, cluster_id and cosine to the own cluster's centre."""
+    joined = points.select(key, F.col(cluster).alias("cluster_id"), vector).join(F.broadcast(middle) if middle.count() <= 10_000 else middle, "cluster_id")
+    return joined.select(key, "cluster_id", V.cosine(V.doubles(F.col(vector)), F.col("center")).alias("similarity"))
+
+
 def sizes(points: DataFrame, cluster: str) -> DataFrame:
     return points.groupBy(F.col(cluster).alias("cluster_id")).agg(F.count("*").alias("n"))
 

@@ -123,3 +123,23 @@ def signature(rows: DataFrame, cluster: str, title: Column, content: Column) ->
     listed = rows.groupBy(F.col(cluster).alias("cluster_id")).agg(F.sort_array(F.collect_list(text)).alias("texts"))
     body = F.concat(F.lit("cluster_"), F.col("cluster_id").cast("string"), F.lit(":"), F.array_join("texts", "|"))
     return listed.select("cluster_id", F.substring(F.md5(body), 1, 12).alias("signature"))
+
+
+def whole_signature(signatures: DataFrame) -> DataFrame:
+    """One md5 over the clusters' signatures, in the order of their ids, joined by two bars. Twelve characters a cluster meet in one row."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("cluster_id", "signature"))), lambda x: x["signature"])
+    return signatures.agg(F.md5(F.array_join(listed, "||")).alias("signature"), F.count("*").alias("clusters"))
+
+
+def merge_prompt(merged: DataFrame) -> DataFrame:
+    """merged (name, description, relationships) with the prompt that asks for one definition."""
+    relations = F.array_join(F.transform("relationships", lambda r: F.concat(F.lit("- "), r["relation"], F.lit(" ("), T.blank(r["type"]), F.lit(")"))), "\n")
+    task = 'These notes describe one concept. Write one complete description, and list its relations once each, keeping TYPE and OTHER apart. Answer with JSON only: {"description": "", "relationships": [{"relation": "S -> P -> O", "type": "TYPE or OTHER"}]}\n\nConcept: '
+    return merged.withColumn("prompt", F.concat(F.lit(task), "name", F.lit("\n\nDescriptions:\n"), "description", F.lit("\n\nRelations:\n"), relations))
+
+
+def merged_answers(answered: DataFrame, answer: str = "output") -> DataFrame:
+    """Several concepts' rows with the model's description and relations; without a usable answer, they stay as they were joined."""
+    made = merge_response(F.col(answer))
+    usable = T.strip(made["description"]) != ""
+    return answered.withColumns({"relationships": F.when(usable & (F.size(made["relationships"]) > 0), made["relationships"]).otherwise(F.col("relationships")), "description": F.when(usable, made["description"]).otherwise(F.col("description"))})

@@ -29,7 +29,8 @@ def top_k(queries: DataFrame, index: DataFrame, k: int = 15, query_key: str = "v
     """query_id, doc_id, similarity_score (cosine) and rank of the k nearest rows of index for each query.
 
     Queries go to the executors in blocks of bounded size; each batch keeps its own k best, and a window ranks these.
-    Ties go to the smaller key."""
+    Ties go to the smaller key. Rows with a null vector are no neighbours and, as queries, have none."""
+    queries = queries.where(F.col(vector).isNotNull())
     many = max(1, -(-queries.count() // block))
     out = None
     for b in range(many):
@@ -41,6 +42,7 @@ def top_k(queries: DataFrame, index: DataFrame, k: int = 15, query_key: str = "v
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, rows = shared.value
             for batch in batches:
+                batch = batch.filter(batch.column(1).is_valid())
                 if not batch.num_rows or not len(ids):
                     continue
                 keys = batch.column(0).to_numpy()

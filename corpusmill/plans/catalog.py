@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import text as T
-from ..operators import chunking, clustering, concepts, evaluation, rdf, retention, retrieval, similarity
+from ..functions import text as T, vectors as V
+from ..operators import chunking, clustering, concepts, evaluation, presence, rdf, retention, retrieval, similarity
+from ..session import cut
 
 THRESHOLD = 0.3
-ITEM_LIMIT = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,7 +73,8 @@ def cluster_stats(spark, sf_dir):
 
 
 def cluster_hist_zero_fill(spark, sf_dir):
-    return clustering.histogram(table(spark, sf_dir, "embeddings"), "label", 16)
+    points = table(spark, sf_dir, "embeddings")
+    return clustering.histogram(points, "label", max(16, 1 + (points.agg(F.max("label")).first()[0] or 0)))
 
 
 def rebalance_labels(spark, sf_dir):
@@ -145,15 +146,8 @@ def multi_answer_best(spark, sf_dir):
 
 
 def exact_presence(spark, sf_dir):
-    """Items found word for word, in blocks of at most ITEM_LIMIT items that each batch of texts is searched for."""
-    docs, items = table(spark, sf_dir, "documents").select("text"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
-    many = max(1, -(-items.count() // ITEM_LIMIT))
-    found = None
-    for b in range(many):
-        part = items if many == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(many)) == b)
-        hits = docs.join(F.broadcast(part), F.col("text").contains(F.col("item"))).groupBy("item_id").agg(F.count("*").alias("n_docs"))
-        found = hits if found is None else found.unionByName(hits)
-    return items.select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
+    """Items found word for word."""
+    return presence.exact_presence(table(spark, sf_dir, "documents").select("text"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item")))
 
 
 def index_union(spark, sf_dir):
@@ -239,9 +233,62 @@ def owl_inferred(spark, sf_dir):
 
 
 def turtle_lines(spark, sf_dir):
-    rows = _concepts(spark, sf_dir)
-    edges = rdf.triples(rows).distinct()
-    return rdf.turtle(rdf.classes(rows, edges), rdf.properties(edges), edges).where("section in (1, 4, 5)").select("section", "line")
+    rows = cut(_concepts(spark, sf_dir), "concepts")
+    edges = cut(rdf.triples(rows).distinct(), "edges")
+    return rdf.turtle(rdf.classes(rows, edges), rdf.properties(edges), edges).select("section", "line")
+
+
+def vector_length(spark, sf_dir):
+    """First entry and length of the normalised vectors."""
+    unit = V.unit(F.col("embedding"))
+    return _rounded(table(spark, sf_dir, "embeddings").select("vec_id", F.get(unit, F.lit(0)).cast("double").alias("first"), F.sqrt(F.aggregate(unit, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("length")))
+
+
+def center_similarity(spark, sf_dir):
+    """Cosine of each vector to its label's centre."""
+    points = table(spark, sf_dir, "embeddings")
+    return _rounded(clustering.center_similarity(points, clustering.centers(points, "label"), "label"))
+
+
+def corpus_signature(spark, sf_dir):
+    """One signature over all clusters of content_signature, in their order."""
+    return concepts.whole_signature(content_signature(spark, sf_dir))
+
+
+def required_keys(spark, sf_dir):
+    """Responses that have all required keys, for two lists of them."""
+    made = _responses(spark, sf_dir).select("cluster_id", F.col("response").alias("r"))
+    return made.select("cluster_id", T.has_keys(F.col("r"), ["ontologies"]).alias("plain"), T.has_keys(F.col("r"), ["ontologies", "metadata"]).alias("full"))
+
+
+def merge_answers(spark, sf_dir):
+    """A model's merged definitions, made from parts: fenced, bare, and some that aren't JSON, which leave the rows as they were."""
+    body = F.concat(F.lit('{"description":"One '), "p_type", F.lit('","relationships":[{"relation":"'), "p_name", F.lit(' -> is type of -> '), "p_type", F.lit('","type":"TYPE"}]}'))
+    answer = F.when(F.col("p_partkey") % 5 == 0, "sorry").when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("description"), F.array().cast(concepts.RELATIONS).alias("relationships"), answer.alias("output"))
+    return concepts.merged_answers(rows).select("p_partkey", "description", F.get("relationships", F.lit(0))["relation"].alias("relation"))
+
+
+def strip_punctuation(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.strip_punctuation(T.first_words(F.col("text")))).alias("md5"))
+
+
+def string_em(spark, sf_dir):
+    """Short answers (the words of a part's name) that stand in its name and type, given in two sets."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", F.substring_index("p_name", " ", 1), "p_type").alias("prediction"), F.transform(F.split("p_name", " "), lambda w: F.struct(F.array(w).alias("short_answers"))).alias("qa_pairs"))
+    return _rounded(evaluation.presence_scores(rows).select("p_partkey", "str_em", F.col("str_hit").cast("int").alias("str_hit")))
+
+
+def option_match(spark, sf_dir):
+    """Close-set answers: the first figure of a part's brand against the second."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.element_at(F.regexp_extract_all("p_brand", F.lit("[0-9]"), 0), 1).alias("extract_output"), F.element_at(F.regexp_extract_all("p_brand", F.lit("[0-9]"), 0), -1).alias("answer_idx"))
+    return evaluation.option_scores(rows).select("p_partkey", "em")
+
+
+def virtual_ids(spark, sf_dir):
+    """Merged concepts as index summaries, numbered -1, -2, ..."""
+    merged = _merged(spark, sf_dir).withColumn("ord", F.col("key"))
+    return concepts.summaries(merged).select("cluster_id", "ontology_name", F.md5("ontology_summary").alias("summary_md5"))
 
 
 def xml_escape(spark, sf_dir):
@@ -275,16 +322,18 @@ def class_names(spark, sf_dir):
 
 
 def source_concepts(spark, sf_dir):
-    """Documents of every cluster, those without any too."""
-    clusters = spark.range(32).withColumnRenamed("id", "cluster_id")
-    docs = table(spark, sf_dir, "documents").select(F.regexp_extract("source", "([0-9]+)$", 1).cast("long").alias("cluster_id"))
+    """Documents of every cluster up to the largest number, those without any too; -1 has the sources without a number."""
+    number = F.expr("try_cast(regexp_extract(source, '([0-9]+)$', 1) as bigint)")
+    docs = table(spark, sf_dir, "documents").select(F.coalesce(number, F.lit(-1)).alias("cluster_id"))
+    most = F.greatest(F.coalesce(F.max("cluster_id"), F.lit(-1)), F.lit(-1))
+    clusters = docs.agg(F.explode(F.sequence(F.lit(-1).cast("long"), most)).alias("cluster_id"))
     return concepts.per_cluster(clusters, docs)
 
 
 QUERIES = {f.__name__: f for f in (
     knn_topk, retrieval_summary, retrieval_stats, prompt_context, sim_self_join, leader_dedup, name_dedup, nearest_centroid, cluster_stats, cluster_hist_zero_fill, rebalance_labels, kmeans, cluster_report,
     normalize_answer, normalize_loose, token_count, sentence_chunks, qa_accuracy, qa_f1, qa_em, qa_metric_means, qa_fallback, bleu, multi_answer_best, exact_presence, index_union, token_intersect_all, keyword_intersect,
-    ontology_validate, ontology_concepts, ontology_merge, ontology_stats, owl_triples, owl_properties, owl_classes, owl_inferred, turtle_lines, xml_escape, content_signature, keep_newest, age_filter, metric_stats, dataset_name, class_names, source_concepts,
+    ontology_validate, ontology_concepts, ontology_merge, ontology_stats, owl_triples, owl_properties, owl_classes, owl_inferred, turtle_lines, vector_length, center_similarity, corpus_signature, required_keys, merge_answers, strip_punctuation, string_em, option_match, virtual_ids, xml_escape, content_signature, keep_newest, age_filter, metric_stats, dataset_name, class_names, source_concepts,
 )}
 
 from .oracles import ORACLE_SQL  # noqa: E402, F401

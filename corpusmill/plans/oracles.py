@@ -79,13 +79,29 @@ def _dataset(by_report: bool) -> str:
     return f"case {first}when parent in ({listed}) then parent {' '.join(f'''when contains(stem, '{n}') then '{n}' ''' for n in names)} else {'''string_split(stem, '_')[1]''' if by_report else '''\'unknown\''''} end"
 
 
+#: Fixed lines of a Turtle file: public prefixes, and the properties that every class has.
+TURTLE_FIXED = "values " + ", ".join(
+    f"({section}, '{line}')"
+    for section, line in [
+        *((0, f"@prefix {p}: <{u}> .") for p, u in [("mill", "http://example.org/concepts#"), ("rdf", "http://www.w3.org/1999/02/22-rdf-syntax-ns#"), ("rdfs", "http://www.w3.org/2000/01/rdf-schema#"), ("owl", "http://www.w3.org/2002/07/owl#"), ("xsd", "http://www.w3.org/2001/XMLSchema#")]),
+        (0, ""),
+        (0, "<http://example.org/concepts> rdf:type owl:Ontology ."),
+        *((2, f'mill:{n} rdf:type owl:DatatypeProperty ;\n    rdfs:label "{label}" ;\n    rdfs:range xsd:{kind} .') for n, label, kind in [("documentCount", "document count", "integer"), ("clusterId", "cluster id", "integer"), ("generatedFrom", "generated from", "string"), ("clusterCount", "cluster count", "integer"), ("ontologyCount", "ontology count", "integer")]),
+    ]
+)
+
+
+def _side(name: str, side: str, end: str) -> str:
+    return f"""case when len({side}) = 1 then '    rdfs:{name} mill:' || {side}[1] || ' {end}' else '    rdfs:{name} [ rdf:type owl:Class ; owl:unionOf ( ' || array_to_string(list_transform({side}, lambda x: 'mill:' || x), ' ') || ' ) ] {end}' end"""
+
+
 ORACLE_SQL = {
     "knn_topk": f"with {HITS} select query_id, doc_id, round(similarity_score, 6) similarity_score, rank from hits",
     "retrieval_summary": f"""with {HITS} select query_id, count(*) total_retrieved, count(*) filter (doc_type = 'ontology_summary') ontology_count, count(*) filter (doc_type <> 'ontology_summary') original_count,
         round(avg(similarity_score), 6) avg_similarity, round(min(similarity_score), 6) min_similarity, round(max(similarity_score), 6) max_similarity from hits group by query_id""",
     "retrieval_stats": f"""with {HITS}, t as (select count(distinct query_id) q, count(*) n, count(*) filter (doc_type = 'ontology_summary') s from hits)
         select q total_queries, n total_retrieved, round(n / q, 6) avg_per_query, s total_ontology, n - s total_original, case when n = s then 'infinity'::double else round(s / (n - s), 6) end ontology_ratio from t""",
-    "prompt_context": f"""with {HITS} select query_id, string_agg('[' || upper(doc_type) || '] Document ' || h.doc_id || chr(10) || case when length(text) > 200 then left(text, 200) || '...' else text end || chr(10) || '(Relevance: ' || printf('%.3f', round(similarity_score, 6)) || ')', chr(10) || chr(10) order by rank) context
+    "prompt_context": f"""with {HITS} select query_id, string_agg('[' || upper(doc_type) || '] Document ' || h.doc_id || chr(10) || text || chr(10) || '(Relevance: ' || printf('%.3f', round(similarity_score, 6)) || ')', chr(10) || chr(10) order by rank) context
         from hits h join documents d on d.doc_id = h.doc_id group by query_id""",
     "sim_self_join": f"with {NEAR}, ends as (select i vec_id from near union all select j from near), n as (select vec_id, count(*) c from ends group by vec_id) select v.vec_id, coalesce(c, 0) n_links from v left join n on n.vec_id = v.vec_id",
     "leader_dedup": f"""with recursive {NEAR}, before as (select j, list(i) nb from near group by j),
@@ -98,8 +114,8 @@ ORACLE_SQL = {
         s as (select vec_id, c.label cluster_id, list_distance(v.e, c.c) far from v, c), r as (select *, row_number() over (partition by vec_id order by round(far, 9), cluster_id) k from s)
         select vec_id, cluster_id::bigint cluster_id, round(far, 6) distance from r where k = 1""",
     "cluster_stats": "with n as (select label, count(*) n from embeddings group by label) select sum(n)::bigint total_documents, count(*) num_clusters, min(n) min_size, max(n) max_size, round(avg(n), 6) avg_size from n",
-    "cluster_hist_zero_fill": "select r.i cluster_id, count(label) n from range(16) r(i) left join embeddings on label = r.i group by r.i",
-    "cluster_report": "select source cluster_id, doc_id, length(text) context_length, md5(case when length(text) > 200 then left(text, 200) || '...' else text end) context_preview from documents",
+    "cluster_hist_zero_fill": "select r.i cluster_id, count(label) n from (select unnest(range(greatest(16, (select max(label) + 1 from embeddings)))) i) r left join embeddings on label = r.i group by r.i",
+    "cluster_report": "select source cluster_id, doc_id, length(text) context_length, md5(text) context_preview from documents",
     "normalize_answer": f"select doc_id, md5({_norm('text')}) normalized_md5 from documents",
     "normalize_loose": f"select doc_id, md5({_loose('text')}) normalized_md5 from documents",
     "token_count": f"select doc_id, len({_tokens('text')}) n_tokens from documents",
@@ -120,7 +136,7 @@ ORACLE_SQL = {
           or (contains(raw, '-') and len(string_split(raw, '-')) <= 3 and len(list_filter(list_transform(list_filter(string_split(raw, '-'), lambda y: trim(y) <> ''), lambda y: {_loose('y')}), lambda y: not contains(p, y))) = 0)
           or ((contains(raw, ' - ') or contains(raw, '–')) and len(string_split_regex(raw, '\s*[-–]\s*')) = 2 and len(list_filter(list_transform(string_split_regex(raw, '\s*[-–]\s*'), lambda y: {_loose('y')}), lambda y: contains(p, y))) > 0) end ok from t)
         select count(*) n, round(100 * avg(ok::int), 6) accuracy from r""",
-    "bleu": f"""with {ANSWERS}, t as (select conv_id, turn, {_tokens('output_raw')}[1:30] p, {_tokens('answer_raw')}[1:30] g from pairs),
+    "bleu": f"""with {ANSWERS}, t as (select conv_id, turn, {_tokens('output_raw')}p, {_tokens('answer_raw')}g from pairs),
         n as (select *, {", ".join(f"{GRAM('p', k)} p{k}, {GRAM('g', k)} g{k}" for k in (1, 2, 3, 4))} from t),
         c as (select *, {", ".join(f"{_common(f'p{k}', f'g{k}')}::double c{k}, greatest(len(p{k}), 1) n{k}" for k in (1, 2, 3, 4))} from n),
         b as (select *, case when len(p) > len(g) then 0 else 1 - len(g) / len(p) end brevity from c)
@@ -146,7 +162,21 @@ ORACLE_SQL = {
     "owl_inferred": f"with {RESPONSES}, {EDGES}, {CLASSES}, {INFERRED} select name, -999 cluster_id, 0::bigint document_count from inferred",
     "turtle_lines": f"""with {RESPONSES}, {EDGES}, {CLASSES}, {INFERRED}
         select 1 section, {TURTLE_CLASS} line from (select * from defined union all select name, name || ' (inferred from a relation)', name, 0, -999 from inferred)
-        union all select distinct case when rel_type = 'TYPE' then 4 else 5 end, 'mill:' || subject || case when rel_type = 'TYPE' then ' rdfs:subClassOf' else ' mill:' || predicate end || ' mill:' || object || ' .' from edges""",
+        union all select distinct case when rel_type = 'TYPE' then 4 else 5 end, 'mill:' || subject || case when rel_type = 'TYPE' then ' rdfs:subClassOf' else ' mill:' || predicate end || ' mill:' || object || ' .' from edges
+        union all select section, line from ({TURTLE_FIXED}) f(section, line)
+        union all select 3, 'mill:' || predicate || ' rdf:type owl:ObjectProperty ;' || chr(10) || '    rdfs:label "' || predicate || '" ;' || chr(10) || {_side("domain", "domains", ";")} || chr(10) || {_side("range", "ranges", ".")}
+          from (select predicate, list_sort(list_distinct(list(subject))) domains, list_sort(list_distinct(list(object))) ranges from edges where rel_type <> 'TYPE' group by predicate)""",
+    "vector_length": "with v as (select vec_id, cast(embedding as double[]) e from embeddings) select vec_id, round(e[1] / sqrt(list_dot_product(e, e)), 6) as first, round(sqrt(list_dot_product(e, e)) / sqrt(list_dot_product(e, e)), 6) as length from v",
+    "center_similarity": "with v as (select vec_id, label, cast(embedding as double[]) e from embeddings), x as (select label, generate_subscripts(e, 1) i, unnest(e) x from v), m as (select label, i, avg(x) x from x group by label, i), c as (select label, list(x order by i) c from m group by label) select vec_id, v.label cluster_id, round(list_cosine_similarity(e, c), 6) similarity from v join c using (label)",
+    "required_keys": f"with {RESPONSES} select cluster_id, true as plain, coalesce(error = 'not a JSON object', false) as full from raws",
+    "merge_answers": "select p_partkey, case when p_partkey % 5 = 0 then p_name else 'One ' || p_type end description, case when p_partkey % 5 <> 0 then p_name || ' -> is type of -> ' || p_type end relation from part",
+    "strip_punctuation": f"select doc_id, md5(regexp_replace(array_to_string({_tokens('text')}[1:100], ' '), {PUNCT[:-1]}+$', '')) md5 from documents",
+    "string_em": f"""with t as (select p_partkey, {_norm("string_split(p_name, ' ')[1] || ' ' || p_type")} n, list_transform(string_split(p_name, ' '), lambda w: {_norm('w')}) a from part),
+        h as (select p_partkey, list_transform(a, lambda x: contains(n, x)::int) h from t) select p_partkey, round(list_avg(h), 6) str_em, list_min(h) str_hit from h""",
+    "option_match": "select p_partkey, (regexp_extract_all(p_brand, '[0-9]')[1] = regexp_extract_all(p_brand, '[0-9]')[-1])::int em from part",
+    "virtual_ids": f"""with {RESPONSES}, m as (select lower(trim(name)) k, arg_min(name, cluster_id) as name, string_agg(description, chr(10) order by cluster_id) d, string_agg('- ' || relation, chr(10) order by cluster_id) r from good group by 1)
+        select (-row_number() over (order by k))::int cluster_id, name as ontology_name, md5(name || '：' || d || chr(10) || '关系：' || chr(10) || r) summary_md5 from m""",
+    "corpus_signature": "with s as (select doc_id // 20 cluster_id, left(md5('cluster_' || (doc_id // 20) || ':' || string_agg(source || text, '|' order by source || text)), 12) signature from documents group by 1) select md5(string_agg(signature, '||' order by cluster_id)) signature, count(*) clusters from s",
     "xml_escape": """select page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;')) escaped_md5 from pages""",
     "content_signature": "select doc_id // 20 cluster_id, left(md5('cluster_' || (doc_id // 20) || ':' || string_agg(source || text, '|' order by source || text)), 12) signature from documents group by 1",
     "keep_newest": "select event_id, event_type from (select *, row_number() over (partition by event_type order by ts desc, event_id desc) r from events) where r > 5",
@@ -156,7 +186,7 @@ ORACLE_SQL = {
     "dataset_name": f"""with n as (select page_id, lower(regexp_extract(url, '([^/]*)$', 1)) name, lower(regexp_extract(url, '([^/]*)/[^/]*$', 1)) parent from pages), s as (select *, regexp_replace(name, '\\.[^.]*$', '') stem from n)
         select page_id, {_dataset(False)} by_index, {_dataset(True)} by_report from s""",
     "class_names": f"""with w as (select p_partkey, {_pascal("p_name || ' - ' || p_brand")} class_id, {_pascal("p_name || ' ' || p_type")} camel from part) select p_partkey, class_id, lower(string_split((select any_value(p_name) from part q where q.p_partkey = w.p_partkey), ' ')[1]) || camel[length(string_split((select any_value(p_name) from part q where q.p_partkey = w.p_partkey), ' ')[1]) + 1:] property_id from w""",
-    "source_concepts": "select r.i cluster_id, count(d.doc_id) n from range(32) r(i) left join documents d on regexp_extract(source, '([0-9]+)$', 1)::bigint = r.i group by r.i",
+    "source_concepts": "with d as (select doc_id, coalesce(try_cast(nullif(regexp_extract(source, '([0-9]+)$', 1), '') as bigint), -1) c from documents) select r.i cluster_id, count(d.doc_id) n from (select unnest(range(-1, (select max(c) + 1 from d))) i) r left join d on d.c = r.i group by r.i",
     "rebalance_labels": f"""with recursive {VECTORS}, size as (select list(n order by label) sizes, sum(n)::bigint total, count(*)::bigint k from (select label, count(*)::bigint n from v group by label)),
         walk(i, sizes, gone, src, first, last, target) as (
           select 0::bigint, sizes, list_transform(sizes, lambda x: 0::bigint), 0::bigint, 0::bigint, 0::bigint, 0::bigint from size

@@ -37,6 +37,8 @@ def cluster(corpus: DataFrame, settings: Settings) -> DataFrame:
     """Corpus rows with vector and cluster, balanced in size."""
     vectors = cut(providers.embed(corpus, "context", settings.embedder), "vectors")
     n = vectors.count()
+    if not n:
+        return vectors.withColumn("cluster_id", F.lit(0))
     k = min(n, clustering.cluster_count(n, settings.clusters, settings.max_cluster_size))
     labels = cut(clustering.kmeans(vectors, k, "id"), "labels")
     joined = cut(vectors.join(labels, "id"), "clusters")
@@ -65,7 +67,10 @@ def ontology(clusters: DataFrame, settings: Settings) -> DataFrame:
     vectors = cut(providers.embed(numbered, "name", settings.embedder), "name_vectors")
     lead = similarity.leaders(vectors, settings.threshold)
     groups = numbered.join(lead, "vec_id").select("key", "leader")
-    merged = concepts.merge_groups(rows.join(groups, "key"), "leader")
+    merged = cut(concepts.merge_groups(rows.join(groups, "key"), "leader"), "merged")
+    single, several = concepts.singles_and_several(merged)
+    answered = providers.generate(concepts.merge_prompt(several), "prompt", settings.model)
+    merged = single.unionByName(concepts.merged_answers(answered).select(*single.columns))
     first = rows.join(groups, "key").groupBy("leader").agg(F.min("ord").alias("ord"))
     return concepts.summaries(merged.join(first, "leader"))
 
@@ -103,8 +108,23 @@ def evaluate(corpus: DataFrame, questions: DataFrame, settings: Settings, mode:
     else:
         raise ValueError(f"unknown mode {mode}")
     answered = cut(answer(questions, settings, index).withColumn("mode", F.lit(mode)), "answered")
-    scored = cut(evaluation.SUITES[suite](answered), "scored")
-    return scored, evaluation.means(scored)
+    scored = cut(evaluation.SUITES[suite](prepared(answered, suite, settings)), "scored")
+    return scored, evaluation.means(scored, evaluation.SCORES[suite])
+
+
+def prepared(answered: DataFrame, suite: str, settings: Settings) -> DataFrame:
+    """Answers with the columns that a suite asks for: the option that the model reads out of its answer, or lists of short answers."""
+    if suite == "close_set" and "extract_output" not in answered.columns:
+        task = "Which option does this answer choose? Reply with the option only, or with nothing if it chooses none.\n\nQuestion: "
+        asked = answered.drop("status", "duration").withColumn("prompt", F.concat(F.lit(task), "question", F.lit("\n\nAnswer: "), F.col("output")))
+        answered = providers.generate(asked, "prompt", settings.model, out="extract_output")
+    if suite == "close_set" and "answer_idx" not in answered.columns:
+        answered = answered.withColumn("answer_idx", F.col("answer"))
+    if suite == "long_asqa" and "qa_pairs" not in answered.columns:
+        answered = answered.withColumn("qa_pairs", F.array(F.struct(F.split("answer", "[|]").alias("short_answers"))))
+    if suite == "long_asqa" and "prediction" not in answered.columns:
+        answered = answered.withColumn("prediction", F.col("output"))
+    return answered
 
 
 def load_test(rows: DataFrame, settings: Settings, workers: int = 200) -> DataFrame:

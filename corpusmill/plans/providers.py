@@ -99,8 +99,19 @@ def with_retries(call: Callable, attempts: int = 5, valid: Callable[[object], bo
     return run
 
 
-def embed(rows: DataFrame, text: str, embedder: Embedder, characters: int = 512, batch: int = 32, out: str = "embedding") -> DataFrame:
-    """rows with the vector of each text's first characters (the model's own limit)."""
+def _vectors(embedder: Embedder, texts: list[str], attempts: int, base: float) -> list[list[float] | None]:
+    try:
+        return with_retries(lambda t: checked(embedder(t), len(t)), attempts, base=base)(texts)
+    except Exception:  # noqa: BLE001
+        if len(texts) == 1:
+            return [None]
+        half = len(texts) // 2
+        return _vectors(embedder, texts[:half], attempts, base) + _vectors(embedder, texts[half:], attempts, base)
+
+
+def embed(rows: DataFrame, text: str, embedder: Embedder, characters: int = 512, batch: int = 32, out: str = "embedding", attempts: int = 3, base: float = 1.0) -> DataFrame:
+    """rows with the vector of each text's first characters (the model's own limit). A call that keeps failing is halved, so that one
+    bad text doesn't take others along; a text that fails alone gets null."""
     columns = rows.columns
     prepared = rows.withColumn("_text", truncate(F.col(text), characters))
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{out}` array<float>"
@@ -108,7 +119,7 @@ def embed(rows: DataFrame, text: str, embedder: Embedder, characters: int = 512,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(len(columns)).to_pylist()
-            vectors = [v for at in range(0, len(texts), batch) for v in checked(embedder(texts[at : at + batch]), len(texts[at : at + batch]))]
+            vectors = [v for at in range(0, len(texts), batch) for v in _vectors(embedder, texts[at : at + batch], attempts, base)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(vectors, pa.list_(pa.float32()))], names=[*columns, out])
 
     return prepared.mapInArrow(run, ddl)

@@ -76,7 +76,10 @@ def long_context(spark: SparkSession, path: str) -> DataFrame:
 
 
 def concept_file(spark: SparkSession, path: str) -> DataFrame:
-    """The concepts of a file with `ontologies` and `metadata`."""
+    """The concepts of a file with `ontologies` and `metadata`, or of the folder that write_concepts() writes."""
+    lines = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/ontologies")
+    if lines.getFileSystem(spark._jsc.hadoopConfiguration()).exists(lines):
+        return spark.read.schema(CONCEPTS).json(f"{path}/ontologies")
     rows = spark.read.schema(f"ontologies ARRAY<STRUCT<{CONCEPTS}>>").option("multiLine", True).json(path)
     return rows.select(F.explode("ontologies").alias("o")).select("o.*")
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.operators import chunking, clustering, concepts, rdf, retention, retrieval, similarity
+from corpusmill.operators import chunking, clustering, concepts, presence, rdf, retention, retrieval, similarity
 from corpusmill.plans import catalog
 
 
@@ -225,3 +225,45 @@ def test_prompt_context_query_holds_whole_texts(spark):
             want.setdefault(h["query_id"], []).append(f"[{h['doc_type'].upper()}] Document {h['doc_id']}\n{docs[h['doc_id']]}\n(Relevance: {round(h['similarity_score'], 6):.3f})")
     assert any(len(docs[h["doc_id"]]) > 200 for h in hits if h["doc_id"] in docs)
     assert got == {q: "\n\n".join(parts) for q, parts in want.items()}
+
+
+def test_null_vectors(spark):
+    """Null vectors are no neighbours, have no cluster, and crash nothing, also where a batch holds no other."""
+    rows = spark.createDataFrame([(0, None), (1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, None), (4, [0.0, 1.0])], "vec_id long, embedding array<double>").repartition(5)
+    got = {(r["query_id"], r["doc_id"]) for r in similarity.top_k(rows, rows, 2).collect()}
+    assert got == {(1, 1), (1, 2), (2, 2), (2, 1), (4, 4), (4, 2)}
+    assert {r["vec_id"] for r in clustering.kmeans(rows, 2).collect()} == {1, 2, 4}
+
+
+def test_kmeans_separates(spark):
+    """Three far groups: labels are the groups, and the inertia is that of their means."""
+    r = np.random.default_rng(0)
+    x = np.concatenate([r.normal(c, 0.1, (40, 2)) for c in ((0, 0), (8, 0), (0, 8))])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    label = np.array([c["cluster_id"] for c in sorted(clustering.kmeans(df, 3).collect(), key=lambda c: c["vec_id"])])
+    assert [len(set(label[a : a + 40])) for a in (0, 40, 80)] == [1, 1, 1] and len(set(label)) == 3
+    joined = df.join(clustering.kmeans(df, 3), "vec_id")
+    far = clustering.center_distance(joined, clustering.centers(joined, "cluster_id"), "cluster_id")
+    want = sum(((x[a : a + 40] - x[a : a + 40].mean(axis=0)) ** 2).sum() for a in (0, 40, 80))
+    assert abs(sum(d["distance"] ** 2 for d in far.collect()) - want) < 1e-6 * want
+
+
+def test_exact_presence(spark):
+    """Against plain `in`: items inside longer words at their ends, short items, repeats, nulls, empties; and in several blocks."""
+    texts = ["xone two threey", "one two three", "two", "one  two", None, "", "a one two three four", "onetwo three", "one two three"]
+    items = [(1, "one two three"), (2, "two"), (3, "ne two thr"), (4, "one  two"), (5, None), (6, ""), (7, "zero"), (1, "a one")]
+    want = sorted((k, sum(bool(x) and x in (t or "") for t in texts)) for k, x in items)
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    bench = spark.createDataFrame(items, "item_id long, item string")
+    for limit in (100, 3):
+        assert sorted(map(tuple, presence.exact_presence(docs, bench, limit).collect())) == want
+    assert presence.exact_presence(docs, bench.limit(0)).collect() == [] and {r["n_docs"] for r in presence.exact_presence(docs.limit(0), bench).collect()} == {0}
+    plan = presence.exact_presence(docs, bench.where("item_id in (1, 3)").where("item != 'a one'"))._jdf.queryExecution().toString()
+    assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+def test_object_inside_prose(spark):
+    made = '{"ontologies": [{"name": "A", "description": "b", "relationships": [{"relation": "A -> is -> B", "type": "TYPE"}]}]}'
+    rows = spark.createDataFrame([(1, f"Of course: {made} Anything else?"), (2, f"```json\n{made}\n```"), (3, made), (4, "no object")], "cluster_id long, response string")
+    got = {r["cluster_id"]: r["error"] for r in rows.select("cluster_id", concepts.response_error(F.col("response")).alias("error")).collect()}
+    assert got == {1: None, 2: None, 3: None, 4: "not a JSON object"}

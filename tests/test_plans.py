@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from corpusmill.operators import evaluation
 from corpusmill.plans import catalog, cli, pipelines, providers
 from corpusmill.sources import readers, writers
 from corpusmill.streaming import ingest
@@ -117,6 +118,69 @@ def test_pipelines(spark):
     assert stats["total"] == 6 and stats["success_rate"] == 100.0
 
 
+def test_suites(spark):
+    """Every suite runs over answers that have only the questions' columns, also when their names clash with scores."""
+    asked = spark.createDataFrame([("q1", "what swims like a whale", "blue whale", 0.5), ("q2", "what runs like a fox", "red fox|fox", 0.5)], "id string, question string, answer string, accuracy double")
+    s = pipelines.Settings(clusters=2, max_cluster_size=8, model=concept_model, top_k=3)
+    for suite, names in evaluation.SCORES.items():
+        scored, means = pipelines.evaluate(None, asked, s, "zeroshot", suite)
+        assert scored.count() == 2 and {"n", *names} <= set(means.columns) and means.first()["n"] == 2, suite
+    assert pipelines.evaluate(None, asked, s, "zeroshot", "long_asqa")[1].first()["str_em"] == 100.0
+    assert pipelines.evaluate(None, asked, s, "zeroshot", "close_set")[1].first()["em"] == 50.0
+
+
+def merging_model(prompt):
+    if "describe one concept" in prompt:
+        return 'Here it is: ```json\n{"description": "merged", "relationships": [{"relation": "Whale -> is kind of -> Animal", "type": "TYPE"}]}\n```'
+    return concept_model(prompt)
+
+
+def test_ontology_is_merged_written_and_read(spark, tmp_path):
+    """The model merges concepts of one name; the written file is read back, and becomes Turtle."""
+    corpus = spark.createDataFrame([(str(i), f"T{i}", ("blue whale swims deep" if i % 2 else "red fox runs fast") + f" {i}") for i in range(12)], "id string, title string, context string")
+    s = pipelines.Settings(clusters=4, max_cluster_size=4, model=merging_model, top_k=3)
+    made = pipelines.ontology(pipelines.cluster(corpus, s), s)
+    rows = made.collect()
+    assert rows and any("merged" in r["ontology_summary"] for r in rows)
+    path = str(tmp_path / "o")
+    writers.write_concepts(made.withColumnRenamed("ontology_summary", "description"), path, {"corpus_file": "x"})
+    back = readers.concept_file(spark, path)
+    assert sorted(r["ontology_name"] for r in back.collect()) == sorted(r["ontology_name"] for r in rows)
+    writers.write_rdf(back.withColumn("ord", F.xxhash64("ontology_name", "cluster_id")), str(tmp_path / "rdf"), formats="turtle")
+    lines = "\n".join(r["value"] for r in spark.read.text(str(tmp_path / "rdf/turtle")).collect())
+    assert "rdfs:subClassOf" in lines and all(f'"{r["ontology_name"]}"' in lines for r in rows)
+
+
+def test_scope_drops_tables(spark):
+    """Queries that write tables leave none behind once their scope ends."""
+    import glob
+
+    from corpusmill.session import scope, shared_dir
+
+    held = lambda: set(glob.glob(shared_dir(spark).removeprefix("file:").replace("//", "/", 1) + "/corpusmill-*"))
+    before = held()
+    for name in ("leader_dedup", "turtle_lines"):
+        with scope(spark):
+            assert catalog.QUERIES[name](spark, SF).count() and held() - before, name
+        assert held() == before, name
+
+
+def test_empty_corpus(spark):
+    empty = spark.createDataFrame([], "id string, title string, context string")
+    assert pipelines.cluster(empty, pipelines.Settings()).collect() == []
+
+
+def test_embedding_survives_bad_texts(spark):
+    def fussy(texts):
+        if "bad" in texts:
+            raise OSError("refused")
+        return [[float(len(t))] for t in texts]
+
+    rows = spark.createDataFrame([(k, "bad" if k == 5 else "x" * k) for k in range(9)], "id long, t string").coalesce(1)
+    got = {r["id"]: r["embedding"] for r in providers.embed(rows, "t", fussy, attempts=2, base=0).collect()}
+    assert got == {k: None if k == 5 else [float(k)] for k in range(9)}
+
+
 def test_cli(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(cli, "local_session", lambda: spark)
     path = put(tmp_path, "l.json", '{"input":"q","answers":["a"],"context":"some text here"}')
