@@ -67,6 +67,25 @@ def test_run_is_the_stages(spark, steps):
     assert sorted((r["doc_id"], r["n_tokens"]) for r in P.run(spark, SF).collect()) == list(zip(steps[5].doc_id, steps[5].n_tokens))
 
 
+def test_tables_go_with_their_scope(spark):
+    """The shared folder holds nothing more after the queries that write tables, and after the pipeline."""
+    import glob
+
+    from corpusmill.llm import queries
+    from corpusmill.session import scope, shared_dir
+
+    held = lambda: set(glob.glob(shared_dir(spark).removeprefix("file:").replace("//", "/", 1) + "/corpusmill-*"))
+    before = held()
+    for name in ("op6_benchmark_leaks", "op7_suffix_dedup", "op8_pii", "op10_simhash_dedup"):
+        with scope(spark):
+            queries.QUERIES[name](spark, SF).count()
+            assert held() - before, name
+        assert held() == before, name
+    with scope(spark):
+        P.run(spark, SF).count()
+    assert held() == before
+
+
 def test_awkward_documents(spark):
     docs = cut(fixtures.documents(spark))
     for name, stage in P.STAGES:
