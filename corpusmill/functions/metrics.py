@@ -13,11 +13,17 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _common(p: Column, g: Column) -> Column:
-    """Tokens in both, as multisets: each distinct one as often as it stands in both."""
-    often = lambda a, x: F.size(F.filter(a, lambda y: y == x))
-    counts = F.transform(F.array_intersect(p, g), lambda x: F.least(often(p, x), often(g, x)))
-    return F.aggregate(counts, F.lit(0), lambda a, x: a + x)
+def _matched(own: Column, other: Column) -> Column:
+    """Entries in both, as multisets: one walk over both sorted together, own entries first."""
+    tagged = lambda a, k: F.transform(a, lambda x: F.struct(x.alias("x"), F.lit(k).alias("k")))
+    start = F.struct(F.lit(None).cast("string").alias("x"), F.lit(0).alias("left"), F.lit(0).alias("n"))
+
+    def step(a: Column, y: Column) -> Column:
+        left = F.when(y["x"].eqNullSafe(a["x"]), a["left"]).otherwise(0)
+        hit = ((y["k"] == 1) & (left > 0)).cast("int")
+        return F.struct(y["x"].alias("x"), F.when(y["k"] == 0, left + 1).otherwise(left - hit).alias("left"), (a["n"] + hit).alias("n"))
+
+    return F.aggregate(F.sort_array(F.concat(tagged(own, 0), tagged(other, 1))), start, step, lambda a: a["n"])
 
 
 def token_f1(pred: Column, gold: Column) -> Column:
@@ -27,7 +33,7 @@ def token_f1(pred: Column, gold: Column) -> Column:
     def scored(x: Column) -> Column:
         a, b = F.array_remove(F.split(x["p"], " "), ""), F.array_remove(F.split(x["g"], " "), "")
         guard = (x["p"] != x["g"]) & (x["p"].isin(YES_NO) | x["g"].isin(YES_NO))
-        same = F.when(guard, 0).otherwise(_common(a, b))
+        same = F.when(guard, 0).otherwise(_matched(a, b))
         precision = F.when(same > 0, same / F.size(a)).otherwise(0.0)
         recall = F.when(same > 0, same / F.size(b)).otherwise(0.0)
         f1 = F.when(same > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
@@ -102,19 +108,6 @@ def ngrams(a: Column, n: int) -> Column:
     return F.when(F.size(a) >= n, some).otherwise(F.array().cast("array<string>"))
 
 
-def _matched(own: Column, other: Column) -> Column:
-    """The same number as _common(), for long arrays: one walk over both sorted together, own entries first."""
-    tagged = lambda a, k: F.transform(a, lambda x: F.struct(x.alias("x"), F.lit(k).alias("k")))
-    start = F.struct(F.lit(None).cast("string").alias("x"), F.lit(0).alias("left"), F.lit(0).alias("n"))
-
-    def step(a: Column, y: Column) -> Column:
-        left = F.when(y["x"].eqNullSafe(a["x"]), a["left"]).otherwise(0)
-        hit = ((y["k"] == 1) & (left > 0)).cast("int")
-        return F.struct(y["x"].alias("x"), F.when(y["k"] == 0, left + 1).otherwise(left - hit).alias("left"), (a["n"] + hit).alias("n"))
-
-    return F.aggregate(F.sort_array(F.concat(tagged(own, 0), tagged(other, 1))), start, step, lambda a: a["n"])
-
-
 def bleu_counts(pred: Column, gold: Column, orders: int = 4) -> Column:
     """struct(p, g, same): white-space tokens of either side, and the n-grams in both for n from 1 to orders."""
     both = F.struct(T.tokens(pred).alias("p"), T.tokens(gold).alias("g"))
