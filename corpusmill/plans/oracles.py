@@ -115,7 +115,7 @@ ORACLE_SQL = {
         select vec_id, cluster_id::bigint cluster_id, round(far, 6) distance from r where k = 1""",
     "cluster_stats": "with n as (select label, count(*) n from embeddings group by label) select sum(n)::bigint total_documents, count(*) num_clusters, min(n) min_size, max(n) max_size, round(avg(n), 6) avg_size from n",
     "cluster_hist_zero_fill": "select r.i cluster_id, count(label) n from (select unnest(range(greatest(16, (select max(label) + 1 from embeddings)))) i) r left join embeddings on label = r.i group by r.i",
-    "cluster_report": "select source cluster_id, doc_id, length(text) context_length, md5(text) context_preview from documents",
+    "cluster_report": "select source cluster_id, doc_id, length(text) context_length, md5(case when length(text) > 200 then left(text, 200) || '...' else text end) context_preview from documents",
     "normalize_answer": f"select doc_id, md5({_norm('text')}) normalized_md5 from documents",
     "normalize_loose": f"select doc_id, md5({_loose('text')}) normalized_md5 from documents",
     "token_count": f"select doc_id, len({_tokens('text')}) n_tokens from documents",
@@ -127,6 +127,7 @@ ORACLE_SQL = {
         made as (select doc_id, case when len(st.cur) > 0 then list_append(st.done, st.cur) else st.done end chunks from packed),
         every as (select doc_id, true whole, 1 parts, 0 part, text context from s where n <= 150 union all select doc_id, false, len(chunks), i - 1, array_to_string(chunks[i], ' ') from made, lateral (select unnest(range(1, len(chunks) + 1)) i))
         select doc_id, part::int part, parts::int parts, 'Document ' || doc_id || case when whole then '' else ' - Part ' || (part + 1) end title, md5(context) context_md5, part = 0 is_supporting from every""",
+    "written_relations": "select p_partkey, case when p_partkey % 4 = 0 then null else p_name || ' -> is type of -> ' || p_type end relation, case when p_partkey % 4 = 0 then null else 'TYPE' end as type from part",
     "qa_accuracy": f"with {ANSWERS}, {_scores()} select conv_id, turn, accuracy from final",
     "qa_f1": f"with {ANSWERS}, {_scores()} select conv_id, turn, round(f1, 6) f1, round(prec, 6) as precision, round(rec, 6) recall from final",
     "qa_em": f"with {ANSWERS}, {_scores()} select conv_id, turn, em from final",
@@ -200,3 +201,6 @@ ORACLE_SQL = {
         ranked as (select vec_id, v.label, row_number() over (partition by v.label order by round(list_distance(v.e, c.c), 9) desc, vec_id) r from v join c on c.label = v.label)
         select vec_id, coalesce(target, label)::bigint cluster_id, target is not null moved from ranked left join moves on src = label and r between first and last""",
 }
+ORACLE_SQL["running_ids"] = f"select doc_id, part, row_number() over (order by doc_id, part) - 1 idx from ({ORACLE_SQL['sentence_chunks']})"
+ORACLE_SQL["retrieval_details"] = f"""with {HITS} select query_id, rank, h.doc_id, round(similarity_score, 6) similarity_score, doc_type = 'ontology_summary' is_ontology_text, source title,
+    md5(case when length(text) > 100 then left(text, 100) || '...' else text end) preview_md5 from hits h join documents d on d.doc_id = h.doc_id"""
