@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
+from ..session import cut
 
 
 def sentences(text: Column) -> Column:
@@ -33,6 +34,17 @@ def chunks(text: Column, least: int = 300, most: int = 500) -> Column:
     return F.aggregate(sized, empty, step, finish)
 
 
+def running_ids(rows: DataFrame, order: list[str], out: str = "idx") -> DataFrame:
+    """rows with numbers from 0 in the given order, which ought to be total. Range partitions are sorted and written once; only
+    their sizes meet in one place."""
+    sorted_rows = cut(rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "sorted")
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = sorted_rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))  # a row a partition
+    return sorted_rows.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn(out, F.col("_start") + place).drop("_part", "_start", "_at")
+
+
 def corpus_rows(documents: DataFrame, key: str, text: str, short: int = 150, least: int = 300, most: int = 500) -> DataFrame:
     """key, part (from 0), parts, title and context: texts of at most `short` tokens pass whole, others are chunked."""
     whole = T.token_count(F.col(text)) <= short

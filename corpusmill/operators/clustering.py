@@ -28,13 +28,17 @@ def size_limits(n: int, k: int, least: int | None = None, most: int | None = Non
     return least, most
 
 
-def kmeans(points: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", iterations: int = 20, seed: int = 42) -> DataFrame:
-    """key and cluster_id; rows with a null vector have none and are left out, as by assign()."""
-    from pyspark.ml.clustering import KMeans
+def kmeans(points: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", iterations: int = 20, seed: int = 42, algorithm: str = "auto") -> DataFrame:
+    """key and cluster_id; rows with a null vector have none and are left out, as by assign(). algorithm: kmeans, bisecting,
+    or auto, which is kmeans."""
+    from pyspark.ml.clustering import BisectingKMeans, KMeans
     from pyspark.ml.functions import array_to_vector
 
     rows = points.where(F.col(vector).isNotNull()).select(key, array_to_vector(V.doubles(F.col(vector))).alias("features"))
-    model = KMeans(k=k, maxIter=iterations, seed=seed, featuresCol="features", predictionCol="cluster_id").fit(rows)
+    known = {"auto": KMeans, "kmeans": KMeans, "bisecting": BisectingKMeans}
+    if algorithm not in known:
+        raise ValueError(f"unknown algorithm {algorithm}; known are {', '.join(known)}")
+    model = known[algorithm](k=k, maxIter=iterations, seed=seed, featuresCol="features", predictionCol="cluster_id").fit(rows)
     return model.transform(rows).select(key, F.col("cluster_id").cast("int").alias("cluster_id"))
 
 

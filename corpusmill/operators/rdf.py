@@ -25,6 +25,11 @@ def triples(concepts: DataFrame, relationships: str = "relationships") -> DataFr
     return rows.select(T.class_id(F.get("p", F.lit(0))).alias("subject"), predicate.alias("predicate"), T.class_id(F.get("p", F.lit(2))).alias("object"), "rel_type")
 
 
+def written_relations(relationships: Column) -> Column:
+    """Relations that were written out as text, with single or double quotes, as structs; the fields of those that can't be read are null."""
+    return F.transform(relationships, lambda r: F.from_json(r, "struct<relation:string,type:string>", {"allowSingleQuotes": "true"}))
+
+
 def defined_classes(concepts: DataFrame) -> DataFrame:
     """name, description (the longest; of equals, the first), original_name, document_count, cluster_id by class id.
     concepts: ontology_name, description, document_count, cluster_id, ord."""

@@ -65,6 +65,14 @@ def answer_prompt(question, context):
     return F.concat(head, F.lit("Question: "), question, F.lit("\nAnswer:"))
 
 
+def retrieval_details(results: DataFrame) -> DataFrame:
+    """query_id and an array of its rows in rank order: score, kind, the first 100 characters, and where it comes from."""
+    cluster = F.col("cluster_id").cast("long") if "cluster_id" in results.columns else F.lit(None).cast("long")
+    title = F.col("title") if "title" in results.columns else F.lit("")
+    one = F.struct("rank", "similarity_score", (F.col("doc_type") == SUMMARY).alias("is_ontology_text"), "doc_type", T.preview(F.col("content"), 100).alias("content_preview"), cluster.alias("source_cluster_id"), "doc_id", title.alias("title"))
+    return results.groupBy("query_id").agg(F.array_sort(F.collect_list(one)).alias("retrieved_documents_analysis"))
+
+
 def retrieval_log(results: DataFrame) -> DataFrame:
     """One row a result: rank, score, kind, and the start of its content."""
     return results.select("query_id", "rank", "similarity_score", (F.col("doc_type") == SUMMARY).alias("is_ontology_text"), "doc_type", T.preview(F.col("content"), 200).alias("content_preview"), "doc_id")

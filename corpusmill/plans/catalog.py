@@ -238,6 +238,28 @@ def turtle_lines(spark, sf_dir):
     return rdf.turtle(rdf.classes(rows, edges), rdf.properties(edges), edges).select("section", "line")
 
 
+def running_ids(spark, sf_dir):
+    """Chunks of all documents, numbered through."""
+    rows = chunking.corpus_rows(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("key").alias("doc_id"), "part")
+    return chunking.running_ids(rows, ["doc_id", "part"])
+
+
+def retrieval_details(spark, sf_dir):
+    """What was retrieved for each query, with the start of its content."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"), F.col("source").alias("title"))
+    rows = retrieval.retrieval_details(_typed_hits(spark, sf_dir).join(docs, "doc_id"))
+    one = rows.select("query_id", F.explode("retrieved_documents_analysis").alias("d")).select("query_id", "d.*")
+    return _rounded(one.select("query_id", "rank", "doc_id", "similarity_score", "is_ontology_text", "title", F.md5("content_preview").alias("preview_md5")))
+
+
+def written_relations(spark, sf_dir):
+    """Relations written out as text, as older files hold them; some can't be read."""
+    text = F.concat(F.lit("{'relation': '"), "p_name", F.lit(" -> is type of -> "), "p_type", F.lit("', 'type': 'TYPE'}"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.array(F.when(F.col("p_partkey") % 4 == 0, "no relation").otherwise(text)).alias("r"))
+    read = F.get(rdf.written_relations(F.col("r")), F.lit(0))
+    return rows.select("p_partkey", read["relation"].alias("relation"), read["type"].alias("type"))
+
+
 def vector_length(spark, sf_dir):
     """First entry and length of the normalised vectors."""
     unit = V.unit(F.col("embedding"))
@@ -333,7 +355,7 @@ def source_concepts(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     knn_topk, retrieval_summary, retrieval_stats, prompt_context, sim_self_join, leader_dedup, name_dedup, nearest_centroid, cluster_stats, cluster_hist_zero_fill, rebalance_labels, kmeans, cluster_report,
     normalize_answer, normalize_loose, token_count, sentence_chunks, qa_accuracy, qa_f1, qa_em, qa_metric_means, qa_fallback, bleu, multi_answer_best, exact_presence, index_union, token_intersect_all, keyword_intersect,
-    ontology_validate, ontology_concepts, ontology_merge, ontology_stats, owl_triples, owl_properties, owl_classes, owl_inferred, turtle_lines, vector_length, center_similarity, corpus_signature, required_keys, merge_answers, strip_punctuation, string_em, option_match, virtual_ids, xml_escape, content_signature, keep_newest, age_filter, metric_stats, dataset_name, class_names, source_concepts,
+    ontology_validate, ontology_concepts, ontology_merge, ontology_stats, owl_triples, owl_properties, owl_classes, owl_inferred, turtle_lines, running_ids, retrieval_details, written_relations, vector_length, center_similarity, corpus_signature, required_keys, merge_answers, strip_punctuation, string_em, option_match, virtual_ids, xml_escape, content_signature, keep_newest, age_filter, metric_stats, dataset_name, class_names, source_concepts,
 )}
 
 from .oracles import ORACLE_SQL  # noqa: E402, F401

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import argparse
+import os
 
-from ..session import local_session
+from ..session import cut, local_session
 from ..sources import readers, writers
 from . import pipelines
 
@@ -20,7 +21,7 @@ def parser() -> argparse.ArgumentParser:
     p = sub.add_parser("rdf")
     p.add_argument("json_file"), p.add_argument("--output-dir", required=True), p.add_argument("--namespace", default="http://example.org/concepts#"), p.add_argument("--format", choices=["turtle", "xml", "all"], default="all")
     p = sub.add_parser("qa")
-    p.add_argument("--corpus"), p.add_argument("--questions", required=True), p.add_argument("--output", required=True), p.add_argument("--clusters", type=int, default=5)
+    p.add_argument("--corpus"), p.add_argument("--questions", required=True), p.add_argument("--output", required=True), p.add_argument("--clusters", type=int, default=5), p.add_argument("--cache")
     p.add_argument("--zeroshot", action="store_true"), p.add_argument("--ablation", action="store_true")
     p = sub.add_parser("cleanup")
     p.add_argument("--results-dir", required=True), p.add_argument("--keep-count", type=int, default=5), p.add_argument("--keep-days", type=int, default=0), p.add_argument("--dry-run", action="store_true")
@@ -34,7 +35,9 @@ def main(argv: list[str] | None = None) -> int:
         writers.write_corpus(*pipelines.ingest(readers.long_context(spark, a.input)), a.output)
     elif a.command == "ontology":
         s = pipelines.Settings(clusters=a.clusters, max_cluster_size=a.max_cluster_size, min_cluster_size=a.min_cluster_size)
-        made = pipelines.ontology(pipelines.cluster(readers.corpus(spark, a.corpus), s), s)
+        grouped = cut(pipelines.cluster(readers.corpus(spark, a.corpus), s), "grouped")
+        writers.write_cluster_details(grouped.drop("embedding"), f"{a.output}/clusters")
+        made = pipelines.ontology(grouped, s)
         writers.write_concepts(made.withColumnRenamed("ontology_summary", "description"), a.output, {"corpus_file": a.corpus})
     elif a.command == "rdf":
         from pyspark.sql import functions as F
@@ -45,7 +48,10 @@ def main(argv: list[str] | None = None) -> int:
         if mode != "zeroshot" and not a.corpus:
             raise SystemExit("--corpus is needed")
         corpus = readers.corpus(spark, a.corpus) if a.corpus else None
-        writers.write_scores(*pipelines.evaluate(corpus, readers.questions(spark, a.questions), pipelines.Settings(clusters=a.clusters), mode), a.output)
+        settings = pipelines.Settings(clusters=a.clusters, cache=a.cache)
+        made = pipelines.evaluate(corpus, readers.questions(spark, a.questions), settings, mode)
+        dataset = os.path.basename(os.path.dirname(os.path.abspath(a.questions)))
+        writers.write_report(*made, a.output, dataset, mode, {"Clusters": settings.clusters, "Top-K": settings.top_k, "Corpus": a.corpus, "Questions": a.questions})
     else:
         for r in writers.clean_up(readers.artifacts(spark, a.results_dir), a.keep_count, a.keep_days or None, a.dry_run).toLocalIterator():
             print(r["path"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import text as T
 from ..operators import chunking, clustering, concepts, evaluation, retrieval, similarity
 from ..session import cut
+from ..sources import writers
 from . import providers
 
 
@@ -21,6 +23,9 @@ class Settings:
     min_cluster_size: int | None = None
     top_k: int = 15
     threshold: float = 0.85
+    algorithm: str = "auto"
+    #: Folder of stages and indexes that later runs over the same content read again; none without one.
+    cache: str | None = None
     embedder: providers.Embedder = field(default_factory=providers.HashEmbedder)
     model: providers.Model = field(default_factory=providers.TemplateModel)
 
@@ -40,7 +45,7 @@ def cluster(corpus: DataFrame, settings: Settings) -> DataFrame:
     if not n:
         return vectors.withColumn("cluster_id", F.lit(0))
     k = min(n, clustering.cluster_count(n, settings.clusters, settings.max_cluster_size))
-    labels = cut(clustering.kmeans(vectors, k, "id"), "labels")
+    labels = cut(clustering.kmeans(vectors, k, "id", algorithm=settings.algorithm), "labels")
     joined = cut(vectors.join(labels, "id"), "clusters")
     least = settings.min_cluster_size or max(1, n // k // 2)
     most = max(least, settings.max_cluster_size or n // k * 3 // 2)
@@ -56,12 +61,35 @@ def extraction_prompt(rows: DataFrame) -> DataFrame:
     return rows.groupBy("cluster_id").agg(listed.alias("docs")).select("cluster_id", F.concat(F.lit(task), F.array_join(each, "\n\n")).alias("prompt"))
 
 
+def clusters_signature(clusters: DataFrame) -> str:
+    """What the stages of these clusters are saved under: their content, cluster by cluster."""
+    return concepts.whole_signature(concepts.signature(clusters, "cluster_id", F.col("title"), F.col("context"))).first()["signature"]
+
+
+def corpus_signature(corpus: DataFrame) -> str:
+    """The same for documents in any order: their number and a sum over their rows, so that no group is gathered."""
+    r = corpus.select(F.xxhash64("id", "title", "context").alias("h")).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("h").cast("decimal(20,0)")), F.lit(0)).cast("string").alias("s")).first()
+    return hashlib.md5(f"{r['n']}:{r['s']}".encode()).hexdigest()[:12]
+
+
 def ontology(clusters: DataFrame, settings: Settings) -> DataFrame:
-    """Summaries of the clusters' concepts: extracted, validated, merged by name and by nearness of names."""
+    """Summaries of the clusters' concepts, in two stages that settings.cache keeps: extracted; then merged."""
+    place = (lambda stage: f"{settings.cache}/{stage}_{clusters_signature(clusters)}") if settings.cache else (lambda stage: None)
+    spark = clusters.sparkSession
+    rows = writers.cached(spark, place("stage1"), lambda: extracted(clusters, settings))
+    return writers.cached(spark, place(f"stage2_{settings.threshold}"), lambda: merged_summaries(rows, settings))
+
+
+def extracted(clusters: DataFrame, settings: Settings) -> DataFrame:
+    """Concepts that the model names for each cluster, validated."""
     answers = cut(providers.generate(extraction_prompt(clusters), "prompt", settings.model), "answers")
     rows = concepts.parse_responses(answers, "output").withColumn("at", F.col("ord"))
     rows = rows.withColumn("ord", F.concat_ws("-", F.lpad(F.col("source_cluster").cast("string"), 12, "0"), F.lpad(F.col("at").cast("string"), 6, "0"))).withColumn("key", concepts.name_key(F.col("name")))
-    rows = cut(rows, "concepts")
+    return cut(rows, "concepts")
+
+
+def merged_summaries(rows: DataFrame, settings: Settings) -> DataFrame:
+    """Summaries of concepts: merged by name and by nearness of names."""
     names = rows.groupBy("key").agg(F.min("ord").alias("ord"), F.min_by("name", "ord").alias("name"))
     numbered = cut(names.withColumn("vec_id", F.xxhash64("ord")), "names")
     vectors = cut(providers.embed(numbered, "name", settings.embedder), "name_vectors")
@@ -75,6 +103,18 @@ def ontology(clusters: DataFrame, settings: Settings) -> DataFrame:
     return concepts.summaries(merged.join(first, "leader"))
 
 
+def saved_index(corpus: DataFrame, settings: Settings, summaries: DataFrame | None = None, dataset: str = "corpus") -> DataFrame:
+    """The index that settings.cache holds for this content, else a new one, which is saved there."""
+    if not settings.cache:
+        return build_index(corpus, settings, summaries)
+    content = corpus_signature(corpus)
+    if summaries is not None:
+        named = summaries.select(F.col("cluster_id").alias("id"), F.col("ontology_name").alias("title"), F.col("ontology_summary").alias("context"))
+        content += corpus_signature(named)
+    path = writers.index_path(settings.cache, dataset, content, None if summaries is None else settings.clusters)
+    return writers.cached(corpus.sparkSession, path, lambda: build_index(corpus, settings, summaries))
+
+
 def build_index(corpus: DataFrame, settings: Settings, summaries: DataFrame | None = None) -> DataFrame:
     """Index rows with vectors; with the summaries, if there are any."""
     rows = retrieval.document_rows(corpus)
@@ -100,9 +140,9 @@ def evaluate(corpus: DataFrame, questions: DataFrame, settings: Settings, mode:
     """Scored rows and their means; mode: rag (documents and concepts), ablation (documents), zeroshot."""
     if mode == "rag":
         grouped = cut(cluster(corpus, settings), "grouped")
-        index = build_index(corpus, settings, cut(ontology(grouped, settings), "summaries"))
+        index = saved_index(corpus, settings, cut(ontology(grouped, settings), "summaries"))
     elif mode == "ablation":
-        index = build_index(corpus, settings)
+        index = saved_index(corpus, settings)
     elif mode == "zeroshot":
         index = None
     else:

@@ -6,6 +6,7 @@ import hashlib
 import json
 import random
 import time
+import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -44,6 +45,36 @@ class HashEmbedder:
         return out
 
 
+#: Statuses with a message of their own, and those below 500 after which a call is tried again.
+MESSAGES = {401: "authentication failed", 413: "request too large", 429: "rate limit exceeded"}
+AGAIN = (400, 401, 429)
+
+
+class CallError(RuntimeError):
+    """A failed call; retry says whether the same call may still succeed."""
+
+    def __init__(self, message: str, retry: bool):
+        super().__init__(message)
+        self.retry = retry
+
+
+def post(url: str, key: str, body: dict, timeout: float) -> dict:
+    """The JSON answer of a call; CallError for statuses, lost connections, and answers that aren't JSON."""
+    request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {key}"})
+    try:
+        with urllib.request.urlopen(request, timeout=timeout) as answer:
+            text = answer.read()
+    except urllib.error.HTTPError as x:
+        said = MESSAGES.get(x.code, "server error" if x.code >= 500 else "call refused")
+        raise CallError(f"{said} ({x.code})", x.code >= 500 or x.code in AGAIN) from x
+    except OSError as x:
+        raise CallError(f"no connection: {x}", True) from x
+    try:
+        return json.loads(text)
+    except ValueError as x:
+        raise CallError("the answer isn't JSON", False) from x
+
+
 class HttpEmbedder:
     """Posts batches of texts; the answer's vectors must be as many as the texts, and of one width."""
 
@@ -51,13 +82,69 @@ class HttpEmbedder:
         self.url, self.key, self.model, self.timeout = url, key, model, timeout
 
     def __call__(self, texts: list[str]) -> list[list[float]]:
-        body = json.dumps({"input": texts, "model": self.model}).encode()
-        request = urllib.request.Request(self.url, body, {"Content-Type": "application/json", "Authorization": f"Bearer {self.key}"})
-        with urllib.request.urlopen(request, timeout=self.timeout) as answer:
-            return checked([r["embedding"] for r in json.load(answer)["data"]], len(texts))
+        answer = post(self.url, self.key, {"input": texts, "model": self.model}, self.timeout)
+        try:
+            vectors = [[float(x) for x in r["embedding"]] for r in answer["data"]]
+        except (KeyError, TypeError, ValueError) as x:
+            raise CallError(f"the answer holds no vectors: {x!r}", False) from x
+        return checked(vectors, len(texts))
+
+
+class HttpModel:
+    """Posts a prompt as a user's message to a chat endpoint; options (temperature, max_tokens) go along."""
+
+    def __init__(self, url: str, key: str = "", model: str = "", timeout: float = 120, **options: float):
+        self.url, self.key, self.model, self.timeout, self.options = url, key, model, timeout, options
+
+    def __call__(self, prompt: str) -> str:
+        body = {"model": self.model, "messages": [{"role": "user", "content": prompt}], **self.options}
+        answer = post(f"{self.url.rstrip('/')}/chat/completions", self.key, body, self.timeout)
+        try:
+            text = answer["choices"][0]["message"]["content"]
+        except (KeyError, IndexError, TypeError) as x:
+            raise CallError(f"the answer holds no message: {x!r}", False) from x
+        if text is None:
+            raise CallError("the answer's message is empty", False)
+        return text
+
+
+class Pace:
+    """How one task calls: at most `rate` calls a second, and batches whose size follows how the calls went."""
+
+    #: Calls before the size changes; shares of success and seconds that halve and double it; the largest size.
+    CALLS, LOW, HIGH, FAST, MOST = 10, 0.8, 0.95, 2.0, 64
+
+    def __init__(self, batch: int = 32, rate: float | None = None, adaptive: bool = False, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.batch, self.rate, self.adaptive, self.clock, self.sleep = batch, rate, adaptive, clock, sleep
+        self.last, self.good, self.failed, self.seconds = float("-inf"), 0, 0, 0.0
+
+    def run(self, call: Callable, *args):
+        if self.rate:
+            self.sleep(max(0.0, self.last + 1 / self.rate - self.clock()))
+        self.last = began = self.clock()
+        try:
+            out = call(*args)
+        except Exception:
+            self.failed += 1
+            raise
+        self.good += 1
+        self.seconds += self.clock() - began
+        return out
+
+    def size(self) -> int:
+        calls = self.good + self.failed
+        if not self.adaptive or calls < self.CALLS:
+            return self.batch
+        share = self.good / calls
+        if share < self.LOW:
+            return max(1, self.batch // 2)
+        return min(2 * self.batch, self.MOST) if share > self.HIGH and self.seconds / self.good < self.FAST else self.batch
 
 
 def checked(vectors: list[list[float]], n: int) -> list[list[float]]:
+    """The vectors, if they are n, of one width, and not empty."""
+    if any(not v for v in vectors):
+        raise ValueError("an empty vector")
     if len(vectors) != n or len({len(v) for v in vectors}) > 1:
         raise ValueError(f"{len(vectors)} vectors of widths {sorted({len(v) for v in vectors})} for {n} texts")
     return vectors
@@ -80,7 +167,7 @@ def delay(attempt: int, base: float = 1.0, factor: float = 2.0, most: float = 60
 
 
 def with_retries(call: Callable, attempts: int = 5, valid: Callable[[object], bool] = lambda _: True, base: float = 1.0, sleep: Callable[[float], None] = time.sleep):
-    """call, repeated when it fails or its result isn't valid; the last failure is raised."""
+    """call, repeated when it fails or its result isn't valid, unless the failure says that it is final; the last failure is raised."""
 
     def run(*args):
         problem: Exception = ValueError("no attempt")
@@ -92,6 +179,8 @@ def with_retries(call: Callable, attempts: int = 5, valid: Callable[[object], bo
                 problem = ValueError("the answer isn't valid")
             except Exception as x:  # noqa: BLE001
                 problem = x
+                if not getattr(x, "retry", True):
+                    break
             if k + 1 < attempts and base:
                 sleep(delay(k, base))
         raise problem
@@ -99,32 +188,47 @@ def with_retries(call: Callable, attempts: int = 5, valid: Callable[[object], bo
     return run
 
 
-def _vectors(embedder: Embedder, texts: list[str], attempts: int, base: float) -> list[list[float] | None]:
+def _vectors(embedder: Embedder, texts: list[str], attempts: int, base: float, pace: Pace) -> list[list[float] | None]:
     try:
-        return with_retries(lambda t: checked(embedder(t), len(t)), attempts, base=base)(texts)
+        return with_retries(lambda t: pace.run(lambda: checked(embedder(t), len(t))), attempts, base=base)(texts)
     except Exception:  # noqa: BLE001
         if len(texts) == 1:
             return [None]
         half = len(texts) // 2
-        return _vectors(embedder, texts[:half], attempts, base) + _vectors(embedder, texts[half:], attempts, base)
+        return _vectors(embedder, texts[:half], attempts, base, pace) + _vectors(embedder, texts[half:], attempts, base, pace)
 
 
-def embed(rows: DataFrame, text: str, embedder: Embedder, characters: int = 512, batch: int = 32, out: str = "embedding", attempts: int = 3, base: float = 1.0) -> DataFrame:
+def embed(rows: DataFrame, text: str, embedder: Embedder, characters: int = 512, batch: int = 32, out: str = "embedding", attempts: int = 3, base: float = 1.0, rate: float | None = None, adaptive: bool = False, timed: bool = False) -> DataFrame:
     """rows with the vector of each text's first characters (the model's own limit). A call that keeps failing is halved, so that one
-    bad text doesn't take others along; a text that fails alone gets null."""
-    columns = rows.columns
+    bad text doesn't take others along; a text that fails alone gets null.
+
+    rate: most calls a second of one task; adaptive: batches grow and shrink with how the calls went; timed: status and
+    duration (the call's seconds shared by its texts) too, for retention.call_stats()."""
+    columns, extra = rows.columns, ["status", "duration"] if timed else []
     prepared = rows.withColumn("_text", truncate(F.col(text), characters))
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{out}` array<float>"
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{out}` array<float>" + ", status string, duration double" * timed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pace = Pace(batch, rate, adaptive)
         for b in batches:
-            texts = b.column(len(columns)).to_pylist()
-            vectors = [v for at in range(0, len(texts), batch) for v in _vectors(embedder, texts[at : at + batch], attempts, base)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(vectors, pa.list_(pa.float32()))], names=[*columns, out])
+            texts, vectors, duration = b.column(len(columns)).to_pylist(), [], []
+            while len(vectors) < len(texts):
+                some, began = texts[len(vectors) : len(vectors) + pace.size()], time.monotonic()
+                vectors += _vectors(embedder, some, attempts, base, pace)
+                duration += [(time.monotonic() - began) / len(some)] * len(some)
+            made = [pa.array(vectors, pa.list_(pa.float32()))]
+            if timed:
+                made += [pa.array(["error" if v is None else "success" for v in vectors], pa.string()), pa.array(duration, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], names=[*columns, out, *extra])
 
     return prepared.mapInArrow(run, ddl)
 
 
+def width(embedder: Embedder, probe: str = "probe") -> int:
+    """Entries of the embedder's vectors, by one call."""
+    return len(checked(embedder([probe]), 1)[0])
+
+
 def generate(rows: DataFrame, prompt: str, model: Model, workers: int = 16, attempts: int = 5, base: float = 1.0, valid: Callable[[str], bool] = lambda s: bool(s.strip()), out: str = "output") -> DataFrame:
     """rows with the answer to each prompt, status and duration; a prompt that keeps failing gets `Error: ...`. Calls of a batch
     overlap in a bounded pool; rows keep their place."""

@@ -10,7 +10,7 @@ from ..functions.text import blank
 
 CORPUS = "id STRING, title STRING, context STRING"
 QUESTIONS = "id STRING, question STRING, answer STRING, answers ARRAY<STRING>"
-EVALUATION = "question STRING, answer STRING, output STRING, question_id STRING, mode STRING"
+EVALUATION = "question STRING, answer STRING, output STRING, question_id STRING, mode STRING, num_retrieved INT, retrieved_documents STRING"
 LONG_CONTEXT = "input STRING, answers ARRAY<STRING>, context STRING"
 RELATION = "STRUCT<relation: STRING, type: STRING>"
 CONCEPTS = f"cluster_id INT, ontology_name STRING, description STRING, key_concepts ARRAY<STRING>, relationships ARRAY<{RELATION}>, document_count INT, source_clusters ARRAY<INT>"
@@ -66,6 +66,7 @@ def questions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def evaluation_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of an evaluation; retrieved_documents stays JSON, as its fields differ by mode."""
     return spark.read.schema(EVALUATION).json(path)
 
 
@@ -85,13 +86,14 @@ def concept_file(spark: SparkSession, path: str) -> DataFrame:
 
 
 def artifacts(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """name, path, size and time (from the name; null where it has none) of a folder's entries."""
+    """name, path, size (of a folder, all its files) and time (from the name; null where it has none) of a folder's entries."""
     from ..operators.retention import stamp
 
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}")
-    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where) or []
-    rows = [(s.getPath().getName(), s.getPath().toString(), s.getLen()) for s in found]
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = files.globStatus(where) or []
+    rows = [(s.getPath().getName(), s.getPath().toString(), files.getContentSummary(s.getPath()).getLength()) for s in found]
     listed = spark.createDataFrame(rows, "name string, path string, size long")
     return listed.withColumn("time", stamp(F.col("name")))
 

@@ -267,3 +267,32 @@ def test_object_inside_prose(spark):
     rows = spark.createDataFrame([(1, f"Of course: {made} Anything else?"), (2, f"```json\n{made}\n```"), (3, made), (4, "no object")], "cluster_id long, response string")
     got = {r["cluster_id"]: r["error"] for r in rows.select("cluster_id", concepts.response_error(F.col("response")).alias("error")).collect()}
     assert got == {1: None, 2: None, 3: None, 4: "not a JSON object"}
+
+
+def test_pairs_of_blocks_hold_one_unit(spark):
+    """Several units share a task, and a batch may hold parts of several."""
+    import pyarrow as pa
+
+    made = pa.RecordBatch.from_pydict({"left": [0, 0, 0, 1], "right": [0, 1, 1, 1], "id": [1, 2, 3, 4]})
+    units = [(at, t["id"].to_pylist()) for at, t in similarity._units(iter([made, made.slice(3), made.slice(0, 0)]))]
+    assert units == [((0, 0), [1]), ((0, 1), [2, 3]), ((1, 1), [4, 4])]
+
+
+def test_running_ids(spark):
+    rows = spark.range(1000, numPartitions=7).select((F.col("id") * 7919 % 1000).alias("k"))
+    assert all(r["k"] == r["idx"] for r in chunking.running_ids(rows, ["k"]).collect())
+    assert chunking.running_ids(rows.limit(0), ["k"]).count() == 0
+
+
+def test_algorithms(spark):
+    df, _ = vectors(spark)
+    assert clustering.kmeans(df, 3, algorithm="bisecting").select("cluster_id").distinct().count() == 3
+    with pytest.raises(ValueError):
+        clustering.kmeans(df, 3, algorithm="other")
+
+
+def test_written_relations(spark):
+    rows = spark.createDataFrame([(["{'relation': 'A -> is -> B', 'type': 'TYPE'}", '{"relation": "C -> has -> D", "type": "OTHER"}', "x", None],), ([],), (None,)], "r array<string>")
+    got = [r["s"] for r in rows.select(rdf.written_relations(F.col("r")).alias("s")).collect()]
+    assert [x and tuple(x) for x in got[0]] == [("A -> is -> B", "TYPE"), ("C -> has -> D", "OTHER"), (None, None), None]
+    assert got[1:] == [[], None]

@@ -224,3 +224,157 @@ def test_queries_with_sql(spark):
         columns = [c[0] for c in want.description]
         got = catalog.QUERIES[name](spark, SF).select(*columns).collect()
         assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall())), name
+
+
+@pytest.fixture
+def server():
+    """A local HTTP server whose answers a test sets: (status, body) by path, and the requests it got."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            self.server.got.append((self.path, body, self.headers["Authorization"]))
+            answers = self.server.answers
+            status, text = answers.pop(0) if len(answers) > 1 else answers[0]
+            self.send_response(status)
+            self.end_headers()
+            self.wfile.write(text.encode())
+
+        def log_message(self, *_):
+            pass
+
+    made = HTTPServer(("127.0.0.1", 0), Handler)
+    made.got, made.url = [], f"http://127.0.0.1:{made.server_port}"
+    threading.Thread(target=made.serve_forever, daemon=True).start()
+    yield made
+    made.shutdown()
+
+
+def test_http_model(server):
+    good = json.dumps({"choices": [{"message": {"content": "a fox"}}]})
+    server.answers = [(500, "x"), (429, "x"), (400, "x"), (200, good)]
+    ask = providers.with_retries(providers.HttpModel(server.url, "k", "m", temperature=0.0), 5, base=0)
+    assert ask("who?") == "a fox" and len(server.got) == 4
+    path, body, key = server.got[-1]
+    assert path == "/chat/completions" and body == {"model": "m", "messages": [{"role": "user", "content": "who?"}], "temperature": 0.0} and key == "Bearer k"
+    for status, text, tries in ((404, "x", 1), (200, "no json", 1), (200, "{}", 1), (200, json.dumps({"choices": [{"message": {"content": None}}]}), 1), (503, "x", 5), (401, "x", 5)):
+        server.got.clear()
+        server.answers = [(status, text)]
+        with pytest.raises(providers.CallError):
+            ask("who?")
+        assert len(server.got) == tries, (status, text)
+    with pytest.raises(providers.CallError, match="no connection"):
+        providers.HttpModel("http://127.0.0.1:9", timeout=1)("x")
+
+
+def test_http_embedder(server):
+    embedder = providers.HttpEmbedder(f"{server.url}/embed")
+    server.answers = [(200, json.dumps({"data": [{"embedding": [1, 2]}, {"embedding": [3, 4]}]}))]
+    assert embedder(["a", "b"]) == [[1.0, 2.0], [3.0, 4.0]] and server.got[0][1]["input"] == ["a", "b"]
+    with pytest.raises(ValueError):
+        embedder(["a"])
+    for status, text, said in ((429, "", "rate limit"), (401, "", "authentication"), (413, "", "too large"), (500, "", "server error"), (200, '{"data": [{}]}', "no vectors"), (200, '{"data": [{"embedding": ["x"]}]}', "no vectors")):
+        server.answers = [(status, text)]
+        with pytest.raises(providers.CallError, match=said):
+            embedder(["a"])
+
+
+def test_pace():
+    now, slept = [0.0], []
+
+    def sleep(s):
+        slept.append(s)
+        now[0] += s
+
+    pace = providers.Pace(32, rate=4, adaptive=True, clock=lambda: now[0], sleep=sleep)
+    for _ in range(10):
+        assert pace.size() == 32 and pace.run(lambda: 7) == 7
+    assert slept[1:] == [0.25] * 9 and pace.size() == 64
+    for _ in range(5):
+        with pytest.raises(ValueError):
+            pace.run(lambda: int("x"))
+    assert pace.size() == 16
+    assert providers.Pace(32).size() == 32 and providers.width(providers.HashEmbedder(8)) == 8
+
+
+def test_embedding_stats(spark):
+    def embedder(texts):
+        if "bad" in texts:
+            raise RuntimeError("no")
+        return [[1.0]] * len(texts)
+
+    rows = spark.createDataFrame([(1, "a"), (2, "bad"), (3, None), (4, "b")], "id long, t string").coalesce(1)
+    calls = providers.embed(rows, "t", embedder, attempts=1, base=0, timed=True)
+    from corpusmill.operators.retention import call_stats
+
+    one = call_stats(calls, "duration", F.col("status") == "success").first()
+    assert (one["total"], one["succeeded"], one["success_rate"]) == (4, 3, 75.0)
+
+
+def test_stages_and_index_are_read_again(spark, tmp_path):
+    asked = []
+    corpus = spark.createDataFrame([(str(i), f"T{i}", f"red fox runs fast {i}") for i in range(6)], "id string, title string, context string").withColumn("cluster_id", F.lit(0))
+
+    def model(prompt):
+        (tmp_path / f"asked{len(list(tmp_path.glob('asked*')))}").write_text(prompt)
+        return concept_model(prompt)
+
+    s = pipelines.Settings(model=model, cache=str(tmp_path / "cache"))
+    first = sorted(map(str, pipelines.ontology(corpus, s).collect()))
+    asked = len(list(tmp_path.glob("asked*")))
+    assert asked and sorted(map(str, pipelines.ontology(corpus, s).collect())) == first and len(list(tmp_path.glob("asked*"))) == asked
+    index = pipelines.saved_index(corpus, s)
+    assert index.count() == 6 and pipelines.corpus_signature(corpus.orderBy(F.col("id").desc())) == pipelines.corpus_signature(corpus)
+    changed = corpus.withColumn("context", F.lit("other"))
+    assert pipelines.corpus_signature(changed) != pipelines.corpus_signature(corpus) and pipelines.saved_index(changed, s).first()["content"] == "other"
+    assert pipelines.corpus_signature(corpus.limit(0)) and pipelines.saved_index(corpus, s).inputFiles()[0].count("cache") == 1
+    (tmp_path / "cache" / "broken").mkdir()
+    assert writers.cached(spark, str(tmp_path / "cache" / "broken"), lambda: corpus).count() == 6
+
+
+def test_details(spark, tmp_path):
+    rows = spark.createDataFrame([("1", "A", "x" * 250, 0), ("2", "B", None, 0), ("3", "C", "yy", 2)], "id string, title string, context string, cluster_id int")
+    writers.write_cluster_details(rows, str(tmp_path / "c"))
+    docs = {r["doc_id"]: r for r in spark.read.json(str(tmp_path / "c/documents")).collect()}
+    assert docs["1"]["content_preview"] == "x" * 200 + "..." and docs["1"]["full_content_length"] == 250 and docs["2"]["full_content_length"] == 0 and docs["3"]["original_document"]["title"] == "C"
+    assert spark.read.json(str(tmp_path / "c/summary")).first().asDict() == {"total_documents": 3, "num_clusters": 2, "total_length": 252}
+    writers.write_cluster_details(rows.limit(0), str(tmp_path / "none"))
+    assert spark.read.json(str(tmp_path / "none/summary")).first()["num_clusters"] == 0
+
+    raw = spark.createDataFrame([(0,), (0,), (0,)], "source_cluster int")
+    merged = spark.createDataFrame([("Fox", "d", [("A -> is -> B", "TYPE")], [0], 3)], "name string, description string, relationships array<struct<relation:string,type:string>>, source_clusters array<int>, merged_from_count int")
+    writers.write_processing_details(rows, raw, merged, str(tmp_path / "p"), 0.85)
+    one = spark.read.json(str(tmp_path / "p/summary")).first()
+    assert (one["original_clusters"], one["raw_ontologies_extracted"], one["merged_ontologies"], one["duplicates_removed"]) == (2, 3, 1, 2) and one["deduplication_ratio"] == pytest.approx(2 / 3)
+    assert {r["cluster_id"]: r["n"] for r in spark.read.json(str(tmp_path / "p/clusters")).collect()} == {0: 3, 2: 0}
+    writers.write_processing_details(rows.limit(0), raw.limit(0), merged.limit(0), str(tmp_path / "p0"), 0.85)
+    assert spark.read.json(str(tmp_path / "p0/summary")).first()["original_clusters"] == 0
+
+    hits = spark.createDataFrame([(1, 2, 0.5, "original_document", "z" * 150, "d2", None, "T2"), (1, 1, 0.75, "ontology_summary", "s", "summary_0", 0, "T1")], "query_id long, rank int, similarity_score double, doc_type string, content string, doc_id string, cluster_id int, title string")
+    answered = spark.createDataFrame([(1, "q", "a"), (2, "r", "b")], "query_id long, question string, output string")
+    writers.write_retrieval_details(answered, hits, str(tmp_path / "r"))
+    found = {r["query_id"]: r["retrieved_documents_analysis"] for r in spark.read.json(str(tmp_path / "r/questions")).collect()}
+    assert [(d["rank"], d["is_ontology_text"], d["content_preview"]) for d in found[1]] == [(1, True, "s"), (2, False, "z" * 100 + "...")] and found[2] is None
+    assert spark.read.json(str(tmp_path / "r/summary")).first().asDict() == {"total_questions": 2, "total_retrievals": 1, "avg_docs_per_query": 2.0}
+
+    calls = spark.createDataFrame([(i, "Error: no" if i % 2 else "ok", "error" if i % 2 else "success", 1.0) for i in range(20)], "index long, output string, status string, duration double")
+    assert writers.write_calls(calls, calls.agg(F.count("*").alias("n")), str(tmp_path / "l")) == [f"{i}: Error: no" for i in (1, 3, 5, 7, 9)]
+    assert spark.read.json(str(tmp_path / "l/errors")).count() == 10
+
+    from datetime import datetime
+
+    means = spark.createDataFrame([(2, 50.0, 25.0)], "n long, accuracy double, f1 double")
+    results, text = writers.write_report(rows, means, str(tmp_path / "e"), "nq", "rag", {"Top-K": 15}, datetime(2024, 1, 31, 23, 59, 59))
+    assert results.endswith("evaluation_results_nq_rag_20240131_235959") and text.endswith("evaluation_summary_nq_rag_20240131_235959")
+    lines = [r["value"] for r in spark.read.text(text).collect()]
+    assert "Total Questions: 2" in lines and "Accuracy: 50.00%" in lines and "F1 Score: 25.00%" in lines and lines[-1] == "Top-K: 15"
+    listed = readers.artifacts(spark, str(tmp_path / "e"))
+    assert listed.where("time is not null").count() == 2 and writers.totals(listed).first()["bytes"] > 0
+
+
+def test_evaluation_rows(spark, tmp_path):
+    path = put(tmp_path, "e.jsonl", '{"question": "q", "output": "o", "num_retrieved": 2, "retrieved_documents": [{"doc_id": "1"}]}\n{"question": "r"}\n')
+    rows = readers.evaluation_rows(spark, path).orderBy("question").collect()
+    assert rows[0]["num_retrieved"] == 2 and json.loads(rows[0]["retrieved_documents"]) == [{"doc_id": "1"}] and rows[1]["retrieved_documents"] is None
