@@ -46,9 +46,17 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Bytes of a batch that goes to a Python worker, where the session doesn't say: rows are texts of any length, so that a number
+#: of rows bounds nothing.
+BATCH_BYTES = 4 << 20
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Python workers that start from now on find this package, also where it isn't installed but only lies on a
-    path that all machines see; elsewhere, give it to the cluster with --py-files."""
+    path that all machines see; elsewhere, give it to the cluster with --py-files. They get batches of bounded bytes."""
+    batch = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if batch not in spark.conf.getAll:
+        spark.conf.set(batch, str(BATCH_BYTES))
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     environment = spark.sparkContext.environment
     paths = environment.get("PYTHONPATH", "").split(os.pathsep)
