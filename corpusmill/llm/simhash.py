@@ -10,7 +10,8 @@ Free style. The steps:
    below the chosen blocks' values are the units of work. g grows with the table, so that subtrees keep their size. In each, node
    pairs are traversed together from the root, differing bits accumulate, and a pair is pruned as soon as they exceed the budget.
    Nothing is capped: a subtree with more fingerprints than a fixed number is split by a hash into parts, and each pair of parts
-   is one unit. What a unit returns are star edges of its own components, not all its pairs: at most one a fingerprint.
+   is one unit. A task reads its units in order, ROWS rows at a time, so that its memory doesn't grow with its partition. What
+   these units return are star edges of their own components, not all their pairs: at most one a fingerprint.
 4. components(): large-star and small-star rounds (Kiveris et al., 2014) over these edges, each written
    to the shared folder; nothing is collected but a count and a checksum a round.
 5. Joins carry the component's smallest id back to fingerprints and then to rows. Both sides of each join are
@@ -64,7 +65,9 @@ BROADCAST = 200_000
 #: Node pairs with at most so many fingerprint pairs are compared directly.
 LEAF = 16
 #: Node pairs that are expanded at once.
-FRONTIER = 1 << 19
+FRONTIER = 1 << 17
+#: Rows of units that a task holds at once, but for the end of the last unit.
+ROWS = 1 << 17
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -222,7 +225,7 @@ def cut_bits(many: int) -> list[tuple[int, int]]:
 
 
 def unit_stars(block: np.ndarray, left: np.ndarray, right: np.ndarray, part: np.ndarray, fp: np.ndarray, budget: int, cuts: list[Arrangement]) -> tuple[np.ndarray, np.ndarray]:
-    """Star edges (fingerprint, root) of the components in the units of one task.
+    """Star edges (fingerprint, root) of the components in some units of a task.
 
     Units are (arrangement, left part, right part), any values on top (the trie join starts below them); where left = right a
     unit is joined with itself, else its part `left` with its part `right`."""
@@ -246,6 +249,24 @@ def unit_stars(block: np.ndarray, left: np.ndarray, right: np.ndarray, part: np.
     return forest_of[moved], forest_of[roots[moved]]
 
 
+_UNIT = ("block", "left", "right", "value")
+
+
+def whole_units(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.Table]:
+    """The rows of batches that are sorted by unit, in tables of about so many rows that end where a unit does."""
+    held = None
+    for batch in batches:
+        more = pa.Table.from_batches([batch])
+        held = more if held is None else pa.concat_tables([held, more])
+        if held.num_rows >= rows:
+            ends = np.flatnonzero(reduce(np.logical_or, (np.diff(held[c].to_numpy()) != 0 for c in _UNIT)))
+            if len(ends):
+                yield held.slice(0, ends[-1] + 1)
+                held = held.slice(ends[-1] + 1)
+    if held is not None and held.num_rows:
+        yield held
+
+
 def links(distinct: DataFrame, budget: int = BUDGET, split: int = SPLIT) -> DataFrame:
     """Star edges (a, b), a > b as signed longs, whose components are those of all links within the budget; distinct is a
     written table."""
@@ -266,13 +287,11 @@ def links(distinct: DataFrame, budget: int = BUDGET, split: int = SPLIT) -> Data
     part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     rows = rows.withColumn("part", part).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.withColumn("left", F.least("part", "with")).withColumn("right", F.greatest("part", "with"))
-    units = rows.select("block", "value", "left", "right", "part", "fp").repartition("block", "value", "left", "right")
+    units = rows.select(*_UNIT, "part", "fp").repartition(*_UNIT).sortWithinPartitions(*_UNIT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if got:
-            t = pa.Table.from_batches(got)
-            col = lambda c: t[c].to_numpy()
+        for t in whole_units(batches):
+            col = lambda c, t=t: t[c].to_numpy()
             a, b = unit_stars(col("block"), col("left"), col("right"), col("part"), col("fp").view(np.uint64), budget, cuts)
             a, b = a.view(np.int64), b.view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])

@@ -1,6 +1,7 @@
 """SimHash: fingerprints bit by bit, all pairs by brute force, and components by a plain search."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings, strategies as st
@@ -213,3 +214,19 @@ def test_recall_on_documents(spark):
     want = {rows[k]["doc_id"] for k in set(low)}
     missed = [(i, j) for i, j in pairs if rows[i]["doc_id"] in kept and rows[j]["doc_id"] in kept]
     assert want <= kept and len(kept - want) <= 3 and len(missed) <= 0.1 * len(pairs)
+
+
+def test_units_are_read_whole():
+    """Sorted rows come in tables that never cut a unit, whatever the batches; a unit longer than a table stays whole."""
+    r = np.random.default_rng(5)
+    n = 4000
+    rows = sorted(zip(r.integers(0, 3, n).tolist(), r.integers(0, 2, n).tolist(), r.integers(0, 2, n).tolist(), r.integers(0, 30, n).tolist()))
+    rows += [(9, 0, 0, 7)] * 500
+    table = pa.table({c: [x[k] for x in rows] for k, c in enumerate(S._UNIT)})
+    for batch, size in ((1, 100), (64, 100), (1000, 300), (10_000, 100)):
+        parts = [p.to_pylist() for p in S.whole_units(iter(table.to_batches(max_chunksize=batch)), size)]
+        units = [{tuple(x.values()) for x in p} for p in parts]
+        assert [tuple(x.values()) for p in parts for x in p] == rows
+        assert all(not a & b for k, a in enumerate(units) for b in units[:k])
+        assert batch > 1000 or len(parts) > 5
+    assert list(S.whole_units(iter([]))) == []
