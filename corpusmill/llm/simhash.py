@@ -22,10 +22,13 @@ of a whole text can't tell 0.8 (texts that similar differ in about ten of 64 bit
 SimHash of the SAMPLE shingles that come first under one hash order: texts of similarity J agree on one with probability about
 J^SAMPLE, and miss all with (1 - J^SAMPLE)^PRINTS, 0.008 at 0.8. All of them go through the trie join above together; what it
 links is a bucket of candidates, and every link is an exact check of the shingle sets. In a bucket, texts are checked against
-leaders (the smallest ids); those alike are settled, the others go on with GROWTH times as many leaders, so a bucket of n copies costs
-n checks, and no text is left unchecked but where a check can't matter: texts that earlier links have brought together aren't
-checked again, nor are those whose min-wise bits (BITWISE of them, one a hash order; each differs with probability (1 - J) / 2)
-are over 4.5 standard deviations beyond what the similarity asked for gives. Groups are the components of the links found.
+leaders (the smallest ids); those alike are settled, the others meet more leaders, as LEADERS says. This makes hot groups into one.
+
+What is left is found by an exact way, missing(): shingles are put in one order for all texts (those that a sample of texts shows to be
+frequent last; any order gives the same links), and texts of similarity J or more share their first common shingle, which is among the
+first n - ceil(J n) + 1 of each. Texts of different groups that meet at such a shingle are pairs; a pair is dropped only where its sizes,
+the shingle's places, or the parity of the shingles in PARITY classes (texts differ in at least as many shingles as in parities)
+prove it to be less similar. The rest have their sets checked. Groups are the components of all links, and no link is left out.
 
 Cases: null and empty texts (and texts of white space) have fingerprint zero and link like any other; texts
 with fewer words than a shingle use the whole sequence; repeated rows and ids each keep their row; a null id
@@ -57,9 +60,11 @@ AGREE = 4
 #: Words of a shingle, and similarity, of texts that are alike; fingerprints of a text, and shingles behind each.
 WORDS, SIMILARITY = 5, 0.8
 PRINTS, SAMPLE = 12, 5
-#: Min-wise bits of a text, and how the number of a bucket's leaders grows by round, up to MOST.
-BITWISE = 256
-GROWTH, MOST = 4, 1000
+#: Classes of shingles whose parity a text has as a bit, and leaders of a bucket by round; what they leave, missing() finds.
+PARITY = 1024
+LEADERS = (1, 4, 16)
+#: Texts of the sample that tells frequent shingles, and shingles that are told at most.
+TEXTS, FREQUENT = 4096, 1 << 16
 #: Rows of tables that are broadcast.
 BROADCAST = 200_000
 #: Node pairs with at most so many fingerprint pairs are compared directly.
@@ -252,14 +257,14 @@ def unit_stars(block: np.ndarray, left: np.ndarray, right: np.ndarray, part: np.
 _UNIT = ("block", "left", "right", "value")
 
 
-def whole_units(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.Table]:
+def whole_units(batches: Iterator[pa.RecordBatch], rows: int = ROWS, unit: tuple[str, ...] = _UNIT) -> Iterator[pa.Table]:
     """The rows of batches that are sorted by unit, in tables of about so many rows that end where a unit does."""
     held = None
     for batch in batches:
         more = pa.Table.from_batches([batch])
         held = more if held is None else pa.concat_tables([held, more])
         if held.num_rows >= rows:
-            ends = np.flatnonzero(reduce(np.logical_or, (np.diff(held[c].to_numpy()) != 0 for c in _UNIT)))
+            ends = np.flatnonzero(reduce(np.logical_or, (np.diff(held[c].to_numpy()) != 0 for c in unit)))
             if len(ends):
                 yield held.slice(0, ends[-1] + 1)
                 held = held.slice(ends[-1] + 1)
@@ -373,99 +378,224 @@ def sample_prints(own: np.ndarray) -> np.ndarray:
     return np.packbits(2 * bits > held.shape[1], axis=1).view(">i8").ravel().astype(np.int64)
 
 
-_FACTORS = np.array([xxhash.xxh64_intdigest(b"%d" % k, 1) | 1 for k in range(BITWISE)], np.uint64)
+def parity(own: np.ndarray) -> np.ndarray:
+    """Whether the number of shingles in each of PARITY classes is odd, as longs: sets differ in at least as many shingles as here in bits."""
+    odd = np.bincount((own % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(">i8").astype(np.int64)
+
+
+def least_common(sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """Shingles that two sets of so many together have in common at least, if they are so similar."""
+    return np.ceil(similarity / (1 + similarity) * sizes - 1e-6).astype(np.int64)
+
+
+def prefix(own: np.ndarray, similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first shingles of a set, by their number in the sample and then by hash: so many that sets so similar share one of them."""
+    known, many = frequent
+    count = np.zeros(len(own), np.int64)
+    if len(known) and len(own):
+        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        count = np.where(known[at] == own, many[at], 0)
+    first = len(own) - int(np.ceil(similarity * len(own) - 1e-6)) + 1 if len(own) else 0
+    return own[np.lexsort((own, count))[:first]]
+
+
+def frequent_shingles(documents: DataFrame, key: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles, in order, that at least two of about TEXTS texts have, and in how many; the most frequent ones, if they are many."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text).view(np.int64))], names=["shingle"])
 
-def bitwise(own: np.ndarray) -> np.ndarray:
-    """One bit of the first hash of a shingle set in each of BITWISE orders, as longs."""
-    least = np.full(BITWISE, (1 << 64) - 1, np.uint64)
-    for at in range(0, len(own), 4_096):
-        least = np.minimum(least, (own[None, at : at + 4_096] * _FACTORS[:, None]).min(axis=1))
-    return np.packbits((least >> np.uint64(20)).astype(np.uint8) & 1).view(">i8").astype(np.int64)
+    some = documents.where(F.pmod(F.xxhash64(key), F.lit(max(1, n // TEXTS))) == 0).select("text")
+    found = some.mapInArrow(run, "shingle long").groupBy("shingle").count().where("count > 1").orderBy(F.desc("count"), "shingle").limit(FREQUENT).toArrow()
+    known, many = found["shingle"].to_numpy().view(np.uint64), found["count"].to_numpy()
+    order = np.argsort(known)
+    return known[order], many[order]
 
 
-def bits_apart(similarity: float) -> int:
-    """Min-wise bits in which texts that are so similar differ at most, but for one pair in some hundred thousand."""
-    q = (1 - similarity) / 2
-    return round(BITWISE * q + 4.5 * (BITWISE * q * (1 - q)) ** 0.5)
+def _lists(found: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32)), pa.array(np.concatenate(found).view(np.int64)))
 
 
-def marks(documents: DataFrame, key: str) -> DataFrame:
-    """key, two hashes of the sequence of words, and prints of every row."""
+def marks(documents: DataFrame, key: str, similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """key, two hashes of the sequence of words, and size, parities, prints and first shingles of every row's shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part, same, prints = batch.slice(at, 512), [], []
+            for at in range(0, batch.num_rows, 256):
+                part, same, size, bits, prints, firsts = batch.slice(at, 256), [], [], [], [], []
                 for text in part.column(1).to_pylist():
                     same.append(xxhash.xxh3_128_digest(b" ".join(split_words(text))))
-                    prints.append(sample_prints(shingle_set(text)))
+                    own = shingle_set(text)
+                    size.append(len(own))
+                    bits.append(parity(own))
+                    prints.append(sample_prints(own))
+                    firsts.append(prefix(own, similarity, frequent))
                 h = np.frombuffer(b"".join(same), np.int64).reshape(-1, 2)
-                ends = pa.array(np.cumsum([0, *map(len, prints)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(prints)))], names=["key", "h", "h2", "prints"])
+                columns = [part.column(0), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(size, pa.int32()), _lists(bits), _lists(prints), _lists(firsts)]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "h", "h2", "size", "bits", "prints", "firsts"])
 
     rows = documents.select(F.col(key).alias("key"), "text")
-    return rows.mapInArrow(run, f"key {rows.dtypes[0][1]}, h long, h2 long, prints array<long>")
+    return rows.mapInArrow(run, f"key {rows.dtypes[0][1]}, h long, h2 long, size int, bits array<long>, prints array<long>, firsts array<long>")
 
 
 def shingle_sets(documents: DataFrame, key: str) -> DataFrame:
-    """key, shingles (an array of hashes) and bits of every row."""
+    """key and shingles (an array of hashes) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                found = [shingle_set(t) for t in part.column(1).to_pylist()]
-                ends = pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32))
-                sets = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found).view(np.int64)))
-                bits = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([bitwise(x) for x in found])), BITWISE // 64)
-                yield pa.RecordBatch.from_arrays([part.column(0), sets, bits.cast(pa.list_(pa.int64()))], names=["key", "shingles", "bits"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists([shingle_set(t) for t in part.column(1).to_pylist()])], names=["key", "shingles"])
 
     rows = documents.select(F.col(key).alias("key"), "text")
-    return rows.mapInArrow(run, f"key {rows.dtypes[0][1]}, shingles array<long>, bits array<long>")
+    return rows.mapInArrow(run, f"key {rows.dtypes[0][1]}, shingles array<long>")
+
+
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (key, leader) whose shingle sets are so similar."""
+    both = pairs.join(sets, "key").join(sets.select(F.col("key").alias("leader"), F.col("shingles").alias("others")), "leader")
+    common = F.size(F.array_intersect("shingles", "others"))
+    counted = both.select("key", "leader", common.alias("common"), (F.size("shingles") + F.size("others") - common).alias("union"))
+    return counted.where(F.col("common") >= similarity * F.col("union") - 1e-9).select("key", "leader")
+
+
+def _grouped(table: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """table with the group of each key: the smallest key that links have brought it together with."""
+    if groups is None:
+        return table.withColumn("group", F.col("key"))
+    return table.join(groups.withColumnsRenamed({"a": "key", "b": "group"}), "key", "left").withColumn("group", F.coalesce("group", "key"))
+
+
+def several_groups(t: pa.Table, split: int) -> pa.Table:
+    """The rows of units with texts of several groups. A unit of more than so many rows is cut into parts, and its pairs of parts are units."""
+    unit, codes = t["unit"].to_numpy(), t["group"].combine_chunks().dictionary_encode().indices.to_numpy()
+    start = np.flatnonzero(np.diff(unit, prepend=unit[0] - 1))
+    many = np.diff(start, append=len(unit))
+    met = np.minimum.reduceat(codes, start) != np.maximum.reduceat(codes, start)
+    rows = np.flatnonzero(np.repeat(met, many))
+    parts = np.repeat(-(-many // split), many)[rows]
+    part, own = np.arange(len(unit))[rows] % parts, np.repeat(rows, parts)
+    other, part, parts = _ranges(np.zeros(len(rows), np.int64), parts), np.repeat(part, parts), np.repeat(parts, parts)
+    low, high = np.minimum(part, other), np.maximum(part, other)
+    # A pair of parts is named by a hash. Units that share a name by chance only meet once more.
+    name = np.where(parts == 1, unit[own], _mixed(unit[own].view(np.uint64) + (low * parts + high + 1).astype(np.uint64)).view(np.int64))
+    side = np.where(low == high, 0, np.where(part == low, 1, 2))
+    return t.drop_columns(["unit"]).take(pa.array(own)).append_column("unit", pa.array(name)).append_column("side", pa.array(side, pa.int32()))
+
+
+def unit_pairs(t: pa.Table, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (i, j) of whole units, each pair of a unit's texts in different groups that sizes, places and parities allow to be so similar."""
+    unit, size = np.unique(t["unit"].to_numpy(), return_inverse=True)[1], t["size"].to_numpy().astype(np.int64)
+    order = np.lexsort((size, unit))
+    unit, size, place, side = unit[order], size[order], t["pos"].to_numpy()[order], t["side"].to_numpy()[order]
+    group = t["group"].combine_chunks().dictionary_encode().indices.to_numpy()[order]
+    bits = t["bits"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(order), -1)
+    at, most = unit << 32 | size, np.floor(size / similarity + 1e-6).astype(np.int64)
+    width = np.searchsorted(at, unit << 32 | np.minimum(most, (1 << 32) - 1), "right") - np.arange(len(at)) - 1
+    for some in np.split(np.arange(len(at)), np.flatnonzero(np.diff(width.cumsum() // FRONTIER)) + 1):
+        i, j = np.repeat(some, width[some]), _ranges(some + 1, width[some])
+        keep = (group[i] != group[j]) & ((side[i] == 0) | (side[i] != side[j]))
+        i, j = i[keep], j[keep]
+        both = size[i] + size[j]
+        common = least_common(both, similarity)
+        # The first common shingle has at least `common` from its place on in each.
+        keep = (size[i] - place[i] >= common) & (size[j] - place[j] >= common)
+        i, j, apart = i[keep], j[keep], (both - 2 * common)[keep]
+        for part in np.array_split(np.arange(len(i)), 1 + len(i) // 8192):
+            x, y = order[i[part]], order[j[part]]
+            keep = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) <= apart[part]
+            if keep.any():
+                yield x[keep], y[keep]
+
+
+def missing(documents: DataFrame, texts: DataFrame, groups: DataFrame | None, key: str, similarity: float, split: int = SPLIT) -> DataFrame:
+    """(a, b), a > b: every link between texts of different groups. texts: a written table of marks."""
+    scratch, kind = Scratch(documents.sparkSession), texts.schema["key"].dataType.simpleString()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_units(batches, unit=("unit",)):
+            yield from several_groups(t, split).select(["unit", "side", "key", "group", "size", "pos"]).to_batches()
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_units(batches, unit=("unit",)):
+            keys = t["key"].combine_chunks().dictionary_encode()
+            codes, found = keys.indices.to_numpy().astype(np.int64), [np.zeros(0, np.int64)]
+            for i, j in unit_pairs(t, similarity):
+                a, b = codes[i], codes[j]
+                found = [np.unique(np.concatenate([*found, np.minimum(a, b) << 32 | np.maximum(a, b)]))]
+            name = lambda c, keys=keys: keys.dictionary.take(pa.array(c))
+            yield pa.RecordBatch.from_arrays([name(found[0] >> 32), name(found[0] & 0xFFFFFFFF)], names=["a", "b"])
+
+    rows = _grouped(texts.select("key", "size", "firsts"), groups).select("key", "group", "size", F.posexplode("firsts").alias("pos", "unit"))
+    rows = rows.repartition("unit").sortWithinPartitions("unit")
+    members = scratch.put(rows.mapInArrow(meet, f"unit long, side int, key {kind}, group {kind}, size int, pos int"), "members")
+    rows = members.join(texts.select("key", "bits"), "key").repartition("unit").sortWithinPartitions("unit")
+    found = rows.mapInArrow(pair, f"a {kind}, b {kind}").select(F.greatest("a", "b").alias("key"), F.least("a", "b").alias("leader"))
+    pairs = scratch.put(found.distinct(), "pairs")
+    keys = scratch.put(pairs.select("key").unionByName(pairs.select(F.col("leader").alias("key"))).distinct(), "keys")
+    named = documents.select(F.col(key).alias("key"), "text")
+    sets = scratch.put(shingle_sets(named.join(keys, "key", "left_semi"), "key"), "sets")
+    linked = scratch.put(alike(pairs, sets, similarity).select(F.col("key").alias("a"), F.col("leader").alias("b")), "linked")
+    scratch.drop(members, pairs, keys, sets)
+    return linked
 
 
-def similar(documents: DataFrame, prints: DataFrame, key: str, similarity: float = SIMILARITY, budget: int = BUDGET, split: int = SPLIT) -> DataFrame:
-    """(a, b): a's text is as similar to that of b, a smaller key, as asked; together, what connects all groups of similar texts.
-    prints: a written table of key and fp."""
+def similar(documents: DataFrame, texts: DataFrame, key: str, similarity: float = SIMILARITY, budget: int = BUDGET, split: int = SPLIT) -> DataFrame:
+    """(a, b): every text of a group of similar texts but the smallest key, with that smallest key. texts: a written table of marks."""
     scratch = Scratch(documents.sparkSession)
+    prints = scratch.put(texts.select("key", F.explode("prints").alias("fp")), "prints")
     met = scratch.put(classes(prints, budget, split).select(F.col("component").alias("bucket"), "key").distinct(), "met")
     several = scratch.put(met.groupBy("bucket").count().where("count > 1").select("bucket"), "several")
     held = scratch.put(met.join(several, "bucket", "left_semi"), "held")
     keys = scratch.put(held.select("key").distinct(), "keys")
     named = documents.select(F.col(key).alias("key"), "text")
     sets = scratch.put(shingle_sets(named.join(keys, "key", "left_semi"), "key"), "sets")
-    rest = scratch.put(held.join(sets.select("key", "bits"), "key").select("bucket", "key", "bits", F.col("key").alias("group")), "rest")
-    scratch.drop(met, several, held, keys)
-    apart = lambda a, b: reduce(lambda x, y: x + y, (F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(BITWISE // 64)))
-    edges, many = [], 1
-    while not rest.isEmpty():
+    rest = scratch.put(held.join(texts.select("key", "size", "bits"), "key").select("bucket", "key", "size", "bits", F.col("key").alias("group")), "rest")
+    scratch.drop(prints, met, several, held, keys)
+    apart = reduce(lambda x, y: x + y, (F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("others")[k])) for k in range(PARITY // 64)))
+    both = F.col("size") + F.col("its_size")
+    may = apart <= both - 2 * F.ceil(similarity / (1 + similarity) * both - 1e-6)
+    groups = None
+    for many in LEADERS:
+        if rest.isEmpty():
+            break
         rank = F.row_number().over(Window.partitionBy("bucket").orderBy("key"))
         first = rest.withColumn("rank", rank).where(F.col("rank") <= many)
-        leaders = scratch.put(first.select("bucket", F.col("key").alias("leader"), F.col("bits").alias("others"), F.col("group").alias("its")), "leaders")
-        worth = (F.col("key") > F.col("leader")) & (F.col("group") != F.col("its")) & (apart("bits", "others") <= bits_apart(similarity))
+        leaders = scratch.put(first.select("bucket", F.col("key").alias("leader"), F.col("size").alias("its_size"), F.col("bits").alias("others"), F.col("group").alias("its")), "leaders")
+        worth = (F.col("key") > F.col("leader")) & (F.col("group") != F.col("its")) & may
         own, other = rest.alias("own"), leaders.alias("other")
         tried = scratch.put(own.join(other, (F.col("own.bucket") == F.col("other.bucket")) & worth).select("own.bucket", "key", "leader"), "tried")
         pairs = scratch.put(tried.select("key", "leader").distinct(), "pairs")
-        both = pairs.join(sets.drop("bits"), "key").join(sets.select(F.col("key").alias("leader"), F.col("shingles").alias("others")), "leader")
-        common = F.size(F.array_intersect("shingles", "others"))
-        alike = both.select("key", "leader", common.alias("common"), (F.size("shingles") + F.size("others") - common).alias("union"))
-        linked = scratch.put(alike.where(F.col("common") >= similarity * F.col("union") - 1e-9).select("key", "leader"), "linked")
+        linked = scratch.put(alike(pairs, sets, similarity), "linked")
         settled = tried.join(linked, ["key", "leader"], "left_semi").select("bucket", "key").unionByName(leaders.select("bucket", F.col("leader").alias("key")))
         settled = scratch.put(settled.distinct(), "settled")
         left = rest.join(settled, ["bucket", "key"], "left_anti")
         if not linked.isEmpty():
-            edges.append(linked.select(F.col("key").alias("a"), F.col("leader").alias("b")))
-            groups = components(reduce(DataFrame.unionByName, edges))
-            left = left.drop("group").join(groups.withColumnsRenamed({"a": "key", "b": "group"}), "key", "left").withColumn("group", F.coalesce("group", "key"))
-        left = scratch.put(left.select("bucket", "key", "bits", "group"), "left")
+            groups = _joined(groups, linked.select(F.col("key").alias("a"), F.col("leader").alias("b")))
+            left = _grouped(left.drop("group"), groups)
+        left = scratch.put(left.select("bucket", "key", "size", "bits", "group"), "left")
         # Buckets that earlier links have brought together are done.
         open_ = scratch.put(left.groupBy("bucket").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low != high").select("bucket"), "open")
         before, rest = rest, scratch.put(left.join(open_, "bucket", "left_semi"), "rest")
-        scratch.drop(before, leaders, tried, pairs, settled, left, open_)
-        many = min(GROWTH * many, MOST)
-    scratch.drop(sets)
-    return reduce(DataFrame.unionByName, edges) if edges else rest.select(F.col("key").alias("a"), F.col("group").alias("b"))
+        scratch.drop(before, leaders, tried, pairs, linked, settled, left, open_)
+    scratch.drop(sets, rest)
+    more = missing(documents, texts, groups, key, similarity, split)
+    if groups is not None and more.isEmpty():
+        drop(more)
+        return groups
+    return _joined(groups, more)
+
+
+def _joined(groups: DataFrame | None, linked: DataFrame) -> DataFrame:
+    """The groups with more links."""
+    if groups is None:
+        return components(linked)
+    after = components(groups.unionByName(linked))
+    drop(groups)
+    return after
 
 
 def representatives(documents: DataFrame, similarity: float = SIMILARITY, budget: int = BUDGET, split: int = SPLIT) -> DataFrame:
@@ -478,13 +608,13 @@ def representatives(documents: DataFrame, similarity: float = SIMILARITY, budget
         rows = documents.withColumn(mark, F.col("doc_id"))
     else:
         rows = scratch.put(documents.orderBy(F.col("doc_id").asc_nulls_last(), "text").withColumn(mark, F.monotonically_increasing_id()), "numbered")
-    marked = scratch.put(marks(rows, mark), "marks")
+    marked = scratch.put(marks(rows, mark, similarity, frequent_shingles(rows, mark, n)), "marks")
     # Equal sequences of words first: only the smallest id of each goes on.
-    texts = scratch.put(marked.groupBy("h", "h2").agg(F.min("key").alias("low")), "texts")
-    copies = marked.drop("prints").join(texts, ["h", "h2"]).where("key != low").select("key")
-    copies = scratch.put(copies, "copies")
-    prints = scratch.put(marked.join(copies, "key", "left_anti").select("key", F.explode("prints").alias("fp")), "prints")
-    edges = similar(rows, prints, mark, similarity, budget, split)
-    gone = scratch.put(copies.unionByName(components(edges).select(F.col("a").alias("key"))).select(F.col("key").alias(mark)), "gone")
-    scratch.drop(marked, texts, copies, prints)
+    lows = scratch.put(marked.groupBy("h", "h2").agg(F.min("key").alias("low")), "lows")
+    copies = scratch.put(marked.select("key", "h", "h2").join(lows, ["h", "h2"]).where("key != low").select("key"), "copies")
+    texts = scratch.put(marked.drop("h", "h2").join(copies, "key", "left_anti"), "texts")
+    scratch.drop(marked, lows)
+    groups = similar(rows, texts, mark, similarity, budget, split)
+    gone = scratch.put(copies.unionByName(groups.select(F.col("a").alias("key"))).select(F.col("key").alias(mark)), "gone")
+    scratch.drop(texts, copies)
     return rows.join(gone, mark, "left_anti").select(*columns)
