@@ -6,6 +6,9 @@ Parquet and read again as the next one's docs. All but the last return the colum
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -17,26 +20,44 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def shipped(stage: Stage) -> Stage:
+    """A stage is also called by itself, not only by run(): it has its session's batches bounded first."""
+
+    @wraps(stage)
+    def run_shipped(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return stage(ship(spark), docs, sf_dir)
+
+    return run_shipped
+
+
+@shipped
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     return quality_trees.accepted(docs, quality_trees.train(docs, _table(spark, sf_dir, "labels")))
 
 
+@shipped
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
     return simhash.representatives(docs)
 
 
+@shipped
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak a benchmark item go."""
     return decontaminate.clean(docs, _table(spark, sf_dir, "benchmark"))
 
 
+@shipped
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data, and terms that reveal it, are generalised or removed; n_chars follows the text."""
     return pii.sanitise(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
+@shipped
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and the digest of what the ids decode to."""
     made = byte_bpe.encode_table(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)

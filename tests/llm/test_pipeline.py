@@ -92,3 +92,18 @@ def test_awkward_documents(spark):
         docs = cut(stage(spark, docs, SF), name)
     assert docs.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"]
     assert decontaminate.PASSAGE == 64
+
+
+def test_stages_by_themselves_bound_their_batches(spark):
+    """Each of STAGES, called without run(), sets the bound of batches to Python workers, unless the session has its own."""
+    from corpusmill.session import BATCH_BYTES
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.getAll.get(key)
+    for own in (None, "123456"):
+        for name, stage in P.STAGES:
+            spark.conf.set(key, own) if own else spark.conf.unset(key)
+            with pytest.raises(Exception):  # noqa: B017  no documents
+                stage(spark, None, SF)
+            assert spark.conf.getAll.get(key) == (own or str(BATCH_BYTES)), name
+    spark.conf.set(key, before) if before else spark.conf.unset(key)
