@@ -27,8 +27,11 @@ leaders (the smallest ids); those alike are settled, the others meet more leader
 What is left is found by an exact way, missing(): shingles are put in one order for all texts (those that a sample of texts shows to be
 frequent last; any order gives the same links), and texts of similarity J or more share their first common shingle, which is among the
 first n - ceil(J n) + 1 of each. Texts of different groups that meet at such a shingle are pairs; a pair is dropped only where its sizes,
-the shingle's places, or the parity of the shingles in PARITY classes (texts differ in at least as many shingles as in parities)
-prove it to be less similar. The rest have their sets checked. Groups are the components of all links, and no link is left out.
+the shingle's places, the parity of the shingles in PARITY classes (texts differ in at least as many shingles as in parities), or
+the number of first shingles in common prove it to be less similar: of texts of n shingles each, c of them in common, the first k
+common ones are among the first n - c + k, which are all among those read as long as k is at most c - ceil(J n) + 1; so k = must_share()
+of them have to be met, where chance meets few. Only rows that have a partner by sizes and places travel with their parities. The rest of
+the pairs have their sets checked. Groups are the components of all links, and no link is left out.
 
 Cases: null and empty texts (and texts of white space) have fingerprint zero and link like any other; texts
 with fewer words than a shingle use the whole sequence; repeated rows and ids each keep their row; a null id
@@ -63,6 +66,8 @@ PRINTS, SAMPLE = 12, 5
 #: Classes of shingles whose parity a text has as a bit, and leaders of a bucket by round; what they leave, missing() finds.
 PARITY = 1024
 LEADERS = (1, 4, 16)
+#: First shingles in common that are asked of a pair at most. More hold more places open.
+COUNTED = 8
 #: Texts of the sample that tells frequent shingles, and shingles that are told at most.
 TEXTS, FREQUENT = 4096, 1 << 16
 #: Rows of tables that are broadcast.
@@ -389,6 +394,11 @@ def least_common(sizes: np.ndarray, similarity: float) -> np.ndarray:
     return np.ceil(similarity / (1 + similarity) * sizes - 1e-6).astype(np.int64)
 
 
+def must_share(small: np.ndarray, large: np.ndarray, similarity: float) -> np.ndarray:
+    """First shingles, COUNTED at most, that two sets of such sizes have in common at least, if they are so similar: see prefix()."""
+    return np.clip(least_common(small + large, similarity) - np.ceil(similarity * large - 1e-6).astype(np.int64) + 1, 1, COUNTED)
+
+
 def prefix(own: np.ndarray, similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The first shingles of a set, by their number in the sample and then by hash: so many that sets so similar share one of them."""
     known, many = frequent
@@ -483,16 +493,29 @@ def several_groups(t: pa.Table, split: int) -> pa.Table:
     # A pair of parts is named by a hash. Units that share a name by chance only meet once more.
     name = np.where(parts == 1, unit[own], _mixed(unit[own].view(np.uint64) + (low * parts + high + 1).astype(np.uint64)).view(np.int64))
     side = np.where(low == high, 0, np.where(part == low, 1, 2))
-    return t.drop_columns(["unit"]).take(pa.array(own)).append_column("unit", pa.array(name)).append_column("side", pa.array(side, pa.int32()))
+    cut = t.drop_columns(["unit"]).take(pa.array(own)).append_column("unit", pa.array(name)).append_column("side", pa.array(side, pa.int32()))
+    return cut.append_column("parts", pa.array(parts, pa.int32()))
+
+
+def with_partners(t: pa.Table, similarity: float) -> pa.Table:
+    """The rows of several_groups() without those that are in no pair of their unit by sizes and places. Parts of a cut unit stay as they
+    are: their pairs are looked at only once they are dealt out."""
+    stays = t["parts"].to_numpy() > 1
+    whole = np.flatnonzero(~stays)
+    if len(whole):
+        for i, j in unit_pairs(t.take(pa.array(whole)), similarity):
+            stays[whole[i]] = stays[whole[j]] = True
+    return t.filter(pa.array(stays))
 
 
 def unit_pairs(t: pa.Table, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows (i, j) of whole units, each pair of a unit's texts in different groups that sizes, places and parities allow to be so similar."""
+    """Rows (i, j) of whole units, each pair of a unit's texts in different groups that sizes, places and parities, if t has them, allow to
+    be so similar, where the unit is one of the first must_share() shingles in common."""
     unit, size = np.unique(t["unit"].to_numpy(), return_inverse=True)[1], t["size"].to_numpy().astype(np.int64)
     order = np.lexsort((size, unit))
     unit, size, place, side = unit[order], size[order], t["pos"].to_numpy()[order], t["side"].to_numpy()[order]
     group = t["group"].combine_chunks().dictionary_encode().indices.to_numpy()[order]
-    bits = t["bits"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(order), -1)
+    bits = t["bits"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(order), -1) if "bits" in t.column_names else None
     at, most = unit << 32 | size, np.floor(size / similarity + 1e-6).astype(np.int64)
     width = np.searchsorted(at, unit << 32 | np.minimum(most, (1 << 32) - 1), "right") - np.arange(len(at)) - 1
     for some in np.split(np.arange(len(at)), np.flatnonzero(np.diff(width.cumsum() // FRONTIER)) + 1):
@@ -501,9 +524,13 @@ def unit_pairs(t: pa.Table, similarity: float) -> Iterator[tuple[np.ndarray, np.
         i, j = i[keep], j[keep]
         both = size[i] + size[j]
         common = least_common(both, similarity)
-        # The first common shingle has at least `common` from its place on in each.
-        keep = (size[i] - place[i] >= common) & (size[j] - place[j] >= common)
+        # The first of the common shingles has at least `common` from its place on in each, the next one fewer, and so on.
+        after = common - must_share(size[i], size[j], similarity) + 1
+        keep = (size[i] - place[i] >= after) & (size[j] - place[j] >= after)
         i, j, apart = i[keep], j[keep], (both - 2 * common)[keep]
+        if bits is None:
+            yield order[i], order[j]
+            continue
         for part in np.array_split(np.arange(len(i)), 1 + len(i) // 8192):
             x, y = order[i[part]], order[j[part]]
             keep = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) <= apart[part]
@@ -517,24 +544,29 @@ def missing(documents: DataFrame, texts: DataFrame, groups: DataFrame | None, ke
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_units(batches, unit=("unit",)):
-            yield from several_groups(t, split).select(["unit", "side", "key", "group", "size", "pos"]).to_batches()
+            yield from with_partners(several_groups(t, split), similarity).select(["unit", "side", "key", "group", "size", "pos"]).to_batches()
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_units(batches, unit=("unit",)):
             keys = t["key"].combine_chunks().dictionary_encode()
-            codes, found = keys.indices.to_numpy().astype(np.int64), [np.zeros(0, np.int64)]
+            codes, found, times = keys.indices.to_numpy().astype(np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
             for i, j in unit_pairs(t, similarity):
                 a, b = codes[i], codes[j]
-                found = [np.unique(np.concatenate([*found, np.minimum(a, b) << 32 | np.maximum(a, b)]))]
+                found, at = np.unique(np.concatenate([found, np.minimum(a, b) << 32 | np.maximum(a, b)]), return_inverse=True)
+                times = np.bincount(at, np.concatenate([times, np.ones(len(a), np.int64)]), len(found)).astype(np.int64)
+            size = np.zeros(len(keys.dictionary), np.int64)
+            size[codes] = t["size"].to_numpy()
+            a, b = found >> 32, found & 0xFFFFFFFF
+            least = must_share(np.minimum(size[a], size[b]), np.maximum(size[a], size[b]), similarity)
             name = lambda c, keys=keys: keys.dictionary.take(pa.array(c))
-            yield pa.RecordBatch.from_arrays([name(found[0] >> 32), name(found[0] & 0xFFFFFFFF)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([name(a), name(b), pa.array(times), pa.array(least)], names=["a", "b", "times", "least"])
 
     rows = _grouped(texts.select("key", "size", "firsts"), groups).select("key", "group", "size", F.posexplode("firsts").alias("pos", "unit"))
     rows = rows.repartition("unit").sortWithinPartitions("unit")
     members = scratch.put(rows.mapInArrow(meet, f"unit long, side int, key {kind}, group {kind}, size int, pos int"), "members")
     rows = members.join(texts.select("key", "bits"), "key").repartition("unit").sortWithinPartitions("unit")
-    found = rows.mapInArrow(pair, f"a {kind}, b {kind}").select(F.greatest("a", "b").alias("key"), F.least("a", "b").alias("leader"))
-    pairs = scratch.put(found.distinct(), "pairs")
+    found = rows.mapInArrow(pair, f"a {kind}, b {kind}, times long, least long").groupBy(F.greatest("a", "b").alias("key"), F.least("a", "b").alias("leader"))
+    pairs = scratch.put(found.agg(F.sum("times").alias("times"), F.min("least").alias("least")).where("times >= least").select("key", "leader"), "pairs")
     keys = scratch.put(pairs.select("key").unionByName(pairs.select(F.col("leader").alias("key"))).distinct(), "keys")
     named = documents.select(F.col(key).alias("key"), "text")
     sets = scratch.put(shingle_sets(named.join(keys, "key", "left_semi"), "key"), "sets")

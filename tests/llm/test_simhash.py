@@ -276,3 +276,44 @@ def test_parities_never_exceed_the_difference():
         apart = int(np.bitwise_count(S.parity(a).view(np.uint64) ^ S.parity(b).view(np.uint64)).sum())
         assert apart <= len(np.setxor1d(a, b)) and not (S.parity(a) ^ S.parity(a[::-1])).any()
         assert len(S.parity(a)) == S.PARITY // 64
+
+
+def test_similar_sets_share_as_many_first_shingles_as_are_asked():
+    """Of any two sets that are similar enough, must_share() common shingles are among the first of both and where unit_pairs() looks."""
+    r, none, seen = np.random.default_rng(4), (np.zeros(0, np.uint64), np.zeros(0, np.int64)), set()
+    for similarity in (0.8, 0.5):
+        for _ in range(1_500):
+            common, more, others = r.integers(1, 1 << 63, int(r.integers(1, 400))).astype(np.uint64), int(r.integers(0, 50)), int(r.integers(0, 50))
+            sets = [np.unique(np.concatenate([common, r.integers(1, 1 << 63, k).astype(np.uint64)])) for k in (more, others)]
+            small, large = sorted(sets, key=len)
+            both = len(np.intersect1d(small, large))
+            if both < similarity * (len(small) + len(large) - both):
+                continue
+            least = int(S.must_share(np.array([len(small)]), np.array([len(large)]), similarity)[0])
+            after = int(S.least_common(np.array([len(small) + len(large)]), similarity)[0]) - least + 1
+            near = [{x for place, x in enumerate(S.prefix(own, similarity, none).tolist()) if len(own) - place >= after} for own in (small, large)]
+            assert len(near[0] & near[1]) >= least
+            seen.add(least)
+    assert seen == set(range(1, S.COUNTED + 1))
+
+
+@pytest.mark.parametrize("split", [4096, 7])
+def test_long_unlike_texts_are_not_checked(spark, monkeypatch, split):
+    """Long texts that meet at a line: sizes, places and parities allow them all, and their sets would travel once a pair. Links stay."""
+    monkeypatch.setattr(S, "TEXTS", 1)  # no shingle counts as frequent
+    r, checked, alike = np.random.default_rng(3), [], S.alike
+    line, texts = " ".join(f"line{k}" for k in range(11)), []
+    for k in range(40):
+        texts.append(" ".join([line, *(f"t{k}w{i}" for i in range(2_600))]))
+    texts += [edited(r, t, 30) for t in texts[:5]]
+
+    def counted(pairs, sets, similarity):
+        checked.append(sorted((x["key"], x["leader"]) for x in pairs.collect()))
+        return alike(pairs, sets, similarity)
+
+    monkeypatch.setattr(S, "alike", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    marked = cut(S.marks(docs, "doc_id", 0.8, (np.zeros(0, np.uint64), np.zeros(0, np.int64))))
+    links = [(40 + k, k) for k in range(5)]
+    assert sorted((x["a"], x["b"]) for x in S.missing(docs, marked, None, "doc_id", 0.8, split).collect()) == links
+    assert checked == [links]
