@@ -54,7 +54,12 @@ def run_summary(results: DataFrame) -> DataFrame:
 
 def prompt_context(results: DataFrame) -> DataFrame:
     """For each query, its rows in rank order as one text: kind and title, content, relevance."""
-    block = F.concat(F.lit("["), F.upper("doc_type"), F.lit("] "), "title", F.lit("\n"), "content", F.lit("\n(Relevance: "), F.format_string("%.3f", F.col("similarity_score")), F.lit(")"))
+    # format_string() rounds the shortest decimal form, half up; format_number() rounds the double itself, as C and Python do,
+    # but takes 0.0005 for a tie, which as a double is over it.
+    value = F.col("similarity_score").cast("double")
+    value = F.when(F.abs(value).between(0.0005, 0.001), F.signum(value) * 0.001).otherwise(value)
+    score = F.coalesce(F.replace(F.format_number(value, 3), F.lit(","), F.lit("")), F.lit("null"))
+    block = F.concat(F.lit("["), F.upper("doc_type"), F.lit("] "), "title", F.lit("\n"), "content", F.lit("\n(Relevance: "), score, F.lit(")"))
     ordered = F.array_sort(F.collect_list(F.struct("rank", block.alias("block"))))
     return results.groupBy("query_id").agg(F.array_join(F.transform(ordered, lambda x: x["block"]), "\n\n").alias("context"))
 

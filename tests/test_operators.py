@@ -214,6 +214,13 @@ def test_retrieval(spark):
     assert [tuple(r) for r in both] == [("original_document", "x", "", "1", None), ("ontology_summary", "s", "Cluster -1 Summary", "summary_-1", -1)]
 
 
+def test_relevance_is_rounded_as_the_double_is(spark):
+    scores = [k / 2000 for k in range(-2001, 2002)] + [1234.5675, 0.0, -0.0, -0.0001, 1e-9]
+    rows = spark.createDataFrame([(k, 1, "document", "t", "c", s) for k, s in enumerate(scores)], "query_id int, rank int, doc_type string, title string, content string, similarity_score double")
+    got = {r["query_id"]: r["context"] for r in retrieval.prompt_context(rows).collect()}
+    assert got == {k: f"[DOCUMENT] t\nc\n(Relevance: {s:.3f})" for k, s in enumerate(scores)}
+
+
 def test_prompt_context_query_holds_whole_texts(spark):
     sf = "/root/testdata/sf0.001"
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
