@@ -9,10 +9,6 @@ from . import text as T
 YES_NO = ["yes", "no", "noanswer"]
 
 
-def _let(value: Column, body) -> Column:
-    return F.transform(F.array(value), body)[0]
-
-
 def _matched(own: Column, other: Column) -> Column:
     """Entries in both, as multisets: one walk over both sorted together, own entries first."""
     tagged = lambda a, k: F.transform(a, lambda x: F.struct(x.alias("x"), F.lit(k).alias("k")))
@@ -39,7 +35,7 @@ def token_f1(pred: Column, gold: Column) -> Column:
         f1 = F.when(same > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
         return F.struct(f1.alias("f1"), precision.alias("precision"), recall.alias("recall"))
 
-    return _let(F.struct(p.alias("p"), g.alias("g")), scored)
+    return T.let(F.struct(p.alias("p"), g.alias("g")), scored)
 
 
 def exact_match(pred: Column, gold: Column) -> Column:
@@ -60,8 +56,8 @@ def accuracy(pred: Column, gold: Column) -> Column:
         few = F.least(F.size(x["pw"]), F.size(x["gw"])) <= 3
         return (p == g) | p.contains(g) | g.contains(p) | hyphen | (F.arrays_overlap(x["pw"], x["gw"]) & few) | F.arrays_overlap(digits(p), digits(g))
 
-    both = _let(F.struct(p.alias("p"), g.alias("g"), T.blank(gold).alias("raw")), lambda x: F.struct(x["p"].alias("p"), x["g"].alias("g"), x["raw"].alias("raw"), words(x["p"]).alias("pw"), words(x["g"]).alias("gw")))
-    return _let(both, right).cast("int")
+    both = T.let(F.struct(p.alias("p"), g.alias("g"), T.blank(gold).alias("raw")), lambda x: F.struct(x["p"].alias("p"), x["g"].alias("g"), x["raw"].alias("raw"), words(x["p"]).alias("pw"), words(x["g"]).alias("gw")))
+    return T.let(both, right).cast("int")
 
 
 def alternatives(gold: Column) -> Column:
@@ -111,7 +107,7 @@ def ngrams(a: Column, n: int) -> Column:
 def bleu_counts(pred: Column, gold: Column, orders: int = 4) -> Column:
     """struct(p, g, same): white-space tokens of either side, and the n-grams in both for n from 1 to orders."""
     both = F.struct(T.tokens(pred).alias("p"), T.tokens(gold).alias("g"))
-    return _let(both, lambda x: F.struct(F.size(x["p"]).alias("p"), F.size(x["g"]).alias("g"), F.array(*(_matched(ngrams(x["p"], n), ngrams(x["g"], n)) for n in range(1, orders + 1))).alias("same")))
+    return T.let(both, lambda x: F.struct(F.size(x["p"]).alias("p"), F.size(x["g"]).alias("g"), F.array(*(_matched(ngrams(x["p"], n), ngrams(x["g"], n)) for n in range(1, orders + 1))).alias("same")))
 
 
 def bleu_score(counts: Column, weights: tuple[float, ...] = (0.25, 0.25, 0.25, 0.25), epsilon: float | None = None) -> Column:
@@ -129,11 +125,11 @@ def bleu_score(counts: Column, weights: tuple[float, ...] = (0.25, 0.25, 0.25, 0
 
 def bleu(pred: Column, gold: Column, weights: tuple[float, ...] = (0.25, 0.25, 0.25, 0.25), epsilon: float | None = None) -> Column:
     """Sentence BLEU of white-space tokens."""
-    return _let(bleu_counts(pred, gold, len(weights)), lambda x: bleu_score(x, weights, epsilon))
+    return T.let(bleu_counts(pred, gold, len(weights)), lambda x: bleu_score(x, weights, epsilon))
 
 
 def string_em(context: Column, answer_sets: Column) -> Column:
     """struct(share, hit) of the sets (arrays of answers) of which some answer stands in the context, normalised."""
     norm = T.normalize_answer(context)
     held = F.transform(answer_sets, lambda s: F.exists(s, lambda a: norm.contains(T.normalize_answer(a))).cast("int"))
-    return _let(held, lambda h: F.struct((F.aggregate(h, F.lit(0), lambda a, x: a + x) / F.size(h)).alias("share"), (F.array_min(h) == 1).alias("hit")))
+    return T.let(held, lambda h: F.struct((F.aggregate(h, F.lit(0), lambda a, x: a + x) / F.size(h)).alias("share"), (F.array_min(h) == 1).alias("hit")))

@@ -11,6 +11,13 @@ ARTICLES = ["a", "an", "the"]
 VAGUE = ["related to", "relates to", "associated with", "connected to", "linked to", "relevant to", "pertains to", "concerns"]
 DATASETS = ["musique", "quality", "hotpot", "nq", "triviaqa"]
 SPACES = "(?U)\\s+"
+#: The characters that (?U)\\s matches.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once, however often body uses it: Spark repeats an expression in each place that names it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def blank(text: Column) -> Column:
@@ -19,7 +26,7 @@ def blank(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Without white space of any kind at the ends."""
-    return F.regexp_replace(text, "(?U)^\\s+|\\s+$", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def squeeze(text: Column) -> Column:
@@ -67,16 +74,19 @@ def first_words(text: Column, n: int = 100) -> Column:
 def class_id(name: Column) -> Column:
     """PascalCase without signs: `DNA Repair` becomes DnaRepair, nothing becomes UnknownClass."""
     words = F.regexp_replace(strip(F.regexp_replace(strip(blank(name)), "[^\\p{L}\\p{N}_\\s-]", "")), "[\\s\\-]+", " ")
-    made = F.replace(F.initcap(words), F.lit(" "), F.lit(""))
-    return F.when(strip(made) == "", "UnknownClass").otherwise(made)
+    return let(F.replace(F.initcap(words), F.lit(" "), F.lit("")), lambda made: F.when(strip(made) == "", "UnknownClass").otherwise(made))
 
 
 def property_id(name: Column) -> Column:
     """camelCase; signs and hyphens vanish: `regulated by` becomes regulatedBy, nothing becomes unknownRelation."""
     words = squeeze(F.regexp_replace(blank(name), "[^\\p{L}\\p{N}_\\s]", ""))
-    head = F.substring_index(words, " ", 1)
-    rest = F.replace(F.initcap(F.substring(words, F.length(head) + 2, F.length(words))), F.lit(" "), F.lit(""))
-    return F.when(words == "", "unknownRelation").otherwise(F.concat(F.lower(head), rest))
+
+    def made(w: Column) -> Column:
+        head = F.substring_index(w, " ", 1)
+        rest = F.replace(F.initcap(F.substring(w, F.length(head) + 2, F.length(w))), F.lit(" "), F.lit(""))
+        return F.when(w == "", "unknownRelation").otherwise(F.concat(F.lower(head), rest))
+
+    return let(words, made)
 
 
 def clean_description(text: Column) -> Column:
@@ -96,27 +106,42 @@ def turtle_escape(text: Column) -> Column:
     return text
 
 
+def found_json(text: Column) -> Column:
+    """struct(text, object): the object in a ```json fence; else one with a list of "ontologies" inside other text; else the text without
+    outer white space; and whether it is an object. Each candidate is parsed once."""
+    one = lambda t, is_object: F.struct(t.alias("text"), is_object.alias("object"))
+
+    def inside(t: Column, whole: Column) -> Column:
+        bare = F.regexp_extract(t, '(?s)(\\{[^{}]*"ontologies"[^{}]*\\[.*?\\]\\s*\\})', 1)
+        # The shortest match may end at an inner list; the longest one then holds the object.
+        longest = F.regexp_extract(t, '(?s)(\\{[^{}]*"ontologies"[^{}]*\\[.*\\]\\s*\\})', 1)
+        return let(bare, lambda b: F.when(b == "", one(whole, F.lit(False))).when(is_json_object(b), one(b, F.lit(True))).otherwise(let(longest, lambda x: one(x, is_json_object(x)))))
+
+    def bare(t: Column) -> Column:
+        return let(strip(t), lambda whole: F.when(is_json_object(whole), one(whole, F.lit(True))).otherwise(inside(t, whole)))
+
+    def fenced(t: Column) -> Column:
+        found = F.when(t.contains("```json"), F.regexp_extract(t, "(?s)```json\\s*(\\{.*?\\})\\s*```", 1)).otherwise("")
+        return let(found, lambda f: F.when(f != "", one(f, is_json_object(f))).otherwise(bare(t)))
+
+    return let(blank(text), fenced)
+
+
 def fenced_json(text: Column) -> Column:
-    """The object in a ```json fence; else one with a list of "ontologies" inside other text; else the text without outer white space."""
-    found = F.regexp_extract(blank(text), "(?s)```json\\s*(\\{.*?\\})\\s*```", 1)
-    bare = F.regexp_extract(blank(text), '(?s)(\\{[^{}]*"ontologies"[^{}]*\\[.*?\\]\\s*\\})', 1)
-    # The shortest match may end at an inner list; the longest one then holds the object.
-    longest = F.regexp_extract(blank(text), '(?s)(\\{[^{}]*"ontologies"[^{}]*\\[.*\\]\\s*\\})', 1)
-    whole = strip(blank(text))
-    inside = F.when(is_json_object(bare), bare).otherwise(longest)
-    return F.when(found != "", found).when(is_json_object(whole) | (bare == ""), whole).otherwise(inside)
+    """The text of found_json()."""
+    return found_json(text)["text"]
 
 
 def is_json_object(text: Column) -> Column:
-    trimmed = strip(blank(text))
-    return trimmed.startswith("{") & F.coalesce(F.try_parse_json(trimmed).isNotNull(), F.lit(False))
+    return let(strip(blank(text)), lambda t: t.startswith("{") & F.coalesce(F.try_parse_json(t).isNotNull(), F.lit(False)))
 
 
 def has_keys(text: Column, keys: list[str]) -> Column:
     """Not blank; and where the fenced part is an object, it has all keys."""
-    found = fenced_json(text)
-    held = F.coalesce(F.json_object_keys(found), F.array().cast("array<string>"))
-    return (strip(blank(text)) != "") & (~is_json_object(found) | F.forall(F.lit(keys), lambda k: F.array_contains(held, k)))
+    held = lambda found: F.coalesce(F.json_object_keys(found), F.array().cast("array<string>"))
+    every = lambda found: let(held(found), lambda h: F.forall(F.lit(keys), lambda k: F.array_contains(h, k)))
+    full = lambda t: (strip(t) != "") & let(found_json(t), lambda found: ~found["object"] | every(found["text"]))
+    return let(blank(text), full)
 
 
 def dataset_of_index(path: Column) -> Column:

@@ -19,11 +19,13 @@ def parts(relation: Column) -> Column:
 
 def relation_valid(relation: Column) -> Column:
     """Three non-empty parts, all different, and a predicate that says something."""
-    p = parts(T.blank(relation))
-    part = lambda k: T.strip(F.coalesce(F.get(p, F.lit(k)), F.lit("")))
-    vague = F.exists(F.lit(T.VAGUE), lambda v: F.lower(part(1)).contains(v))
-    filled = (F.size(p) == 3) & (part(0) != "") & (part(1) != "") & (part(2) != "")
-    return filled & (part(0) != part(1)) & (part(1) != part(2)) & (part(0) != part(2)) & ~vague
+
+    def valid(p: Column) -> Column:
+        first, said, last = (F.coalesce(F.get(p, F.lit(k)), F.lit("")) for k in range(3))
+        vague = T.let(F.lower(said), lambda x: F.exists(F.lit(T.VAGUE), lambda v: x.contains(v)))
+        return (F.size(p) == 3) & (first != "") & (said != "") & (last != "") & (first != said) & (said != last) & (first != last) & ~vague
+
+    return T.let(F.transform(parts(T.blank(relation)), T.strip), valid)
 
 
 def relations_valid(relationships: Column) -> Column:
@@ -32,24 +34,31 @@ def relations_valid(relationships: Column) -> Column:
     return F.coalesce(F.forall(relationships, lambda r: known(r) & relation_valid(r["relation"])), F.lit(False))
 
 
-def response_error(response: Column) -> Column:
-    """Why a response is rejected as a whole; null if it is valid."""
-    found = T.fenced_json(response)
-    parsed = F.from_json(found, RESPONSE)
-    concepts = parsed["ontologies"]
+def _error(is_object: Column, concepts: Column) -> Column:
     named = F.forall(concepts, lambda c: (T.strip(T.blank(c["name"])) != "") & (T.strip(T.blank(c["description"])) != ""))
     return (
-        F.when(~T.is_json_object(found), "not a JSON object")
+        F.when(~is_object, "not a JSON object")
         .when(concepts.isNull() | (F.size(concepts) == 0), "no ontologies")
         .when(~named, "a name or description is missing")
         .when(~F.forall(concepts, lambda c: relations_valid(c["relationships"])), "a relationship is malformed")
     )
 
 
+def checked(response: Column) -> Column:
+    """struct(error, concepts) of a response: why it is rejected as a whole, null if it is valid, and what it holds. The text is read once."""
+    read = lambda found: T.let(F.from_json(found["text"], RESPONSE)["ontologies"], lambda c: F.struct(_error(found["object"], c).alias("error"), c.alias("concepts")))
+    return T.let(T.found_json(response), read)
+
+
+def response_error(response: Column) -> Column:
+    """Why a response is rejected as a whole; null if it is valid."""
+    return checked(response)["error"]
+
+
 def parse_responses(responses: DataFrame, response: str = "response", cluster: str = "cluster_id") -> DataFrame:
     """source_cluster, ord, name, description, relationships of every concept of the valid responses."""
-    good = responses.where(response_error(F.col(response)).isNull())
-    made = good.select(F.col(cluster).alias("source_cluster"), F.posexplode(F.from_json(T.fenced_json(F.col(response)), RESPONSE)["ontologies"]).alias("ord", "c"))
+    valid = T.let(checked(F.col(response)), lambda x: F.when(x["error"].isNull(), x["concepts"]))
+    made = responses.select(F.col(cluster).alias("source_cluster"), F.posexplode(valid).alias("ord", "c"))
     tidy = F.transform("c.relationships", lambda r: F.struct(T.strip(r["relation"]).alias("relation"), F.upper(T.strip(r["type"])).alias("type")))
     return made.select("source_cluster", "ord", T.strip(F.col("c.name")).alias("name"), T.strip(F.col("c.description")).alias("description"), tidy.alias("relationships"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T, vectors as V
 from ..operators import chunking, clustering, concepts, evaluation, presence, rdf, retention, retrieval, similarity
-from ..session import cut
+from ..session import cut, spread
 
 THRESHOLD = 0.3
 
@@ -18,6 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _parts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "part").select("p_partkey", *columns), "p_partkey")
+
+
 def _rounded(df: DataFrame, places: int = 6) -> DataFrame:
     return df.select(*(F.round(c, places).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
 
@@ -180,7 +184,7 @@ def _responses(spark, sf_dir) -> DataFrame:
     verb = F.when(F.col("n_nationkey") % 5 == 0, "is related to").otherwise("located in")
     body = F.concat(F.lit('{"ontologies":[{"name":"'), "n_name", F.lit('","description":"A nation","relationships":[{"relation":"'), "n_name", F.lit(" -> "), verb, F.lit(" -> "), "r_name", F.lit('","type":"other"}]}]}'))
     first = nations.select(F.col("n_nationkey").cast("long").alias("cluster_id"), F.when(F.col("n_nationkey") % 7 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body).alias("response"))
-    parts = table(spark, sf_dir, "part")
+    parts = _parts(spark, sf_dir, "p_name", "p_type")
     name = F.when(F.col("p_partkey") % 11 == 0, "").otherwise(F.col("p_name"))
     text = F.concat(F.lit('{"ontologies":[{"name":"'), name, F.lit('","description":"A part","relationships":[{"relation":"'), "p_name", F.lit(" -> is type of -> "), "p_type", F.lit('","type":"TYPE"}]}]}'))
     second = parts.select((F.col("p_partkey") + 1000).alias("cluster_id"), F.when(F.col("p_partkey") % 13 == 0, "sorry").otherwise(text).alias("response"))
@@ -228,7 +232,7 @@ def owl_classes(spark, sf_dir):
 
 
 def owl_inferred(spark, sf_dir):
-    rows = _concepts(spark, sf_dir)
+    rows = cut(_concepts(spark, sf_dir), "concepts")
     return rdf.inferred_classes(rdf.triples(rows), rdf.defined_classes(rows)).select("name", "cluster_id", "document_count")
 
 
@@ -255,7 +259,7 @@ def retrieval_details(spark, sf_dir):
 def written_relations(spark, sf_dir):
     """Relations written out as text, as older files hold them; some can't be read."""
     text = F.concat(F.lit("{'relation': '"), "p_name", F.lit(" -> is type of -> "), "p_type", F.lit("', 'type': 'TYPE'}"))
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.array(F.when(F.col("p_partkey") % 4 == 0, "no relation").otherwise(text)).alias("r"))
+    rows = _parts(spark, sf_dir, "p_name", "p_type").select("p_partkey", F.array(F.when(F.col("p_partkey") % 4 == 0, "no relation").otherwise(text)).alias("r"))
     read = F.get(rdf.written_relations(F.col("r")), F.lit(0))
     return rows.select("p_partkey", read["relation"].alias("relation"), read["type"].alias("type"))
 
@@ -287,7 +291,7 @@ def merge_answers(spark, sf_dir):
     """A model's merged definitions, made from parts: fenced, bare, and some that aren't JSON, which leave the rows as they were."""
     body = F.concat(F.lit('{"description":"One '), "p_type", F.lit('","relationships":[{"relation":"'), "p_name", F.lit(' -> is type of -> '), "p_type", F.lit('","type":"TYPE"}]}'))
     answer = F.when(F.col("p_partkey") % 5 == 0, "sorry").when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("description"), F.array().cast(concepts.RELATIONS).alias("relationships"), answer.alias("output"))
+    rows = _parts(spark, sf_dir, "p_name", "p_type").select("p_partkey", F.col("p_name").alias("description"), F.array().cast(concepts.RELATIONS).alias("relationships"), answer.alias("output"))
     return concepts.merged_answers(rows).select("p_partkey", "description", F.get("relationships", F.lit(0))["relation"].alias("relation"))
 
 
@@ -297,13 +301,13 @@ def strip_punctuation(spark, sf_dir):
 
 def string_em(spark, sf_dir):
     """Short answers (the words of a part's name) that stand in its name and type, given in two sets."""
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", F.substring_index("p_name", " ", 1), "p_type").alias("prediction"), F.transform(F.split("p_name", " "), lambda w: F.struct(F.array(w).alias("short_answers"))).alias("qa_pairs"))
+    rows = _parts(spark, sf_dir, "p_name", "p_type").select("p_partkey", F.concat_ws(" ", F.substring_index("p_name", " ", 1), "p_type").alias("prediction"), F.transform(F.split("p_name", " "), lambda w: F.struct(F.array(w).alias("short_answers"))).alias("qa_pairs"))
     return _rounded(evaluation.presence_scores(rows).select("p_partkey", "str_em", F.col("str_hit").cast("int").alias("str_hit")))
 
 
 def option_match(spark, sf_dir):
     """Close-set answers: the first figure of a part's brand against the second."""
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.element_at(F.regexp_extract_all("p_brand", F.lit("[0-9]"), 0), 1).alias("extract_output"), F.element_at(F.regexp_extract_all("p_brand", F.lit("[0-9]"), 0), -1).alias("answer_idx"))
+    rows = _parts(spark, sf_dir, "p_brand").select("p_partkey", F.element_at(F.regexp_extract_all("p_brand", F.lit("[0-9]"), 0), 1).alias("extract_output"), F.element_at(F.regexp_extract_all("p_brand", F.lit("[0-9]"), 0), -1).alias("answer_idx"))
     return evaluation.option_scores(rows).select("p_partkey", "em")
 
 
@@ -340,7 +344,7 @@ def dataset_name(spark, sf_dir):
 
 
 def class_names(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", T.class_id(F.concat_ws(" - ", "p_name", "p_brand")).alias("class_id"), T.property_id(F.concat_ws(" ", "p_name", "p_type")).alias("property_id"))
+    return _parts(spark, sf_dir, "p_name", "p_brand", "p_type").select("p_partkey", T.class_id(F.concat_ws(" - ", "p_name", "p_brand")).alias("class_id"), T.property_id(F.concat_ws(" ", "p_name", "p_type")).alias("property_id"))
 
 
 def source_concepts(spark, sf_dir):

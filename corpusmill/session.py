@@ -69,6 +69,13 @@ def ship(spark: SparkSession) -> SparkSession:
 _roots: list[tuple[SparkSession, str]] = []
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt by keys over all cores. For tables of few bytes and costly rows: a file of one row group is read by one task, which
+    would do all the work."""
+    spark = rows.sparkSession
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

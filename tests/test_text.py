@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.functions import metrics as M, text as T, vectors as V
-from corpusmill.operators import evaluation
+from corpusmill.operators import concepts, evaluation
 from corpusmill.plans import catalog
 
 
@@ -135,3 +135,23 @@ def test_vectors(spark):
     got = rows.select(V.cosine(F.col("a"), F.col("b")), V.distance(F.col("a"), F.col("b")), V.unit(F.col("a"))).collect()
     assert got[0][0] == pytest.approx(0.96) and got[0][1] == pytest.approx(2**0.5) and got[0][2] == pytest.approx([0.6, 0.8])
     assert got[1][0] == 0.0 and got[1][2] == [0.0, 0.0]
+
+
+def test_strip_takes_what_the_pattern_took(spark):
+    codes = spark.range(1, 0x10000).where("id < 55296 or id > 57343").select("id", F.concat(F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')")).alias("c"))
+    padded = codes.select(F.concat("c", F.lit("x"), "c", F.lit("y"), "c").alias("t"), "c")
+    other = padded.where(~T.strip("t").eqNullSafe(F.regexp_replace("t", "(?U)^\\s+|\\s+$", "")) | ((F.length(T.strip("c")) == 0) != F.col("c").rlike("(?U)^\\s$")))
+    assert codes.count() == 63487 and other.count() == 0
+
+
+def test_texts_are_parsed_once(spark):
+    """Spark repeats an expression wherever it is named; a response's text was found and parsed again for every check of it."""
+    rows = spark.createDataFrame([("{}",)], "r string")
+    for made in (concepts.response_error(F.col("r")), T.has_keys(F.col("r"), ["a"])):
+        plan = rows.select(made.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("```json\\s") == 1 and plan.count("from_json") <= 1 and plan.count("json_object_keys") + plan.count("jsonObjectKeys") <= 1
+    given = ["", None, "{}", " {\"a\": 1} ", "{\"b\": 1}", "x", "```json\n{\"a\": 2}\n```", "```json\n{broken}\n```", "so: {\"ontologies\": []} .", "{\"ontologies\": [1]"]
+    got = spark.createDataFrame([(k, x) for k, x in enumerate(given)], "k int, r string").select("k", T.has_keys(F.col("r"), ["a"]).alias("x"), concepts.response_error(F.col("r")).alias("e")).orderBy("k").collect()
+    assert [r["x"] for r in got] == [False, False, False, True, False, True, True, True, False, True]
+    wrong, none = "not a JSON object", "no ontologies"
+    assert [r["e"] for r in got] == [wrong, wrong, none, none, none, wrong, none, wrong, none, wrong]
