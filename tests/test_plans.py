@@ -151,7 +151,7 @@ def test_ontology_is_merged_written_and_read(spark, tmp_path):
     assert "rdfs:subClassOf" in lines and all(f'"{r["ontology_name"]}"' in lines for r in rows)
 
 
-@pytest.mark.parametrize("name", ["ontology_validate", "ontology_concepts", "required_keys", "merge_answers", "string_em", "class_names"])
+@pytest.mark.parametrize("name", ["ontology_validate", "ontology_concepts", "required_keys", "multi_answer_best", "merge_answers", "string_em", "class_names"])
 def test_parts_are_dealt_over_all_cores(spark, name):
     """A small file of one row group is one task, which did all the work of the rows made from it."""
     rows = catalog.QUERIES[name](spark, SF).select(F.spark_partition_id().alias("p")).distinct()
