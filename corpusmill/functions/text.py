@@ -47,7 +47,7 @@ def normalize_loose(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Runs of anything but white space."""
-    return F.array_remove(F.split(squeeze(blank(text)), " "), "")
+    return F.array_remove(F.split(blank(text), SPACES), "")
 
 
 def token_count(text: Column) -> Column:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
-from ..session import cut
+from ..session import cut, drop
 
 
 def sentences(text: Column) -> Column:
     """Stripped, non-empty pieces between runs of . ! and ?; the signs are lost."""
-    return F.filter(F.transform(F.split(T.blank(text), "[.!?]+"), lambda s: F.regexp_replace(s, "(?U)^\\s+|\\s+$", "")), lambda s: s != "")
+    return F.filter(F.transform(F.split(T.blank(text), "[.!?]+"), T.strip), lambda s: s != "")
 
 
 def chunks(text: Column, least: int = 300, most: int = 500) -> Column:
@@ -36,8 +36,10 @@ def chunks(text: Column, least: int = 300, most: int = 500) -> Column:
 
 def running_ids(rows: DataFrame, order: list[str], out: str = "idx") -> DataFrame:
     """rows with numbers from 0 in the given order, which ought to be total. Range partitions are sorted and written once; only
-    their sizes meet in one place."""
-    sorted_rows = cut(rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "sorted")
+    their sizes meet in one place. rows are written first, as the ranges are taken from a sample, for which they would be made twice."""
+    made = cut(rows, "rows")
+    sorted_rows = cut(made.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "sorted")
+    drop(made)
     part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = sorted_rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -47,9 +49,11 @@ def running_ids(rows: DataFrame, order: list[str], out: str = "idx") -> DataFram
 
 def corpus_rows(documents: DataFrame, key: str, text: str, short: int = 150, least: int = 300, most: int = 500) -> DataFrame:
     """key, part (from 0), parts, title and context: texts of at most `short` tokens pass whole, others are chunked."""
-    whole = T.token_count(F.col(text)) <= short
-    made = documents.select(F.col(key).alias("key"), whole.alias("whole"), F.when(whole, F.array(T.blank(F.col(text)))).otherwise(chunks(F.col(text), least, most)).alias("parts"))
-    rows = made.select("key", "whole", F.size("parts").alias("parts"), F.posexplode("parts").alias("part", "context"))
+    of = lambda whole, parts: F.transform(parts, lambda c: F.struct(whole.alias("whole"), F.size(parts).alias("parts"), c.alias("context")))
+    cut_up = lambda whole: F.when(whole, F.array(T.blank(F.col(text)))).otherwise(chunks(F.col(text), least, most))
+    # Exploded where it is made: of a column, Spark would first test the size, and make it again for that.
+    made = T.let(T.token_count(F.col(text)) <= short, lambda whole: T.let(cut_up(whole), lambda parts: of(whole, parts)))
+    rows = documents.select(F.col(key).alias("key"), F.posexplode(made).alias("part", "c")).select("key", "part", "c.*")
     name = F.concat(F.lit("Document "), F.col("key").cast("string"))
     title = F.when(F.col("whole"), name).otherwise(F.concat(name, F.lit(" - Part "), (F.col("part") + 1).cast("string")))
     return rows.select("key", "part", "parts", title.alias("title"), "context", (F.col("part") == 0).alias("is_supporting"))

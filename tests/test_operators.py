@@ -194,6 +194,23 @@ def test_chunks(spark):
     assert made[4, 0] == "Document 4" and made[5, 0] == "Document 5 - Part 1"
 
 
+def test_texts_are_cut_up_once(spark):
+    """The size of the chunks was tested before they were exploded, and each test made them again; ranges were sampled from rows made for it."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = chunking.corpus_rows(docs, "doc_id", "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[.!?]+") == 1
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = docs.select("doc_id").mapInArrow(seen, "doc_id long")
+    numbered = chunking.running_ids(rows, ["doc_id"])
+    assert numbered.agg(F.max("idx")).first()[0] == docs.count() - 1 == made.value - 1
+
+
 def test_retention(spark):
     rows = spark.createDataFrame([(f"a_202401{d:02d}_000000.json", "a") for d in range(1, 9)] + [("a_x.json", "a"), ("b_20240101_000000.txt", "b")], "name string, kind string").withColumn("time", retention.stamp(F.col("name")))
     gone = {r["name"] for r in retention.beyond_newest(rows.where("time is not null"), "kind", "time", "name").collect()}
