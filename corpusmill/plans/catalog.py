@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T, vectors as V
-from ..operators import chunking, clustering, concepts, evaluation, presence, rdf, retention, retrieval, similarity
+from ..operators import chunking, clustering, concepts, evaluation, overlap, presence, rdf, retention, retrieval, similarity
 from ..session import cut, spread
 
 THRESHOLD = 0.3
@@ -161,21 +161,17 @@ def index_union(spark, sf_dir):
     return rows.select("doc_type", F.md5("content").alias("content_md5"), "title", "doc_id", "cluster_id")
 
 
-def _token_counts(spark, sf_dir, words) -> tuple[DataFrame, DataFrame]:
-    counted = table(spark, sf_dir, "documents").select("doc_id", F.explode(words).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
-    return counted, counted.select((F.col("doc_id") - 1).alias("doc_id"), "token", F.col("n").alias("m"))
-
-
 def token_intersect_all(spark, sf_dir):
     """Tokens that a document shares with the one of the next id, as multisets."""
-    own, after = _token_counts(spark, sf_dir, F.array_remove(F.split(T.normalize_answer(F.col("text")), " "), ""))
-    return own.join(after, ["doc_id", "token"]).groupBy("doc_id").agg(F.sum(F.least("n", "m")).alias("common"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.normalize_answer(F.col("text")).alias("words"))
+    return overlap.common_with_next(docs, "doc_id", "words")
 
 
 def keyword_intersect(spark, sf_dir):
     """Words of three letters or more that a document shares with the one of the next id, as sets."""
-    own, after = _token_counts(spark, sf_dir, F.regexp_extract_all(T.normalize_answer(F.col("text")), F.lit("[\\p{L}\\p{N}_]{3,}"), 0))
-    return own.join(after, ["doc_id", "token"]).groupBy("doc_id").agg(F.count("*").alias("common"))
+    words = F.array_distinct(F.regexp_extract_all(T.normalize_answer(F.col("text")), F.lit("[\\p{L}\\p{N}_]{3,}"), 0))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.array_join(words, " ").alias("words"))
+    return overlap.common_with_next(docs, "doc_id", "words", distinct=True)
 
 
 def _responses(spark, sf_dir) -> DataFrame:

@@ -1,10 +1,12 @@
 """Search, joins, clusters, concepts and retention against plain Python."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.operators import chunking, clustering, concepts, presence, rdf, retention, retrieval, similarity
+from corpusmill.operators import chunking, clustering, concepts, overlap, presence, rdf, retention, retrieval, similarity
 from corpusmill.plans import catalog
 
 
@@ -286,6 +288,27 @@ def test_exact_presence(spark):
     assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
 
 
+@pytest.mark.parametrize("distinct", [False, True])
+def test_common_with_next(spark, distinct):
+    rows = [(k, " ".join(f"w{(k * j * j) % 17}" for j in range(k % 23))) for k in range(-200, 300) if k % 11] + [(5, "w1 w1 x"), (64, "x  w1"), (64, None), (None, "x"), (None, "x"), (1000, "a"), (1002, "a"), (2000, ""), (2001, "b")]
+    held = {}
+    for k, text in rows:
+        held.setdefault(k, Counter()).update(w for w in (text or "").split(" ") if w)
+    want = {k: len(w.keys() & held[k + 1].keys()) if distinct else (w & held[k + 1]).total() for k, w in held.items() if k is not None and k + 1 in held}
+    made = overlap.common_with_next(spark.createDataFrame(rows, "doc_id int, words string").repartition(3), "doc_id", "words", distinct)
+    assert [c for c, _ in made.dtypes] == ["doc_id", "common"]
+    got = [tuple(r) for r in made.collect()]
+    assert len(got) == len(dict(got)) and dict(got) == {k: n for k, n in want.items() if n}
+    assert overlap.common_with_next(spark.createDataFrame([], "doc_id long, words string"), "doc_id", "words", distinct).count() == 0
+
+
+@pytest.mark.parametrize("name", ["token_intersect_all", "keyword_intersect"])
+def test_words_are_not_shuffled_one_by_one(spark, name):
+    """Each word of each text was a row that two shuffles carried, with its document's id."""
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 0 and plan.count("Join") == 0 and plan.count("RepartitionByExpression") == 1
+
+
 def test_object_inside_prose(spark):
     made = '{"ontologies": [{"name": "A", "description": "b", "relationships": [{"relation": "A -> is -> B", "type": "TYPE"}]}]}'
     rows = spark.createDataFrame([(1, f"Of course: {made} Anything else?"), (2, f"```json\n{made}\n```"), (3, made), (4, "no object")], "cluster_id long, response string")
