@@ -15,6 +15,8 @@ from ..session import Scratch
 QUERY_BLOCK, JOIN_BLOCK, INDEX_BLOCK = 4096, 4096, 16384
 #: Rows of one side that are multiplied at once.
 SLICE = 512
+#: Scores of a search that a worker holds at once; they are also rounded and sorted, at 8 bytes each time.
+SCORES = 1 << 20
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -35,10 +37,12 @@ def _best(ids: np.ndarray, rows: np.ndarray, keys: np.ndarray, others: np.ndarra
     """The k best of others for each of rows; of equals, the smaller keys."""
     order = np.argsort(keys, kind="stable")
     keys, others = keys[order], others[order]
-    for at in range(0, len(rows), SLICE):
-        score = rows[at : at + SLICE] @ others.T
-        best = np.argsort(-np.round(score, 9), axis=1, kind="stable")[:, :k]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at : at + SLICE], best.shape[1])), pa.array(keys[best].ravel()), pa.array(np.take_along_axis(score, best, axis=1).ravel())], names=["query_id", "doc_id", "similarity_score"])
+    step = max(1, min(SLICE, SCORES // max(1, len(others))))
+    for at in range(0, len(rows), step):
+        score = rows[at : at + step] @ others.T
+        rank = np.round(score, 9)
+        best = np.argsort(np.negative(rank, out=rank), axis=1, kind="stable")[:, :k]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at : at + step], best.shape[1])), pa.array(keys[best].ravel()), pa.array(np.take_along_axis(score, best, axis=1).ravel())], names=["query_id", "doc_id", "similarity_score"])
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], pa.Table]]:

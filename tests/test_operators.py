@@ -288,6 +288,26 @@ def test_exact_presence(spark):
     assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
 
 
+def test_search_holds_few_scores_at_once():
+    """512 queries met all rows of a batch or block at once: their scores, rounded and sorted, were 330 MB a worker."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    rows, others, keys = rng.normal(size=(600, 4)), rng.normal(size=(16384, 4)), rng.permutation(16384)
+    others[100:200] = others[:100]
+    tracemalloc.start()
+    got = [b.to_pandas() for b in similarity._best(np.arange(600), rows, keys, others, 15)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+    score = rows @ others.T
+    found = {q: list(zip(g["doc_id"], g["similarity_score"].round(9))) for b in got for q, g in b.groupby("query_id")}
+    assert len(found) == 600
+    for q in range(0, 600, 37):
+        best = sorted(zip(-score[q].round(9), keys))[:15]
+        assert found[q] == [(key, -s) for s, key in best]
+
+
 @pytest.mark.parametrize("distinct", [False, True])
 def test_common_with_next(spark, distinct):
     rows = [(k, " ".join(f"w{(k * j * j) % 17}" for j in range(k % 23))) for k in range(-200, 300) if k % 11] + [(5, "w1 w1 x"), (64, "x  w1"), (64, None), (None, "x"), (None, "x"), (1000, "a"), (1002, "a"), (2000, ""), (2001, "b")]
